@@ -80,3 +80,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
     """The rows of Arrow batches as tuples; ``text`` comes as bytes."""
     for batch in batches:
         yield from zip(*(text_bytes(batch, c) if c == "text" else batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """``docs`` whose ``n_chars``, where there is such a column, is the length of ``text``."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
