@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, language, quality
 from .oracle import ORACLE_SQL  # noqa: F401
 from .common import read_table
 
@@ -17,4 +17,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality_rules)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_prediction(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality_rules, op8_language_id)}
