@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, quality
-from .oracle import ORACLE_SQL  # noqa: F401
+from . import decontaminate, language, quality, shards, token_files
 from .common import read_table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,4 +22,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_prediction(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality_rules, op8_language_id)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
