@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, quality, shards, simhash, token_files
+from . import decontaminate, language, quality, shards, simhash, substring, token_files
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -34,4 +38,4 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
