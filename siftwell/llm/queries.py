@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, quality, shards, simhash, substring, token_files
+from . import bpe, decontaminate, language, quality, shards, simhash, substring, token_files
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -14,6 +14,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digest(read_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
@@ -38,4 +43,4 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
