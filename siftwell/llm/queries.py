@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, quality, shards, simhash, substring, token_files
+from . import bpe, decontaminate, language, lattice, quality, shards, simhash, substring, token_files
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -39,8 +39,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.held_out_scores(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op10_balanced_shards)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op9_subword_lattice, op10_balanced_shards)}

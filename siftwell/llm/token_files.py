@@ -11,7 +11,10 @@ a hash of their text; null ids come first; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import shared_folder, text_bytes
 
 END = 2
-#: Most words in a task's cache of words already encoded.
-CACHE = 400_000
+#: Most words in a Python worker's cache of words already encoded.
+CACHE = 600_000
+#: Documents encoded at once.
+SLICE = 500
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
@@ -32,46 +37,107 @@ FILE_SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
 
+#: Words that lower-casing and NFC leave alone and that the pattern keeps whole.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_PROBES = ["a", "the", "straße", "éaux", "ciónes", "ñandú", "zzqqxk", "ingenerethtion", "über"]
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet as a table for str.translate: printable bytes stand for themselves, others follow from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip((b for b in range(256) if b not in plain), map(chr, range(256, 512)), strict=False))
+
+
 class Encoder:
-    """Texts to ids with a ``tokenizers`` file whose words never reach over white space.
+    """Texts to ids with a ``tokenizers`` file whose words never reach over white space and which ignores case.
 
-    Each new word between spaces goes through the library once per task; its ids are then kept as bytes.
+    Each new word between spaces goes through the library once; its ids are then kept as bytes. Plain words go to the
+    library's model directly if probes show that its other steps leave them as they are.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, tokenizer: str, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.marks = {b"": b""}
         self.cache = cache
+        self.model = self.tokenizer.model
+        self.direct = all(self._modelled(w) == self._whole([w])[0] for w in _PROBES) and self._whole(["Ab.cd, E"]) == self._whole(["ab . cd , e"])
+
+    def _modelled(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """Ids as 32-bit integers."""
+        if not text:
+            return b""
+        words = (text.lower() if self.direct else text).split()
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> None:
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.int32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        new = set(words).difference(known)
+        if len(known) + len(new) > self.cache:
+            known.clear()
+            new = set(words)
+        rest = []
+        for w in new:
+            stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
+            # between a letter and a full stop or comma there is always a token border
+            if self.direct and (ids := self._plain(stem)) is not None:
+                known[w] = ids + self._mark(mark)
+            else:
+                rest.append(w)
+        if rest:
+            for w, ids in zip(rest, self._whole([w.decode() for w in rest]), strict=True):
+                known[w] = array("i", ids).tobytes()
+
+    def _plain(self, stem: bytes) -> bytes | None:
+        if (ids := self.known.get(stem)) is not None and (stem.isalpha() or _PLAIN.fullmatch(stem.decode())):
+            return ids
+        if stem.isalpha():  # ASCII, and in lower case by now
+            return array("i", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
+        word = stem.decode()
+        return array("i", self._modelled(word)).tobytes() if _PLAIN.fullmatch(word) else None
+
+    def _mark(self, mark: bytes) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = array("i", self._whole([mark.decode()])[0]).tobytes()
+        return self.marks[mark]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     """Encodes ``docs`` and writes the files. Range partitions bound what one task sorts."""
 
+    with open(tokenizer, encoding="utf-8") as f:
+        # the vocabulary file; a Python worker keeps its copy, and with it the words it knows, from task to task
+        shared = docs.sparkSession.sparkContext.broadcast({"file": f.read()})
+    last = array("i", [end]).tobytes()
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            ids = [encoder(t) for t in text_bytes(batch)]
-            lengths = np.array([len(x) + 1 for x in ids], np.int64)
-            ends = np.cumsum(lengths)
-            flat = np.full(int(ends[-1]) if len(ids) else 0, end, np.int32)
-            for x, stop in zip(ids, ends, strict=True):
-                flat[stop - 1 - len(x) : stop - 1] = x
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-            yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int32()), lists], schema=_ARROW)
+        kept = shared.value
+        encoder = kept.setdefault("encoder", None) or Encoder(kept["file"])
+        kept["encoder"] = encoder
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                ids = [encoder(t) + last for t in text_bytes(batch)]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
+                yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int32()), lists], schema=_ARROW)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "tie"]
