@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, lattice, quality, shards, simhash, substring, token_files
+from . import bpe, decontaminate, language, lattice, quality, resample, shards, simhash, substring, token_files
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read_table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op9_subword_lattice, op10_balanced_shards)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_importance_resampling, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op9_subword_lattice, op10_balanced_shards)}
