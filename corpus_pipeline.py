@@ -1,10 +1,15 @@
-"""Corpus cleaning pipeline: each stage reads what its predecessor kept."""
+"""Corpus cleaning pipeline: each stage works on all that its predecessor kept.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that the runner writes as Parquet and reads back as the next
+one's documents. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import quality
+from siftwell.llm import bpe, decontaminate, quality, simhash, substring
 from siftwell.llm.common import read_table, written
 
 
@@ -13,7 +18,30 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints of five-word shingles reach one another, the one with the smallest doc_id stays."""
+    return simhash.first_of_each(docs, shingle=5)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 20-word windows that start earlier in the corpus go; documents that keep no word go."""
+    return substring.cleaned(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows go; documents of which more than half is benchmark go."""
+    return decontaminate.cleaned(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, with the digests of ids and decoded bytes."""
+    vocabulary = bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digest(docs, vocabulary, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", rules), ("simhash", near_copies), ("substring", passages), ("decontaminate", leaks), ("byte_bpe", tokens)]
+
+#: SQL has neither zstandard nor XXH64: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
