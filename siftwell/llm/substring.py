@@ -322,8 +322,8 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFr
 
     Texts that lose nothing stay as they are; of others the kept words are joined by spaces. ``n_chars`` follows.
     """
-    at = docs.columns.index("text")
-    n = len(docs.columns)
+    names = docs.columns
+    at, n = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,6 +334,6 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFr
                 keep.append(len(words) >= min_words or len(words) == count)
             columns = batch.columns[:n]
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.record_batch(columns, names=docs.columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_length(with_spans(docs, window).select(*docs.columns, "_copy", "_spans").mapInArrow(run, docs.schema))
+    return with_length(with_spans(docs, window).select(*names, "_copy", "_spans").mapInArrow(run, docs.schema))
