@@ -189,7 +189,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
         found = written(_matched(by_row, Automaton(block(), window)).where(F.size("items") > 0), "decontaminate")
         hit = found if hit is None else hit.unionByName(found)
     hit = hit.groupBy(F.col("doc_id").alias("_row")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    join = F.udf(lambda spans: merged([tuple(s) for s in spans]), _SCHEMA.split("spans ")[1].split(", items")[0])
+    join = F.udf(lambda spans: merged([tuple(s) for s in spans or []]), _SCHEMA.split("spans ")[1].split(", items")[0])
     words = _matched(by_row, Automaton([], window)).selectExpr("doc_id _row", "n_words")
     return (
         numbered.select("_row", "doc_id")

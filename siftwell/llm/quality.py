@@ -26,20 +26,20 @@ REPEAT_WINDOW = 8
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of bytes / compressed bytes. Each of ``whole`` is (bytes below which it holds, least, most)."""
+    """Limits of bytes / compressed bytes: prose in most languages lies between 1.6 and 2.8, base64 at 1.33. Each of ``whole`` is (bytes below which it holds, least, most)."""
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = (
         (256, 0.0, 2.5),
         (1024, 1.05, 3.0),
-        (4096, 1.25, 3.5),
-        (16384, 1.3, 4.0),
-        (float("inf"), 1.3, 4.5),
+        (4096, 1.3, 3.5),
+        (16384, 1.4, 4.0),
+        (float("inf"), 1.4, 4.5),
     )
     chunk_bytes: int = 4096
     #: Shorter rests than this share of a chunk are only judged as part of the whole.
     chunk_share: float = 0.5
-    chunk: tuple[float, float] = (1.15, 4.0)
+    chunk: tuple[float, float] = (1.4, 4.0)
     min_words: int = 20
     max_repeat_percent: int = 30
 
