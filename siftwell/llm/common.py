@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,25 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
 
 
+def long_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a long ``doc_id``; as it is where it has one, so that equal reads of it stay equal for Spark to reuse."""
+    return docs if docs.schema["doc_id"].dataType == T.LongType() else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 6 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``most`` bytes of text (one text may have more)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        start = total = 0
+        for at, size in enumerate(sizes):
+            if total and total + size > most:
+                yield batch.slice(start, at - start)
+                start, total = at, 0
+            total += size
+        if len(sizes) > start:
+            yield batch.slice(start)
+
+
 def ranked(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     """``df`` with ``rank``: 0-based position in the global order, found without a one-task sort.
 

@@ -9,11 +9,11 @@ window (the least hash among several), so equal windows take the same symbol at
 The Spark rounds: (1) texts are dealt by doc_id once; all later steps read that exchange. (2) Symbols taken by windows
 are dealt by the hash of their context's words; those that occur once end here, which is nearly all of clean text.
 (3) The rest return to their documents and are dealt again with the 64-bit hashes of their windows, 128 bits with
-the context's, sorted by place: a window seen before in its group is a repeat. (4) Repeats return to their documents as spans.
+the context's, sorted by place: a window seen before in its group is a repeat. In both, what repeats within a task's batch of texts
+is settled there and only its first goes to the group, so that a hot passage costs a row per batch. (4) Repeats return to their documents as spans.
 Whole copies are known by their text's hash beforehand and skip (2) and (3).
 
-A task holds one Arrow batch of texts, or the hashes of one group's distinct windows. A passage that fills a third of
-all documents has as many groups as it has symbols, so that no group holds more than a small share of the rows.
+A task holds one Arrow batch of texts, or the hashes of one group's distinct windows.
 
 Defined results: null or empty texts have no words; rows with null doc_id lose nothing and repeat nothing;
 rows with the same doc_id count as one document, with the spans of each cut from all; an empty table gives an
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, with_length
+from .common import long_ids, slices, text_bytes, with_length
 
 WINDOW = 20
 ROUNDS = 3
@@ -185,21 +185,36 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds:
     return key[head], head, taken[np.append(np.flatnonzero(new)[1:], len(taken)) - 1]
 
 
-_ANCHORS = "key long, doc_id long, low int, high int"
+_ANCHORS = "key long, doc_id long, low int, high int, known boolean, later boolean"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     names = WordNames()
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         words, starts = joined(text_bytes(batch), names)
         key, low, high = anchors(words, starts, window)
         doc = np.searchsorted(starts, low, "right") - 1
-        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array((low - starts[doc]).astype(np.int32)), pa.array((high - starts[doc]).astype(np.int32))], names=["key", "doc_id", "low", "high"])
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        known, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        known[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else False
+        later[order] = np.concatenate([[False], same]) if len(key) else False
+        yield pa.record_batch(
+            [
+                pa.array(key.view(np.int64)),
+                pa.array(ids[doc].astype(np.int64)),
+                pa.array((low - starts[doc]).astype(np.int32)),
+                pa.array((high - starts[doc]).astype(np.int32)),
+                pa.array(known),
+                pa.array(later),
+            ],
+            names=["key", "doc_id", "low", "high", "known", "later"],
+        )
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key whose key occurs more than once."""
+    """Rows sorted by key whose key occurs more than once here, or is known to from the batch it came from."""
     rest, known = None, None  # the last row so far, and whether its key has been seen twice
     for batch in batches:
         if not batch.num_rows:
@@ -211,40 +226,74 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.concatenate([same, [False]]) | np.concatenate([[bool(known)], same])
         known = bool(several[-1])
         rest = batch.slice(batch.num_rows - 1)
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(several[:-1]))
-    if rest is not None and known:
-        yield rest
+        yield _chosen(batch.slice(0, batch.num_rows - 1), several[:-1])
+    if rest is not None:
+        yield _chosen(rest, np.array([known]))
+
+
+def _chosen(rows: pa.RecordBatch, several: np.ndarray) -> pa.RecordBatch:
+    local = rows.column(4).to_numpy(zero_copy_only=False)
+    return rows.select(["key", "doc_id", "low", "high"]).filter(pa.array(several | local))
+
 
+_HASHED = "key long, doc_id long, low int, hashes array<long>, high int"
 
-_HASHED = "key long, doc_id long, low int, hashes array<long>"
+
+def _stretches(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each stretch of neighbouring windows of one document and key."""
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)) + 1
+    return np.concatenate([[0], cut]), np.append(cut, len(at)) - 1
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, found: list of (key, low, high)) to the hashes of each stretch's windows."""
+    """Rows (doc_id, text, found: list of (key, low, high)) to windows' hashes, and to repeats that the batch itself shows.
+
+    Of windows that are equal within the batch only the first goes on with its hash; the others are repeats, as [low, high) words
+    without hashes.
+    """
     names = WordNames()
-    for batch in batches:
+    for batch in slices(batches):
         words, starts = joined(text_bytes(batch), names)
         hashes = Hashes(words)
         found = batch.column(2)
-        doc = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy())
+        row = np.repeat(np.arange(batch.num_rows), found.value_lengths().fill_null(0).to_numpy())
         flat = found.flatten()
         key, low, high = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        inside = starts[doc] + high + window < np.append(starts[1:], len(words))[doc]  # rows of one doc_id may differ in length
-        doc, key, low, high = doc[inside], key[inside], low[inside].astype(np.int64), high[inside].astype(np.int64)
+        inside = starts[row] + high + window < np.append(starts[1:], len(words))[row]  # rows of one doc_id may differ in length
+        row, key, low, high = row[inside], key[inside], low[inside].astype(np.int64), high[inside].astype(np.int64)
         size = high - low + 1
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(starts[doc] + low, size)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(hashes(at, at + window).view(np.int64)))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-        yield pa.record_batch([pa.array(key), pa.array(ids), pa.array(low.astype(np.int32)), lists], names=["key", "doc_id", "low", "hashes"])
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        row, key = np.repeat(row, size), np.repeat(key, size)
+        hashed = hashes(starts[row] + at, starts[row] + at + window)
+        doc = batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
+        order = np.lexsort((at, doc, hashed, key))
+        doc, key, at, hashed = doc[order], key[order], at[order], hashed[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (key[1:] != key[:-1]) | (hashed[1:] != hashed[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        repeat = (doc != doc[first]) | (at != at[first])
+        columns: list[list] = [[], [], [], [], []]
+        for kind in (False, True):
+            mine = np.flatnonzero((new if not kind else repeat))
+            mine = mine[np.lexsort((at[mine], key[mine], doc[mine]))]
+            a, b = _stretches(doc[mine], key[mine], at[mine])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(a, len(mine)), pa.int32()), pa.array(hashed[mine].view(np.int64)))
+            for column, x in zip(columns, (key[mine[a]], doc[mine[a]], at[mine[a]].astype(np.int32), lists if not kind else pa.nulls(len(a), lists.type), (at[mine[b]] + window).astype(np.int32)), strict=True):
+                column.append(x if isinstance(x, pa.Array) else pa.array(x))
+        yield pa.record_batch([pa.concat_arrays(c) for c in columns], names=["key", "doc_id", "low", "hashes", "high"])
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id, low) to the word spans of windows seen before under their key."""
+    """Rows sorted by (key, doc_id, low) to the word spans of windows seen before under their key; repeats pass on."""
     current, seen = None, {}
     for batch in batches:
         out: list[tuple[int, int, int]] = []
-        for key, doc, low, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, doc, low, hashes, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if hashes is None:
+                out.append((doc, low, high))
+                continue
             if key != current:
                 current, seen = key, {}
             start = None
@@ -269,18 +318,22 @@ def copies(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``_copy`` (a smaller doc_id has the whole text) and ``_spans`` (repeats, as [low, high) words)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    dealt = ids.select("doc_id", "text").repartition(n, "doc_id")
+    ids = long_ids(docs)
+    whole = ids.where("doc_id is not null").repartition(n, "doc_id")
+    dealt = whole.select("doc_id", "text")
     copied = copies(ids).withColumn("_copy", F.lit(True))
-    own = dealt.join(copied.hint("shuffle_hash"), "doc_id", "left").where("_copy is null and doc_id is not null").select("doc_id", "text")
+    own = dealt.join(copied.hint("shuffle_hash"), "doc_id", "left").where("_copy is null").select("doc_id", "text")
     taken = own.mapInArrow(lambda b: _anchor_rows(b, window), _ANCHORS)
-    shared = taken.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_several, _ANCHORS)
+    # what a batch has shown to be shared goes anywhere, one row of each key excepted, so that a hot key is spread
+    deal = F.when(F.col("later"), F.xxhash64("key", "doc_id", "low")).otherwise(F.col("key"))
+    shared = taken.repartition(n, deal).sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, low int, high int")
     found = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "low", "high")).alias("found"))
     hashed = dealt.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _hash_rows(b, window), _HASHED)
-    repeats = hashed.repartition(n, "key").sortWithinPartitions("key", "doc_id", "low").mapInArrow(lambda b: _repeat_rows(b, window), "doc_id long, low int, high int")
+    deal = F.when(F.col("hashes").isNull(), F.xxhash64("key", "doc_id", "low")).otherwise(F.col("key"))
+    repeats = hashed.repartition(n, deal).sortWithinPartitions("key", "doc_id", "low").mapInArrow(lambda b: _repeat_rows(b, window), "doc_id long, low int, high int")
     spans = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
-    whole = dealt if set(ids.columns) == {"doc_id", "text"} else ids.repartition(n, "doc_id")
-    return whole.join(copied.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left")
+    out = whole.join(copied.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left")
+    return out.unionByName(ids.where("doc_id is null"), allowMissingColumns=True)
 
 
 def kept_words(text: bytes | None, copy: bool | None, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
@@ -336,4 +389,5 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFr
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_length(with_spans(docs, window).select(*names, "_copy", "_spans").mapInArrow(run, docs.schema))
+    inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))  # names that clash with none used here
+    return with_length(with_spans(inner, window).select(*inner.columns, "_copy", "_spans").mapInArrow(run, docs.schema))
