@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import dictionary
@@ -30,37 +31,36 @@ def ranks(path: str) -> dict[bytes, int]:
 
 #: White space where a blank may not start a unit of its own.
 _UNEVEN = re.compile(r" \s| $")
+_MARKS = frozenset(".,;:!?")
 
 
-class PreTokens:
-    """Texts to pre-tokens. A blank before a visible character always starts a new match of the pattern, so what stands
-    between two such blanks is matched once and remembered; texts with blanks elsewhere are matched whole."""
+def pre_tokens(pattern: str) -> dictionary.Split:
+    """Cuts texts to units and units to pre-tokens.
 
-    def __init__(self, pattern: str, cache: int = 300_000):
-        import regex
+    A blank before a visible character always starts a new match of the pattern, so what stands between two such blanks
+    is a unit, a string without its blank. A text's first unit, and a whole text that has blanks elsewhere, come as a tuple.
+    """
+    import regex
 
-        self.findall = regex.compile(pattern).findall
-        self.known: dict[str, list[bytes]] = {}
-        self.cache = cache
+    findall = regex.compile(pattern).findall
 
-    def _matched(self, text: str) -> list[bytes]:
-        return [x.encode() for x in self.findall(text)]
-
-    def __call__(self, data: bytes) -> list[bytes]:
+    def units(data: bytes) -> list:
         text = data.decode()
         if _UNEVEN.search(text):
-            return self._matched(text)
-        first, *units = text.split(" ")
-        known = self.known
-        out = self._matched(first)
-        for unit in units:
-            tokens = known.get(unit)
-            if tokens is None:
-                if len(known) >= self.cache:
-                    known.clear()
-                tokens = known[unit] = self._matched(" " + unit)
-            out += tokens
-        return out
+            return [(text,)]
+        first, *rest = text.split(" ")
+        return [(first,), *rest]
+
+    def tokens(unit: str | tuple[str]) -> list[bytes]:
+        if unit.__class__ is tuple:
+            return [x.encode() for x in findall(unit[0])]
+        if unit.isalpha():  # a letter run and a mark after it are matches of their own
+            return [b" " + unit.encode()]
+        if unit[-1] in _MARKS and unit[:-1].isalpha():
+            return [b" " + unit[:-1].encode(), unit[-1].encode()]
+        return [x.encode() for x in findall(" " + unit)]
+
+    return units, tokens
 
 
 def encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_bytes: int = dictionary.CHUNK_BYTES) -> DataFrame:
@@ -71,28 +71,36 @@ def encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_b
         import tiktoken
 
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})._encode_single_piece
-        last, ids = None, []
         for batch in batches:
-            sizes, flat = [], []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, encoder(word)
-                sizes.append(len(ids))
-                flat += ids
-            yield dictionary.packed(batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.array(sizes, np.int64), np.array(flat, np.int32))
+            words = batch.column(0)
+            new = np.ones(len(words), bool)
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            found = [encoder(w) for w in words.filter(pa.array(new)).to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter((k for ids in found for k in ids), np.int32, int(sizes.sum()))
+            which = np.cumsum(new) - 1
+            n = sizes[which]
+            take = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(sizes) - sizes)[which], n)
+            yield dictionary.packed(batch.column(1).to_numpy(), batch.column(2).to_numpy(), n, flat[take])
 
     def place(doc_ids: list, lengths: np.ndarray, numbers: np.ndarray, starts: np.ndarray, values: np.ndarray) -> pa.Table:
-        sizes = np.diff(starts)[numbers]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = values[np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(starts[numbers], sizes)]
-        offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        sizes = np.diff(starts)
+        parts, ends = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(numbers), 1 << 18):  # in stretches, as the index arrays are larger than the ids
+            part = numbers[k : k + (1 << 18)]
+            n = sizes[part]
+            stop = np.cumsum(n)
+            parts.append(values[np.arange(stop[-1]) - np.repeat(stop - n, n) + np.repeat(starts[part], n)])
+            ends.append(stop + ends[-1][-1])
+        ids = np.concatenate(parts) if parts else values[:0]
+        offsets = np.concatenate(ends)[np.concatenate([[0], np.cumsum(lengths)])]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
         return pa.table([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
-    def split() -> PreTokens:
-        return PreTokens(pattern)
+    def split() -> dictionary.Split:
+        return pre_tokens(pattern)
 
     found = dictionary.by_word(dictionary.vocabulary(docs, split, chunk_bytes)).mapInArrow(encode, dictionary.PACKED)
     return dictionary.reassembled(dictionary.streams(docs, split, chunk_bytes), found, "<i4", place, "doc_id long, ids array<int>")

@@ -12,6 +12,7 @@ dictionary did not come back whole raises an error rather than giving wrong rows
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from .common import text_bytes
 #: Most bytes of text in a chunk (one document may be longer).
 CHUNK_BYTES = 24 << 20
 
-#: A split function takes a text's bytes (never null) and gives its words as bytes.
-Split = Callable[[bytes], list[bytes]]
+#: Cuts a text's bytes (never null) into units, and a unit into its words as bytes. Units that recur are cut once per chunk.
+Split = tuple[Callable[[bytes], list], Callable[[object], list[bytes]]]
 
 
 class Numbers(dict):
@@ -43,32 +44,39 @@ def _chunks(batches: Iterator[pa.RecordBatch], make_split: Callable[[], Split],
 
     Words are numbered by falling count, then by arrival.
     """
-    split = make_split()
+    units_of, words_of = make_split()
     context = TaskContext.get()
     part, seq = (context.partitionId() if context else 0), 0
-    ids, extras, lengths, flat, numbers, size = [], [], [], [], Numbers(), 0
+    ids, extras, coded, numbers, known, size = [], [], [], Numbers(), {}, 0
 
     def chunk() -> tuple:
-        arrived = np.array(flat, np.int32)
+        arrived = np.frombuffer(b"".join(coded), np.int32)
         counts = np.bincount(arrived, minlength=len(numbers))
         order = np.argsort(-counts, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         words = list(numbers)
-        return (part << 24) + seq, ids, extras, np.array(lengths, np.int32), place[arrived], [words[k] for k in order.tolist()]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        return (part << 24) + seq, ids, extras, lengths.astype(np.int32), place[arrived], [words[k] for k in order.tolist()]
 
     for batch in batches:
         more = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
         for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True)):
             if size and size + len(text or b"") > chunk_bytes:
                 yield chunk()
-                ids, extras, lengths, flat, numbers, size = [], [], [], [], Numbers(), 0
+                ids, extras, coded, numbers, known, size = [], [], [], Numbers(), {}, 0
                 seq += 1
-            words = split(text) if text else []
-            flat.extend(map(numbers.__getitem__, words))
+            units = units_of(text) if text else []
+            try:
+                line = b"".join(map(known.__getitem__, units))
+            except KeyError:
+                for u in dict.fromkeys(units):
+                    if u not in known:
+                        known[u] = array("i", map(numbers.__getitem__, words_of(u))).tobytes()
+                line = b"".join(map(known.__getitem__, units))
+            coded.append(line)
             ids.append(doc)
             extras.append([c[at] for c in more])
-            lengths.append(len(words))
             size += len(text or b"") + 1
     if ids:
         yield chunk()

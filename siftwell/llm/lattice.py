@@ -133,8 +133,8 @@ class Lattice:
                 counts[piece] = counts.get(piece, 0.0) + times * math.exp(forward[i] + v - forward[n])
 
 
-def _split():
-    return lambda text: text.lower().split()
+def _split() -> dictionary.Split:
+    return (lambda text: text.lower().split()), (lambda word: [word])
 
 
 def trained(words: DataFrame, start: dict[str, float]) -> tuple[dict[str, float], float]:
