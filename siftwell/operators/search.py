@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,26 @@ def ranked_by(df: DataFrame, keys: list[str], order: list[Column], k: int | None
     return out.where(F.col(name) <= k) if k else out
 
 
+def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's overlapping three-character pieces with their counts, a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            terms, ids, counts = [], [], []
+            for chunk, text in zip(batch.column(0)[at : at + 200].to_pylist(), batch.column(1)[at : at + 200].to_pylist(), strict=True):
+                found = Counter(map("".join, zip(text or "", (text or "")[1:], (text or "")[2:], strict=False)))
+                terms += found
+                counts += found.values()
+                ids += [chunk] * len(found)
+            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["term", "chunk_id", "tf"])
+
+
 def trigram_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``term, chunk_id, tf`` over every three characters of the folded text; only those in ``terms`` if given."""
-    rows = chunks.select("chunk_id", F.explode(T.grams(F.lower("text"))).alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    """``term, chunk_id, tf`` over every three characters of the folded text; only those in ``terms`` if given.
+
+    A chunk is one row, so it is counted where it is read: pieces are never exploded one by one nor shuffled to be counted.
+    """
+    rows = chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(_counted_grams, "term string, chunk_id long, tf long")
+    return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -49,7 +64,7 @@ def term_stats(postings: DataFrame) -> DataFrame:
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25 over any of the query's terms; statistics are those of all chunks.
 
-    Only the queries' terms are counted: the others are dropped before the shuffle. Scores are rounded to 6 digits, then ties go by id.
+    Only the queries' terms are kept: the others are dropped before the shuffle. Scores are rounded to 6 digits, then ties go by id.
     """
     terms = queries.select("query_id", F.explode(T.query_terms(F.col("query_text"))).alias("term"))
     postings = trigram_postings(chunks, terms)
@@ -130,7 +145,6 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int, pool: int = 10) -> DataFr
     joined = hits.join(scores.select("query_id", "chunk_id", F.col("score").alias("pair_score")), ["query_id", "chunk_id"], "left")
     query = Window.partitionBy("query_id")
     missing = F.max(((F.col("rank") <= n) & F.col("pair_score").isNull()).cast("int")).over(query)
-    order = [(F.col("rank") > n), F.when((F.col("rank") <= n) & (missing == 0), -F.col("pair_score")), F.col("rank")]
     joined = joined.withColumn("_missing", missing)
     order = [F.col("rank") > n, F.when((F.col("rank") <= n) & (F.col("_missing") == 0), -F.col("pair_score")), F.col("rank")]
     return joined.withColumn("new_rank", F.row_number().over(query.orderBy(*order))).drop("_missing")

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import passages as P
 from ..sources import files as S
+from ..sources.shared import shared_folder
 from ..streaming import watch as W
 from . import file_queries, inputs
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors both read: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _corpus(s: SparkSession, d: str) -> str:
     """The documents' texts as text files, a folder per source."""
     folder = shared_folder(s, "corpus")
