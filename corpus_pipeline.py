@@ -19,8 +19,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints of five-word shingles reach one another, the one with the smallest doc_id stays."""
-    return simhash.first_of_each(docs, shingle=5)
+    """Of documents whose fingerprints reach one another, as the operator's contract links them, the one with the smallest doc_id stays."""
+    return simhash.first_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
