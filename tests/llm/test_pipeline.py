@@ -32,7 +32,7 @@ def corpus():
 def brute(rows, items):
     zstd = zstandard.ZstdCompressor(level=quality.Bands().level)
     rows = [(i, t) for i, t in rows if quality.figures(t and t.encode(), quality.Bands(), zstd)[6]]
-    least = brute_components([brute_fingerprint(t, 5) for _, t in rows])
+    least = brute_components([brute_fingerprint(t, 4) for _, t in rows])
     rows = [r for k, r in enumerate(rows) if least[k] == k]
     cut = []
     for (i, t), kept in zip(rows, brute_substring(rows)):
