@@ -31,7 +31,7 @@ def ranks(path: str) -> dict[bytes, int]:
 
 #: White space where a blank may not start a unit of its own.
 _UNEVEN = re.compile(r" \s| $")
-_MARKS = frozenset(".,;:!?")
+_MARKS = {c: c.encode() for c in ".,;:!?"}
 
 
 def pre_tokens(pattern: str) -> dictionary.Split:
@@ -56,8 +56,8 @@ def pre_tokens(pattern: str) -> dictionary.Split:
             return [x.encode() for x in findall(unit[0])]
         if unit.isalpha():  # a letter run and a mark after it are matches of their own
             return [b" " + unit.encode()]
-        if unit[-1] in _MARKS and unit[:-1].isalpha():
-            return [b" " + unit[:-1].encode(), unit[-1].encode()]
+        if (mark := unit[-1]) in _MARKS and (stem := unit[:-1]).isalpha():
+            return [b" " + stem.encode(), _MARKS[mark]]
         return [x.encode() for x in findall(" " + unit)]
 
     return units, tokens

@@ -70,9 +70,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], make_split: Callable[[], Split],
             try:
                 line = b"".join(map(known.__getitem__, units))
             except KeyError:
-                for u in dict.fromkeys(units):
-                    if u not in known:
-                        known[u] = array("i", map(numbers.__getitem__, words_of(u))).tobytes()
+                for u in [u for u in dict.fromkeys(units) if u not in known]:
+                    words = words_of(u)
+                    known[u] = numbers[words[0]].to_bytes(4, "little") if len(words) == 1 else array("i", map(numbers.__getitem__, words)).tobytes()
                 line = b"".join(map(known.__getitem__, units))
             coded.append(line)
             ids.append(doc)

@@ -52,21 +52,20 @@ class Lattice:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.longest = max(map(len, weights), default=1)
-        prefixes = {p[:k] for p in weights for k in range(1, len(p))}
-        self.dead_end = lambda s: s not in prefixes
+        self.prefixes = {p[:k] for p in weights for k in range(1, len(p))}
         self.byte = BYTES_SHARE / 256
 
     def _arcs(self, word: str) -> list[list[tuple[int, float, str]]]:
         """For each place the pieces that start there: (end, probability, piece); bytes where no single character fits."""
-        weights, dead_end, n = self.weights, self.dead_end, len(word)
+        get, prefixes, n = self.weights.get, self.prefixes, len(word)
         arcs = []
         for i in range(n):
             here = []
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 piece = word[i:j]
-                if (p := weights.get(piece)) is not None:
+                if (p := get(piece)) is not None:
                     here.append((j, p, piece))
-                if dead_end(piece):
+                if piece not in prefixes:
                     break
             if not here or here[0][0] != i + 1:
                 here.insert(0, (i + 1, self.byte ** len(word[i].encode()), ""))
@@ -95,7 +94,14 @@ class Lattice:
         return logs
 
     def log10(self, word: str) -> float:
-        return self._forward(self._arcs(START + word))[-1] / math.log(10)
+        arcs = self._arcs(START + word)
+        total = [1.0] + [0.0] * len(arcs)
+        for i, here in enumerate(arcs):
+            f = total[i]
+            for j, p, _ in here:
+                total[j] += f * p
+        # short words need no logs inside; what vanishes is summed again in log space
+        return math.log10(total[-1]) if total[-1] > 1e-250 else self._forward(arcs)[-1] / math.log(10)
 
     def expect(self, word: str, times: float, counts: dict[str, float]) -> None:
         """Adds the expected number of each piece in ``times`` occurrences of the word."""
