@@ -26,7 +26,7 @@ from .common import shared_folder, text_bytes
 
 END = 2
 #: Most words in a Python worker's cache of words already encoded.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Documents encoded at once.
 SLICE = 500
 ROW_GROUP_BYTES = 16 << 20
