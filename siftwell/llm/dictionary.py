@@ -145,7 +145,7 @@ def packed(chunk: np.ndarray, at: np.ndarray, sizes: np.ndarray, values: np.ndar
         n = sizes[part]
         total = int(n.sum())
         take = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
-        for column, x in zip(rows, (int(chunk[part[0]]), at[part].astype("<i4").tobytes(), n.astype(np.uint16).tobytes(), values[take].tobytes()), strict=True):
+        for column, x in zip(rows, (int(chunk[part[0]]), at[part].astype("<i4").tobytes(), n.astype("<u4").tobytes(), values[take].tobytes()), strict=True):
             column.append(x)
     return pa.record_batch([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["chunk", "at", "sizes", "values"])
 
@@ -164,9 +164,9 @@ def reassembled(
             raise RuntimeError("values of a chunk that the streams don't have: the documents must be read alike each time")
         (row,) = left.to_pylist()
         at = np.frombuffer(b"".join(right.column("at").to_pylist()), "<i4")
-        n = np.frombuffer(b"".join(right.column("sizes").to_pylist()), np.uint16).astype(np.int64)
+        n = np.frombuffer(b"".join(right.column("sizes").to_pylist()), "<u4").astype(np.int64)
         values = np.frombuffer(b"".join(right.column("values").to_pylist()), dtype)
-        if len(at) != row["n_words"] or len(at) and (np.bincount(at, minlength=len(at)) != 1).any():
+        if len(at) != row["n_words"] or len(n) != len(at) or int(n.sum()) != len(values) or len(at) and (np.bincount(at, minlength=len(at)) != 1).any():
             raise RuntimeError("a chunk's dictionary did not come back whole: the documents must be read alike each time")
         order = np.argsort(at)
         before = np.cumsum(n) - n

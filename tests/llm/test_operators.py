@@ -72,6 +72,15 @@ def test_bpe_units_match_the_pattern_anywhere(encoder):
         assert [k for u in units(text.encode()) for w in tokens(u) for k in encoder._encode_single_piece(w)] == encoder.encode_ordinary(text)
 
 
+def test_bpe_places_words_of_very_many_ids(spark, encoder):
+    rng = random.Random(7)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=160_000))
+    rows = [(1, "some words stand here"), (2, run), (3, "and other words here " * 20), (4, "so " + run + "! then more words")]
+    assert len(encoder.encode_ordinary(run)) > 65_535
+    got = rows_of(bpe.digest(frame(spark, rows).coalesce(1), bpe.ranks(BPE), public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == [(i, len(ids), sha(",".join(map(str, ids))), sha(t)) for i, t in rows for ids in [encoder.encode_ordinary(t)]]
+
+
 # ---- 2 SimHash
 
 
