@@ -5,7 +5,7 @@ follow one another in ascending doc_id order. Row groups and pages are kept smal
 fetches few bytes besides the documents it asks for; ids are dictionary-encoded and metadata columns delta-encoded
 (format version 2), and the page indexes that the writer adds let readers skip pages by doc_id.
 
-Defined results: a null or empty text has the end id alone; rows with equal doc_id stand in the order of
+Defined results: a null or empty text has the end id alone; an added token's literal in a text has that token's id; rows with equal doc_id stand in the order of
 a hash of their text; null ids come first; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -53,7 +53,8 @@ class Encoder:
     """Texts to ids with a ``tokenizers`` file whose words never reach over white space and which ignores case.
 
     Each new word between spaces goes through the library once; its ids are then kept as bytes. Plain words go to the
-    library's model directly if probes show that its other steps leave them as they are.
+    library's model directly if probes show that its other steps leave them as they are. The vocabulary's added tokens
+    keep their own ids, as by the library's defaults: words that hold one in any case go to the library as they are written.
     """
 
     def __init__(self, tokenizer: str, cache: int = CACHE):
@@ -61,7 +62,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # matched on the raw text, so that lower-casing must not make one or break one
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.marks = {b"": b""}
@@ -79,7 +82,10 @@ class Encoder:
         """Ids as 32-bit integers."""
         if not text:
             return b""
-        words = (text.lower() if self.direct else text).split()
+        if self.direct and self.added and self.added.search(text):
+            words = [w if self.added.search(w) else w.lower() for w in text.split()]
+        else:
+            words = (text.lower() if self.direct else text).split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))

@@ -306,6 +306,19 @@ def test_token_files_equal_the_library(spark, awkward):
     assert got == sorted(want)
 
 
+def test_token_files_keep_added_tokens(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(1, "<|endoftext|>"), (2, "The model prints <|endoftext|> at the end<|endoftext|>."), (3, "a<|startoftext|>B, <|STARTOFTEXT|> x<|EndOfText|>y."), (4, "<|ENDOFTEXT|><|endoftext|><|startoftext|> It's so, é<|endoftext|>É"), (5, "Plain words follow, here."), (6, "<|endoftext|>."), (7, "<|endoftext <|endo ftext|>")]
+    got = sorted(tuple(r) for r in token_files.written_and_read(frame(spark, rows), path).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    at, want = 0, []
+    for i, t in rows:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and library.encode(rows[1][1], add_special_tokens=False).ids.count(49407) == 2
+
+
 def test_token_files_read_a_range_and_are_coded_as_said(spark, awkward, tmp_path):
     import pyarrow.parquet as pq
 
