@@ -20,6 +20,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import text_bytes, with_length, written
 
@@ -172,6 +173,15 @@ def _matched(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(match, _SCHEMA)
 
 
+def _hit(by_row: DataFrame, blocks: list[Callable], window: int) -> DataFrame:
+    """``_row, spans, items`` of the rows (row number as doc_id, text) that items hit: each block's hits on the whole texts, put together."""
+    hit = None
+    for block in blocks:
+        found = written(_matched(by_row, Automaton(block(), window)).where(F.size("items") > 0), "decontaminate")
+        hit = found if hit is None else hit.unionByName(found)
+    return hit.groupBy(F.col("doc_id").alias("_row")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: word count, hit spans (merged) and the items whose windows occur.
 
@@ -184,11 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
         return _matched(docs, Automaton(blocks[0](), window))
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     by_row = numbered.selectExpr("_row doc_id", "text")
-    hit = None
-    for block in blocks:
-        found = written(_matched(by_row, Automaton(block(), window)).where(F.size("items") > 0), "decontaminate")
-        hit = found if hit is None else hit.unionByName(found)
-    hit = hit.groupBy(F.col("doc_id").alias("_row")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hit = _hit(by_row, blocks, window)
     join = F.udf(lambda spans: merged([tuple(s) for s in spans or []]), _SCHEMA.split("spans ")[1].split(", items")[0])
     words = _matched(by_row, Automaton([], window)).selectExpr("doc_id _row", "n_words")
     return (
@@ -211,34 +217,40 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, items: DataFrame, min_words: int = 1, max_coverage: float = 0.5) -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, min_words: int = 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit spans of ``min_words`` words or more cut from the texts; all columns stay.
 
     A document of which more than ``max_coverage`` of the words are hit goes. ``n_chars``, where there is
-    such a column, follows the new text. Several blocks of items are applied one after the other; the coverage limit holds for each.
+    such a column, follows the new text. With several blocks of items, the hits of all are found on the uncut texts and
+    joined to the rows before anything is cut, so that rows don't depend on the number of blocks.
     """
-    schema = docs.schema
-    at = schema.fieldNames().index("text")
-    for block in item_blocks(items):
-        docs = _cut(docs, docs.sparkSession.sparkContext.broadcast(Automaton(block())), min_words, max_coverage, at)
-    return with_length(docs)
+    blocks = item_blocks(items, block_words)
+    if len(blocks) == 1:
+        return with_length(_cut(docs, docs.schema, docs.sparkSession.sparkContext.broadcast(Automaton(blocks[0]())), min_words, max_coverage))
+    numbered = written(docs.withColumn("_cut_row", F.monotonically_increasing_id()), "decontaminate")
+    hit = _hit(numbered.selectExpr("_cut_row doc_id", "text"), blocks, WINDOW).selectExpr("_row _cut_row", "spans _cut_spans")
+    return with_length(_cut(numbered.join(hit, "_cut_row", "left").drop("_cut_row"), docs.schema, None, min_words, max_coverage))
+
 
+def _cut(docs: DataFrame, schema: StructType, shared, min_words: int, max_coverage: float) -> DataFrame:
+    """``docs`` cut to ``schema``; spans come from the ``shared`` automaton, or without one from the last column."""
+    at = schema.fieldNames().index("text")
 
-def _cut(docs: DataFrame, shared, min_words: int, max_coverage: float, at: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            known = None if shared else batch.column(batch.num_columns - 1).to_pylist()
             texts, keep = [], []
-            for t in text_bytes(batch):
-                places = [m.span() for m in WORD.finditer((t or b"").lower())]
+            for k, t in enumerate(text_bytes(batch)):
                 low = (t or b"").lower()
-                spans, _ = shared.value.hits([low[a:b] for a, b in places])
+                places = [m.span() for m in WORD.finditer(low)]
+                spans = shared.value.hits([low[a:b] for a, b in places])[0] if shared else merged([(s["start"], s["stop"]) for s in known[k] or []])
                 spans = [s for s in spans if s[1] - s[0] >= min_words]
                 keep.append(sum(b - a for a, b in spans) <= max_coverage * len(places))
                 for a, b in reversed(spans):
                     t = t[: places[a][0]] + t[places[b - 1][1] :]
                 texts.append(t)
-            columns = batch.columns
+            columns = batch.columns if shared else batch.columns[:-1]
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.record_batch(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch(columns, names=batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(cut, schema)

@@ -263,6 +263,16 @@ def test_decontamination_cuts_and_drops(spark):
     assert out == {1: "clean text", 3: "w " * 30 + ", and more", 4: None}
 
 
+@pytest.mark.parametrize("block_words", [100])
+def test_decontamination_cuts_alike_for_one_and_many_blocks(spark, awkward, block_words):
+    w = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(w[4 * k : 4 * k + 14])) for k in range(10)] + [(20 + k, " ".join([*w[k : k + 6], *w[50 : 54 + k]])) for k in range(6)] + ITEMS
+    rows = [*awkward, (70, " ".join(w)), (71, "so " * 12 + " ".join(w[:14]) + " and " * 3 + " ".join(w[36:50])), (72, "q " * 90 + " ".join(w[:50]) + " end"), (73, "Q, " * 60 + ". ".join(w[:14]) + " so " + " ".join([*w[:6], *w[:14], *w[50:54]])), (None, "z " * 40 + " ".join(w[8:30]))]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted((tuple(r) for r in decontaminate.cleaned(frame(spark, rows), items, block_words=n).collect()), key=str) for n in (1_000_000, block_words))
+    assert len(decontaminate.item_blocks(items, block_words)) > 1 and many == one and {70, 71}.isdisjoint(r[0] for r in one)
+
+
 # ---- 6 quality rules
 
 
