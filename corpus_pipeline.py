@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import bpe, decontaminate, quality, simhash, substring
+from siftwell.llm import bpe, decontaminate, near_copies, quality, substring
 from siftwell.llm.common import read_table, written
 
 
@@ -18,9 +18,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints reach one another, as the operator's contract links them, the one with the smallest doc_id stays."""
-    return simhash.first_of_each(docs)
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a five-word similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    return near_copies.first_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, vocabulary, public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", rules), ("simhash", near_copies), ("substring", passages), ("decontaminate", leaks), ("byte_bpe", tokens)]
+STAGES = [("quality_rules", rules), ("simhash", first_copies), ("substring", passages), ("decontaminate", leaks), ("byte_bpe", tokens)]
 
 #: SQL has neither zstandard nor XXH64: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None

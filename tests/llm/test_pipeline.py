@@ -71,6 +71,30 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {0, 1, 2, 3, 4, 50, 52, 53, 54} <= kept and not kept & {40, 42, 43, 44, 45, 51}
 
 
+def test_near_copies_go_from_a_similarity_of_four_fifths(spark, tmp_path):
+    rng = random.Random(21)
+    rows, sets = [], []
+    for k in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 600))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 5):
+            share = rng.uniform(0.001, 0.06)
+            rows.append((10 * k + c, " ".join(f"x{rng.randrange(5000)}" if rng.random() < share else x for x in base)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    similar = lambda a, b: len(a & b) / len(a | b)
+    least = list(range(len(rows)))
+    for k in range(0, len(rows), 5):
+        for _ in range(5):
+            for a in range(k, k + 5):
+                for b in range(k, k + 5):
+                    if similar(sets[a], sets[b]) >= 0.8:
+                        least[a] = least[b] = min(least[a], least[b])
+    planted = [similar(sets[k], sets[k + c]) for k in range(0, len(rows), 5) for c in range(1, 5)]
+    assert sum(0.8 <= x < 0.95 for x in planted) > 30 and sum(x < 0.8 for x in planted) > 20
+    stage = corpus_pipeline.STAGES[1][1]
+    assert {r["doc_id"] for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()} == {i for k, (i, _) in enumerate(rows) if least[k] == k}
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     rows, items = corpus()
     docs = frame(spark, rows)
