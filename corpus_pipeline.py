@@ -19,13 +19,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    """Of documents linked by SimHash or its widened search, at a five-word similarity of 0.8 or more, the one with the smallest doc_id stays."""
     return near_copies.first_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 20-word windows that start earlier in the corpus go; documents that keep no word go."""
-    return substring.cleaned(docs)
+    """Words of 20-word windows that start earlier in the corpus go; documents cut to fewer words than the quality rules ask for go."""
+    return substring.cleaned(docs, min_words=quality.Bands().min_words)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

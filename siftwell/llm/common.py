@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,26 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose Python workers, which Spark keeps for later tasks, hand back memory after each task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def id_bucket(buckets: int, column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo ``buckets``; null ids count as bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % buckets, F.lit(0))
@@ -60,6 +82,18 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 6 << 20, column: str =
             yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``rows`` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def ranked(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     """``df`` with ``rank``: 0-based position in the global order, found without a one-task sort.
 

@@ -1,12 +1,19 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles, verified.
+"""The near-copy stage: SimHash links widened to a similarity of 0.8, all verified on sets of five-word shingles.
 
-Texts get ``BANDS`` keys of ``ROWS`` minhashes each; texts with a key in common meet by equality, and every pair that
-leaves a meeting is verified on the whole sets. A meeting of up to ``NEAR`` + 1 texts gives all its pairs; a larger one
-gives each text with its first text and with the ``NEAR`` next in id order, so that pairs stay in proportion to texts.
-Links join to components as in ``simhash``. Equal texts (but for case and white space) take part once.
+Links at 4 of 64 SimHash bits find very near copies only: at a Jaccard similarity of 0.8 fingerprints differ in about ten bits. So the
+stage links in three steps, each of which offers pairs of texts that the steps before left in different components. Every
+pair is verified: the Jaccard similarity of the whole sets must be 0.8 or more.
+
+1. SimHash over five-word shingles, met by deletion variants (``simhash.links``).
+2. Texts with one of ``BANDS`` keys of ``ROWS`` minhashes in common: each with the first text of the meeting, which settles
+   large groups of near copies with few pairs a text.
+3. What still meets under a key in different components: all such pairs, unless their 100 minhashes agree in fewer than ``AGREE``
+   (at similarity 0.8 once in some 10 million pairs).
+
+Equal texts (but for case and white space) take part once.
 
 Defined results: texts without words are copies of one another; fewer words than a shingle form one shingle;
-rows with null ids link nothing.
+rows with null ids link nothing and stay; an empty table gives an empty table; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -19,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
-from .simhash import components
+from . import simhash
+from .common import in_tasks, text_bytes, written
 
 SHINGLE = 5
 #: Least similarity, in fifths.
 FIFTHS = 4
 #: A pair at similarity 0.8 shares no key once in some 2,800 times, at 0.85 once in some 37,000.
 BANDS, ROWS = 20, 5
-NEAR = 8
+AGREE = 55
 
 _RNG = np.random.default_rng(5)
 _FACTORS = _RNG.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,69 +43,48 @@ _TERMS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 _STRETCH = 2000
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """A hash of the lower-cased words, and the sorted distinct hashes of their shingles."""
-    words = (text or b"").lower().split()
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxh64_intdigest(line, 42)] if words else []
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
-        hashes = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    return xxh64_intdigest(line, 7), np.unique(np.array(hashes, np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
+def minhashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), _STRETCH):
         mixed = hashes[k : k + _STRETCH] * _FACTORS + _TERMS
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, mixed.min(axis=1))
+    return least
+
+
+def sketch(text: bytes | None) -> tuple[int, int, list[int], bytes]:
+    """A hash of the lower-cased words; the SimHash; the bands' keys; a byte of each minhash."""
+    words = (text or b"").lower().split()
+    whole = xxh64_intdigest(b" ".join(words), 7)
+    hashes = simhash.shingle_hashes(words, SHINGLE)
+    if not hashes:
+        return whole, 0, [], b""
+    least = minhashes(np.unique(np.array(hashes, np.uint64)))
     data, width = least.tobytes(), 8 * ROWS
-    return np.array([xxh64_intdigest(data[width * k : width * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
-
-
-def candidates(met: DataFrame) -> DataFrame:
-    """Distinct pairs ``a, b`` (a < b) of ``met`` (key, id)."""
-
-    def pairs_of(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        run = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        first = np.repeat(ids[run], np.diff(np.append(run, len(keys))))
-        a, b = [first], [ids]
-        for d in range(1, NEAR + 1):
-            same = keys[d:] == keys[:-d]
-            a.append(ids[:-d][same])
-            b.append(ids[d:][same])
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_keys, rest_ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    keys = np.array([xxh64_intdigest(data[width * k : width * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
+    return whole, simhash.majority(hashes), keys.tolist(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``id, whole, fp, keys, small`` of each row of ``texts`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.concatenate([rest_keys, batch.column(0).to_numpy()])
-            ids = np.concatenate([rest_ids, batch.column(1).to_numpy()])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
-            if cut:
-                yield pairs_of(keys[:cut], ids[:cut])
-            rest_keys, rest_ids = keys[cut:], ids[cut:]
-        if len(rest_keys):
-            yield pairs_of(rest_keys, rest_ids)
+            whole, prints, keys, small = zip(*map(sketch, text_bytes(batch)), strict=True) if batch.num_rows else ((), (), (), ())
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, prints)]
+            yield pa.record_batch([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["id", "whole", "fp", "keys", "small"])
 
-    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
+    return texts.transform(in_tasks, run, "id long, whole long, fp long, keys array<long>, small binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ids of ``docs`` (id, text) whose sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose sets are similar enough."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles(t)[1].tobytes() for t in text_bytes(batch)], pa.binary())], names=["id", "hashes"])
+            found = [np.unique(np.array(simhash.shingle_hashes((t or b"").lower().split(), SHINGLE), np.uint64)).tobytes() for t in text_bytes(batch)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,30 +98,80 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = written(docs.join(some, "id", "left_semi").mapInArrow(sets, "id long, hashes binary"), "shingles")
+    of = written(texts.join(some, "id", "left_semi").transform(in_tasks, sets, "id long, hashes binary"), "shingles")
     joined = pairs.join(of.selectExpr("id a", "hashes x"), "a").join(of.selectExpr("id b", "hashes y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(near, "a long, b long").distinct()
+    return written(joined.select("a", "b", "x", "y").transform(in_tasks, near, "a long, b long").distinct(), "near-links")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their component, with all their columns.
+def _prints_met(one: DataFrame) -> DataFrame:
+    """Pairs of texts with equal or linked fingerprints."""
+    least = written(one.groupBy("fp").agg(F.min("id").alias("id")), "prints")
+    same = one.join(least.withColumnRenamed("id", "a"), "fp").select("a", F.col("id").alias("b"))
+    edges = simhash.links(least.select("fp"))
+    linked = edges.join(least.selectExpr("fp a", "id x"), "a").join(least.selectExpr("fp b", "id y"), "b").selectExpr("x a", "y b")
+    return same.unionByName(linked).where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
-    Null ids stay. Of repeated rows with one id, all stay.
-    """
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _firsts_met(met: DataFrame) -> DataFrame:
+    """Each text of a meeting (key, id, label, small) with the meeting's first, where their components differ."""
+    first = met.groupBy("key").agg(F.min(F.struct("id", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return met.join(first, "key").where("label <> first.label").selectExpr("least(first.id, id) a", "greatest(first.id, id) b").distinct()
+
+
+def _all_met(met: DataFrame) -> DataFrame:
+    """Pairs of a meeting whose components differ and whose minhashes agree well enough."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        current = None
+
+        def crossed() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            ids, labels = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+            small = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
+            for k in range(len(held) - 1):
+                other = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
+                near = other[(small[other] == small[k]).sum(axis=1) >= AGREE]
+                if len(near):
+                    yield pa.record_batch([pa.array(np.minimum(ids[k], ids[near])), pa.array(np.maximum(ids[k], ids[near]))], names=["a", "b"])
+
         for batch in batches:
-            found = [shingles(t) for t in text_bytes(batch)]
-            whole = np.array([h for h, _ in found], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(whole), pa.array([band_keys(s) for _, s in found], pa.list_(pa.int64()))], names=["id", "whole", "keys"])
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != current:
+                    yield from crossed()
+                    current = key
+                    held.clear()
+                held.append(tuple(row))
+        yield from crossed()
+
+    mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = met.join(mixed, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key", "id")
+    return left.select("key", "id", "label", "small").transform(in_tasks, pairs, "a long, b long").distinct()
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least doc_id of their component, with all their columns.
 
+    Null ids stay. Of repeated rows with one id, all stay; a repeated id with several texts is one node.
+    """
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) id", "text")
-    rows = written(texts.mapInArrow(sketch, "id long, whole long, keys array<long>"), "sketches")
+    rows = written(sketches(texts), "sketches")
     nodes = rows.groupBy("whole").agg(F.min("id").alias("id"))
-    met = rows.join(nodes, ["whole", "id"], "left_semi").select(F.explode("keys").alias("key"), "id")
-    # a repeated id with several texts is one node
-    ids = nodes.select("id").distinct()
-    linked = components(ids.select(F.col("id").alias("fp"), "id"), verified(written(candidates(met), "candidates"), texts))
-    moved = linked.where("component <> fp").select(F.col("fp").alias("id"))
-    stay = ids.join(moved, "id", "left_anti").selectExpr("id doc_id")
+    one = written(rows.join(nodes, ["whole", "id"], "left_semi"), "near-texts")
+    labels = written(one.select("id", F.col("id").alias("label")).distinct(), "near-labels")
+
+    def met() -> DataFrame:
+        """Texts under their keys, with the components so far."""
+        return one.join(labels, "id").select(F.explode("keys").alias("key"), "id", "label", "small")
+
+    for offered in (lambda: _prints_met(one), lambda: _firsts_met(met().drop("small")), lambda: _all_met(met())):
+        found = verified(written(offered(), "near-pairs"), texts)
+        ends = found.join(labels.selectExpr("id a", "label x"), "a").join(labels.selectExpr("id b", "label y"), "b")
+        edges = ends.where("x <> y").selectExpr("x a", "y b").distinct()
+        moved = simhash.components(labels.select(F.col("label").alias("fp"), F.col("label").alias("id")).distinct(), edges)
+        joined = labels.join(moved.selectExpr("fp label", "component"), "label", "left")
+        labels = written(joined.select("id", F.coalesce("component", "label").alias("label")), "near-labels")
+    stay = labels.where("id = label").selectExpr("id doc_id")
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

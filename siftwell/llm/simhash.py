@@ -4,7 +4,8 @@ A fingerprint takes the majority of the shingles' XXH64 bits. To find fingerprin
 differing bits, the 64 bits are cut into 3 segments: four differences over three segments leave one segment
 with at most one. Each segment is indexed under its one-wildcard variants (the segment without bit k, for each k), so
 such segments share a variant. Distinct fingerprints meet by equality of (segment, k, rest of the segment) and
-every meeting is verified on all 64 bits.
+every meeting is verified on all 64 bits. As a variant has 20 bits or so, fingerprints in very great number (``MANY``) are cut
+into 6 segments, of which some three together hold one difference at most, and meet by variants of 31 bits; the links are the same.
 
 Within a meeting no list of all pairs is made: verified neighbours are joined to trees by breadth-first search over
 what has not been reached yet, and only the trees' edges leave. Trees of all meetings then join to components by
@@ -14,13 +15,14 @@ Exact copies share a fingerprint and are never compared: one row per distinct fi
 groups of copies come back in one join at the end, whose large groups Spark can split.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than
-a shingle form one shingle; repeated rows get one row each; rows with null ids link nothing and get the
+a shingle form one shingle; a text of any length is hashed whole; repeated rows get one row each; rows with null ids link nothing and get the
 component of their fingerprint, if any; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +30,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import in_tasks, text_bytes, written
 
 SHINGLE = 4
 BITS = 4
-#: First bit and width of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (segments, segments taken together): with 4 differing bits one of 3 segments, or some 3 of 6 together, have one at most.
+LAYOUTS = ((3, 1), (6, 3))
+#: Fingerprints from which the longer keys of the second layout are taken; both find the same links.
+MANY = 1 << 27
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of each shingle of the words, repeats included; fewer words are one shingle."""
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
-        hashes = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_ = np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(set_, bitorder="little").view("<u8")[0])
+        return [xxh64_intdigest(b" ".join(words), 42)] if words else []
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
+    return [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that over half of the hashes have."""
+    if not hashes:
+        return 0
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes((text or b"").lower().split(), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,17 +73,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             prints = np.array([fingerprint(t, shingle) for t in text_bytes(batch)], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(in_tasks, run, "doc_id long, fp long")
 
 
-def variants(prints: DataFrame) -> DataFrame:
-    """Each fingerprint under its 64 one-wildcard variants: ``key`` packs segment, wildcard bit and the rest."""
+def variants(prints: DataFrame, layout: tuple[int, int] = LAYOUTS[0]) -> DataFrame:
+    """Each fingerprint under its one-wildcard variants: ``key`` is which segments, which bit is left out, and the rest of them."""
+    segments, together = layout
+    cuts = [round(64 * k / segments) for k in range(segments + 1)]
     keys = []
-    for first, width in SEGMENTS:
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-        for k in range(width):
-            rest = segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << k)))
-            keys.append(rest + F.lit((first + k) << 24))
+    for which in combinations(range(segments), together):
+        bits = [b for k in which for b in range(cuts[k], cuts[k + 1])]
+        mask = sum(1 << b for b in bits)
+        for b in bits:
+            rest = F.col("fp").bitwiseAND(F.lit((mask & ~(1 << b)) - (1 << 64 if (mask & ~(1 << b)) >> 63 else 0)))
+            # 22 bits fit beside the number of the variant; longer keys are hashed with it
+            keys.append(F.shiftrightunsigned(rest, cuts[which[0]]) + F.lit(len(keys) << 24) if together == 1 else F.xxhash64(F.lit(len(keys)), rest))
     return prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
@@ -92,8 +109,9 @@ def tree_edges(prints: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def links(prints: DataFrame, bits: int = BITS, layout: tuple[int, int] | None = None) -> DataFrame:
     """Distinct verified edges ``a, b`` that connect the distinct fingerprints of ``prints`` (fp)."""
+    layout = layout or LAYOUTS[prints.count() >= MANY]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_keys, rest_prints = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -124,7 +142,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
             yield edges_of(rest_keys, rest_prints)
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = variants(prints).repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    met = variants(prints, layout).repartition(n, "key").sortWithinPartitions("key").transform(in_tasks, meet, "a long, b long")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -154,18 +172,10 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> Data
     rows = written(fingerprints(docs, shingle), "fingerprints")
     nodes = rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
     linked = components(nodes, links(nodes.select("fp"), bits))
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # written, so that the last join reads both sides from plain exchanges and Spark can split a hot fingerprint's rows
+    of = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "fingerprint-components")
     return rows.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     return clustered(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their component, with all their columns.
-
-    Null ids stay. Of repeated rows with one id, all stay.
-    """
-    stay = clustered(docs.where("doc_id is not null"), shingle, bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

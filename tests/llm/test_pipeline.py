@@ -13,7 +13,7 @@ import corpus_pipeline
 from siftwell.llm import bpe, quality
 
 from .conftest import frame
-from .test_operators import WORD5, brute_components, brute_fingerprint, brute_substring, lower, sha, words
+from .test_operators import WORD5, brute_substring, lower, sha, words
 
 REPO = Path(__file__).resolve().parents[2]
 
@@ -29,14 +29,23 @@ def corpus():
     return rows, [(1, item), (2, "never found at all in here"), (3, None)]
 
 
+def five(t):
+    w = words(lower(t or ""))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+
 def brute(rows, items):
     zstd = zstandard.ZstdCompressor(level=quality.Bands().level)
     rows = [(i, t) for i, t in rows if quality.figures(t and t.encode(), quality.Bands(), zstd)[6]]
-    least = brute_components([brute_fingerprint(t, 4) for _, t in rows])
+    sets = [five(t) for _, t in rows]
+    least = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            least[a] = min([least[b] for b in range(len(rows)) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     rows = [r for k, r in enumerate(rows) if least[k] == k]
     cut = []
     for (i, t), kept in zip(rows, brute_substring(rows)):
-        if kept or not words(t):
+        if len(kept) >= 20 or len(kept) == len(words(t)):
             cut.append((i, t if len(kept) == len(words(t)) else " ".join(kept)))
     wins = set()
     for _, t in items:
@@ -109,3 +118,15 @@ def test_entry_works_without_the_optional_part(tmp_path):
     (tmp_path / "siftwell" / "llm").rename(tmp_path / "gone")
     said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()), 'hybrid_search' in e.queries(), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.split()[1:] == ["True", "False"], said.stderr
+
+
+def test_near_copies_are_not_lost_in_large_meetings(spark, tmp_path):
+    """Texts that share most keys without being near copies of the first, among them pairs that are."""
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):  # each has its own tail: about 0.6 with all others, and a partner at 0.9
+        tail = [f"t{k}x{j}" for j in range(16)]
+        rows += [(10 * k, " ".join(base + tail)), (10 * k + 5, " ".join(base + tail[:-3] + ["end"]))]
+    stage = corpus_pipeline.STAGES[1][1]
+    assert {r["doc_id"] for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()} == {10 * k for k in range(60)}
