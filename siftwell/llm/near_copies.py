@@ -7,8 +7,9 @@ pair is verified: the Jaccard similarity of the whole sets must be 0.8 or more.
 1. SimHash over five-word shingles, met by deletion variants (``simhash.links``).
 2. Texts with one of ``BANDS`` keys of ``ROWS`` minhashes in common: each with the first text of the meeting, which settles
    large groups of near copies with few pairs a text.
-3. What still meets under a key in different components: all such pairs, unless their 100 minhashes agree in fewer than ``AGREE``
-   (at similarity 0.8 once in some 10 million pairs).
+3. What still meets under a key in different components: all such pairs, compared on their sets where they meet. Only edges that
+   join two components leave. A meeting with more than ``BLOCK`` shingles is cut into blocks, and each two blocks meet in a
+   place of their own, so that no place holds more.
 
 Equal texts (but for case and white space) take part once.
 
@@ -34,7 +35,8 @@ SHINGLE = 5
 FIFTHS = 4
 #: A pair at similarity 0.8 shares no key once in some 2,800 times, at 0.85 once in some 37,000.
 BANDS, ROWS = 20, 5
-AGREE = 55
+#: Shingles in a block.
+BLOCK = 4_000_000
 
 _RNG = np.random.default_rng(5)
 _FACTORS = _RNG.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,38 +55,48 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(text: bytes | None) -> tuple[int, int, list[int], bytes]:
-    """A hash of the lower-cased words; the SimHash; the bands' keys; a byte of each minhash."""
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array(simhash.shingle_hashes((text or b"").lower().split(), SHINGLE), np.uint64))
+
+
+def sketch(text: bytes | None) -> tuple[int, int, list[int]]:
+    """A hash of the lower-cased words; the SimHash; the bands' keys."""
     words = (text or b"").lower().split()
     whole = xxh64_intdigest(b" ".join(words), 7)
     hashes = simhash.shingle_hashes(words, SHINGLE)
     if not hashes:
-        return whole, 0, [], b""
+        return whole, 0, []
     least = minhashes(np.unique(np.array(hashes, np.uint64)))
     data, width = least.tobytes(), 8 * ROWS
     keys = np.array([xxh64_intdigest(data[width * k : width * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64)
-    return whole, simhash.majority(hashes), keys.tolist(), (least >> np.uint64(56)).astype(np.uint8).tobytes()
+    return whole, simhash.majority(hashes), keys.tolist()
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """``id, whole, fp, keys, small`` of each row of ``texts`` (id, text)."""
+    """``id, whole, fp, keys`` of each row of ``texts`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, prints, keys, small = zip(*map(sketch, text_bytes(batch)), strict=True) if batch.num_rows else ((), (), (), ())
+            whole, prints, keys = zip(*map(sketch, text_bytes(batch)), strict=True) if batch.num_rows else ((), (), ())
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, prints)]
-            yield pa.record_batch([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["id", "whole", "fp", "keys", "small"])
+            yield pa.record_batch([batch.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "whole", "fp", "keys"])
 
-    return texts.transform(in_tasks, run, "id long, whole long, fp long, keys array<long>, small binary")
+    return texts.transform(in_tasks, run, "id long, whole long, fp long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose sets are similar enough."""
+def sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, n, hashes``: the shingles of those ``texts`` (id, text) that ``ids`` (id) has, written."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(simhash.shingle_hashes((t or b"").lower().split(), SHINGLE), np.uint64)).tobytes() for t in text_bytes(batch)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
+            found = [shingle_set(t) for t in text_bytes(batch)]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "n", "hashes"])
+
+    return written(texts.join(ids.distinct(), "id", "left_semi").transform(in_tasks, run, "id long, n long, hashes binary"), "shingles")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose sets are similar enough."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,58 +109,93 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(both > 0 and 5 * both >= FIFTHS * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = written(texts.join(some, "id", "left_semi").transform(in_tasks, sets, "id long, hashes binary"), "shingles")
+    pairs = written(pairs, "near-pairs")
+    of = sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
     joined = pairs.join(of.selectExpr("id a", "hashes x"), "a").join(of.selectExpr("id b", "hashes y"), "b")
     return written(joined.select("a", "b", "x", "y").transform(in_tasks, near, "a long, b long").distinct(), "near-links")
 
 
 def _prints_met(one: DataFrame) -> DataFrame:
-    """Pairs of texts with equal or linked fingerprints."""
+    """Each text with the first of its fingerprint, and each fingerprint's first with that of the least one it is linked to."""
     least = written(one.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     same = one.join(least.withColumnRenamed("id", "a"), "fp").select("a", F.col("id").alias("b"))
-    edges = simhash.links(least.select("fp"))
+    edges = simhash.links(least.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
     linked = edges.join(least.selectExpr("fp a", "id x"), "a").join(least.selectExpr("fp b", "id y"), "b").selectExpr("x a", "y b")
     return same.unionByName(linked).where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
 
 def _firsts_met(met: DataFrame) -> DataFrame:
-    """Each text of a meeting (key, id, label, small) with the meeting's first, where their components differ."""
+    """Each text of a meeting (key, id, label) with the meeting's first, where their components differ."""
     first = met.groupBy("key").agg(F.min(F.struct("id", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return met.join(first, "key").where("label <> first.label").selectExpr("least(first.id, id) a", "greatest(first.id, id) b").distinct()
 
 
-def _all_met(met: DataFrame) -> DataFrame:
-    """Pairs of a meeting whose components differ and whose minhashes agree well enough."""
+def _joined(ids: np.ndarray, labels: np.ndarray, blocks: np.ndarray, hashes: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Edges between texts of a place that are similar enough, one for each two components that they join.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+    Texts of one block are compared with each other if it is alone, else those of two blocks with the other's.
+    """
+    flat = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)[1].astype(np.int32)
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 8
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+    alone = (blocks == blocks[0]).all()
+    names, counts = np.unique(labels, return_counts=True)
+    most = names[counts.argmax()]  # the largest component's texts need no turn of their own: all others meet them
+    for k in range(len(ids)):
+        if labels[k] == most or not sizes[k]:
+            continue
+        other = (labels != labels[k]) & (5 * np.minimum(sizes, sizes[k]) >= FIFTHS * np.maximum(sizes, sizes[k]))
+        other &= (labels == most) | (np.arange(len(ids)) > k) if alone else blocks != blocks[k]
+        rows = np.flatnonzero(other)
+        if not len(rows):
+            continue
+        mark[flat[starts[k] : ends[k]]] = 1
+        if 2 * sizes[rows].sum() > len(flat):
+            both = np.add.reduceat(mark[flat], np.minimum(starts, len(flat) - 1))[rows]
+        else:
+            both = np.array([mark[flat[starts[r] : ends[r]]].sum() for r in rows.tolist()])
+        mark[flat[starts[k] : ends[k]]] = 0
+        near = rows[5 * both >= FIFTHS * (sizes[rows] + sizes[k] - both)]
+        for r in near.tolist():
+            if labels[r] != labels[k]:
+                yield int(ids[k]), int(ids[r])
+                low, stay = (labels[r], labels[k]) if labels[r] != most else (labels[k], most)
+                labels[labels == low] = stay
+
+
+def _all_met(met: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges between texts of a meeting (key, id, label) that are similar enough and whose components differ."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         current = None
 
-        def crossed() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            ids, labels = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-            small = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-            for k in range(len(held) - 1):
-                other = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
-                near = other[(small[other] == small[k]).sum(axis=1) >= AGREE]
-                if len(near):
-                    yield pa.record_batch([pa.array(np.minimum(ids[k], ids[near])), pa.array(np.maximum(ids[k], ids[near]))], names=["a", "b"])
+        def edges() -> pa.RecordBatch:
+            found = list(_joined(*(np.array([h[k] for h in held], np.int64) for k in (0, 1, 2)), [h[3] for h in held])) if len(held) > 1 else []
+            return pa.record_batch([pa.array([min(e) for e in found], pa.int64()), pa.array([max(e) for e in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != current:
-                    yield from crossed()
-                    current = key
+            for *place, id_, label, own, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != current:
+                    yield edges()
+                    current = place
                     held.clear()
-                held.append(tuple(row))
-        yield from crossed()
+                held.append((id_, label, own, hashes))
+        yield edges()
 
     mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    left = written(met.join(mixed, "key", "left_semi").select("key", "id", "label"), "near-meetings")
+    of = sets(left.select("id"), texts)
+    blocks = left.join(of.select("id", "n"), "id").groupBy("key").agg(F.ceil((F.sum("n") + 1) / block).cast("int").alias("blocks"))
+    cut = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = cut.select("*", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "block")
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = met.join(mixed, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key", "id")
-    return left.select("key", "id", "label", "small").transform(in_tasks, pairs, "a long, b long").distinct()
+    place = ["key", "low", "high"]
+    dealt = placed.join(of.select("id", "hashes"), "id").repartition(n, *place).sortWithinPartitions(*place, "id")
+    return written(dealt.select(*place, "id", "label", "block", "hashes").transform(in_tasks, join, "a long, b long").distinct(), "near-links")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -159,15 +206,19 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) id", "text")
     rows = written(sketches(texts), "sketches")
     nodes = rows.groupBy("whole").agg(F.min("id").alias("id"))
-    one = written(rows.join(nodes, ["whole", "id"], "left_semi"), "near-texts")
-    labels = written(one.select("id", F.col("id").alias("label")).distinct(), "near-labels")
+    one = rows.join(nodes, ["whole", "id"], "left_semi")
+    labels = written(nodes.select("id", F.col("id").alias("label")).distinct(), "near-labels")
+
+    keyed = one.select(F.explode("keys").alias("key"), "id")
+    several = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    shared = written(keyed.join(several, "key", "left_semi"), "near-keys")  # most keys are one text's own
 
     def met() -> DataFrame:
-        """Texts under their keys, with the components so far."""
-        return one.join(labels, "id").select(F.explode("keys").alias("key"), "id", "label", "small")
+        """Texts under the keys that they share, with the components so far."""
+        return shared.join(labels, "id")
 
-    for offered in (lambda: _prints_met(one), lambda: _firsts_met(met().drop("small")), lambda: _all_met(met())):
-        found = verified(written(offered(), "near-pairs"), texts)
+    for step in (lambda: verified(_prints_met(one), texts), lambda: verified(_firsts_met(met()), texts), lambda: _all_met(met(), texts)):
+        found = step()
         ends = found.join(labels.selectExpr("id a", "label x"), "a").join(labels.selectExpr("id b", "label y"), "b")
         edges = ends.where("x <> y").selectExpr("x a", "y b").distinct()
         moved = simhash.components(labels.select(F.col("label").alias("fp"), F.col("label").alias("id")).distinct(), edges)

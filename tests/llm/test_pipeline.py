@@ -5,12 +5,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 import zstandard
 
 import corpus_pipeline
-from siftwell.llm import bpe, quality
+from siftwell.llm import bpe, near_copies, quality
 
 from .conftest import frame
 from .test_operators import WORD5, brute_substring, lower, sha, words
@@ -130,3 +131,30 @@ def test_near_copies_are_not_lost_in_large_meetings(spark, tmp_path):
         rows += [(10 * k, " ".join(base + tail)), (10 * k + 5, " ".join(base + tail[:-3] + ["end"]))]
     stage = corpus_pipeline.STAGES[1][1]
     assert {r["doc_id"] for r in stage(spark, frame(spark, rows), str(tmp_path)).collect()} == {10 * k for k in range(60)}
+
+
+def test_blocks_of_large_meetings_join_the_same_components(spark):
+    rng = random.Random(3)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(90):
+        own = [w if rng.random() > 0.035 else f"x{rng.randrange(10**6)}" for w in base[: rng.randint(100, 120)]]
+        rows.append((k, " ".join(own), k % 5 if k > 70 else k))
+    sets = [five(t) for _, t, _ in rows]
+    least = [label for *_, label in rows]
+    edges = [(a, b) for a in range(90) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    texts = spark.createDataFrame([r[:2] for r in rows], "id long, text string")
+    met = spark.createDataFrame([(7, i, label) for i, _, label in rows], "key long, id long, label long")
+
+    def parts(edges, labels):
+        labels = list(labels)
+        for _ in range(90):
+            for a, b in edges:
+                low, high = sorted((labels[a], labels[b]))
+                labels = [low if x == high else x for x in labels]
+        return labels
+
+    want = parts(edges, least)
+    assert 20 < len(set(want)) < 70
+    for block in (10**6, 4000, 1100):
+        found = [tuple(r) for r in near_copies._all_met(met, texts, block).collect()]
+        assert set(found) <= {(b, a) for a, b in edges} and parts(found, least) == want
