@@ -7,7 +7,8 @@ values found for the words return as ``packed`` rows and meet the streams by chu
 
 A frequent word costs one row per chunk, not one per occurrence. The two functions read the documents
 separately and must see the same rows in the same order in each partition, as a table scan gives; a chunk whose
-dictionary did not come back whole raises an error rather than giving wrong rows.
+dictionary did not come back whole raises an error rather than giving wrong rows. ``both`` makes the two in one read and
+writes them, which costs disk and saves the second read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import in_tasks, release_memory, text_bytes, written
 
 #: Most bytes of text in a chunk (one document may be longer).
 CHUNK_BYTES = 24 << 20
@@ -83,25 +84,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], make_split: Callable[[], Split],
 
 
 def vocabulary(docs: DataFrame, make_split: Callable[[], Split], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``word, chunk, at, n``: every word of every chunk's dictionary, and how often the chunk's counted documents have it.
-
-    ``docs`` is (doc_id, text) or (doc_id, text, counted).
-    """
-    rows_at_once = 50_000
+    """``word, chunk, at``: every word of every chunk's dictionary. ``docs`` is (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, extras, lengths, flat, words in _chunks(batches, make_split, chunk_bytes):
-            counted = flat if not extras[0] else flat[np.repeat([bool(x[0]) for x in extras], lengths)]
-            n = np.bincount(counted, minlength=len(words))
-            order = sorted(range(len(words)), key=words.__getitem__)  # neighbours share bytes in the shuffle
-            for k in range(0, len(order), rows_at_once):
-                part = np.array(order[k : k + rows_at_once], np.int32)
-                yield pa.record_batch([pa.array([words[i] for i in part.tolist()], pa.binary()), pa.array(np.full(len(part), chunk, np.int64)), pa.array(part), pa.array(n[part].astype(np.int64))], names=["word", "chunk", "at", "n"])
+        for chunk, _, _, _, _, words in _chunks(batches, make_split, chunk_bytes):
+            for part, some in _sorted(words):
+                yield pa.record_batch([some, pa.array(np.full(len(part), chunk, np.int64)), pa.array(part)], names=["word", "chunk", "at"])
 
-    return docs.mapInArrow(run, "word binary, chunk long, at int, n long")
+    return docs.select("doc_id", "text").transform(in_tasks, run, "word binary, chunk long, at int")
 
 
-_STREAM = "chunk long, n_words int, doc_ids array<long>, lengths array<int>, small binary, large binary"
+def _sorted(words: list[bytes], rows_at_once: int = 50_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Numbers of ``words`` and the words, in the words' order: neighbours share bytes in the shuffle."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    for k in range(0, len(order), rows_at_once):
+        part = order[k : k + rows_at_once]
+        yield np.array(part, np.int32), pa.array([words[i] for i in part], pa.binary())
 
 
 def _coded(flat: np.ndarray) -> tuple[bytes, bytes]:
@@ -120,15 +118,46 @@ def _decoded(small: bytes, large: bytes) -> np.ndarray:
     return flat
 
 
+def _stream_row(chunk: int, ids: list, lengths: np.ndarray, flat: np.ndarray, words: list[bytes]) -> tuple[list[pa.Array], list[str]]:
+    small, large = _coded(flat)
+    columns = [pa.array([chunk]), pa.array([len(words)], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([small]), pa.array([large])]
+    return columns, ["chunk", "n_words", "doc_ids", "lengths", "small", "large"]
+
+
 def streams(docs: DataFrame, make_split: Callable[[], Split], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row per chunk: its documents' ids and lengths in words, and their word numbers in order, coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, _, lengths, flat, words in _chunks(batches, make_split, chunk_bytes):
-            small, large = _coded(flat)
-            yield pa.record_batch([pa.array([chunk]), pa.array([len(words)], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([small]), pa.array([large])], names=["chunk", "n_words", "doc_ids", "lengths", "small", "large"])
+            columns, names = _stream_row(chunk, ids, lengths, flat, words)
+            yield pa.record_batch(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _STREAM)
+    return docs.select("doc_id", "text").transform(in_tasks, run, "chunk long, n_words int, doc_ids array<long>, lengths array<int>, small binary, large binary")
+
+
+def both(docs: DataFrame, make_split: Callable[[], Split], classes: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and streams from one read of ``docs`` (doc_id, text, class), by way of a written table.
+
+    The vocabulary has, besides ``word, chunk, at``, how often the chunk's documents of each class from 1 to ``classes`` have the
+    word, as ``n1``, ``n2``, ...; other classes are not counted.
+    """
+    counts = [f"n{k}" for k in range(1, classes + 1)]
+    schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("at", pa.int32()), *((c, pa.int64()) for c in counts), ("n_words", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("small", pa.binary()), ("large", pa.binary())])
+
+    def batch(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, extras, lengths, flat, words in _chunks(batches, make_split, chunk_bytes):
+            kinds = np.repeat(np.array([x[0] or 0 for x in extras], np.int32), lengths)
+            n = [np.bincount(flat[kinds == k], minlength=len(words)) for k in range(1, classes + 1)]
+            for part, some in _sorted(words):
+                yield batch(len(part), {"chunk": pa.array(np.full(len(part), chunk, np.int64)), "word": some, "at": pa.array(part)} | {c: pa.array(x[part].astype(np.int64)) for c, x in zip(counts, n, strict=True)})
+            columns, names = _stream_row(chunk, ids, lengths, flat, words)
+            yield batch(1, dict(zip(names, columns, strict=True)))
+
+    table = written(docs.transform(in_tasks, run, "chunk long, word binary, at int, " + "".join(f"{c} long, " for c in counts) + "n_words int, doc_ids array<long>, lengths array<int>, small binary, large binary"), "chunks")
+    return table.where("word is not null").select("word", "chunk", "at", *counts), table.where("n_words is not null").select("chunk", "n_words", "doc_ids", "lengths", "small", "large")
 
 
 PACKED = "chunk long, at binary, sizes binary, values binary"
@@ -160,6 +189,12 @@ def reassembled(
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return whole(left, right)
+        finally:
+            release_memory()
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise RuntimeError("values of a chunk that the streams don't have: the documents must be read alike each time")
         (row,) = left.to_pylist()
@@ -179,6 +214,10 @@ def reassembled(
 
 
 def by_word(vocabulary_: DataFrame) -> DataFrame:
-    """``vocabulary`` rows dealt by word, each word's rows together."""
+    """``vocabulary`` rows dealt by word, each word's rows together.
+
+    A word has one row per chunk at most, however often it occurs, and a chunk has rows for all its distinct words, so the
+    most common word has one in as many rows as a chunk has distinct words: no key is hot.
+    """
     n = int(vocabulary_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return vocabulary_.select("word", "chunk", "at").repartition(n, F.col("word")).sortWithinPartitions("word")

@@ -3,14 +3,19 @@
 The vocabulary of an existing unigram or BPE model gives pieces and scores. All segmentations of a word into pieces (a word-start
 mark before it, bytes as a last resort) are weighted by the pieces' probabilities; a forward recursion in log space gives
 the word's marginal probability. Pieces never reach over white space, so a document's probability is the product of its
-words' marginals and of an end. The vocabulary's scores start the weights; training re-estimates them from expected
-piece counts over the words of all training documents (a forward-backward pass), so the model follows the corpus.
+words' marginals and of an end. The vocabulary's scores start the weights; each round re-estimates them from expected
+piece counts over the words of all training documents (a forward-backward pass), so the model follows the corpus. A tenth of the
+training documents is kept out of the counts and tells when to stop: when its score per word no longer rises by ``GAIN``.
+
+Words of one length run through the recursion side by side as arrays: a step is one piece length at one place of all of
+them. Pieces are found by 64-bit hashes, which are checked to be distinct among the pieces.
 
 Spark counts each chunk's words and deals them by word: each distinct word is counted, segmented and scored once,
 and its scores return by chunk (see ``dictionary``). What is collected is the vocabulary's size: one expected count per piece.
 
-Defined results: a null or empty text has the end alone; repeated rows all count; words without any piece fall to bytes,
-so every score is finite; with no training rows the starting weights hold; an empty table gives an empty table.
+Defined results: a null or empty text has the end alone; repeated rows all count; null ids fall to bucket 0; words without any
+piece fall to bytes, so every score is finite; a word of any length takes time and memory in proportion to it; with no training rows
+the starting weights hold; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,13 +29,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dictionary
-from .common import id_bucket, written
+from .common import gathered, id_bucket, in_tasks, written
 
 START = "▁"
 #: Weight of the starting probabilities in the re-estimate, in tokens.
 PRIOR = 1000.0
 #: Share of the probability that byte pieces get besides what they are counted.
 BYTES_SHARE = 1e-4
+#: Most rounds of re-estimation, and the least gain in log10 per word of the kept-out tenth for another one.
+ROUNDS, GAIN = 6, 0.02
+#: Words taken through the recursion at once, and the most characters of all of them.
+AT_ONCE, CHARACTERS = 100_000, 400_000
+#: In training alone, longer words count as stretches of so many characters.
+STRETCH = 2_000
+
+_U = np.uint64
+_FACTOR = _U(0x9E3779B97F4A7C15)
 
 
 def pieces(path: str) -> dict[str, float]:
@@ -46,145 +60,209 @@ def pieces(path: str) -> dict[str, float]:
     return {k: v / total for k, v in weight.items()}
 
 
+def _key(sums: np.ndarray, length: int) -> np.ndarray:
+    x = (sums + _U(length)) * _FACTOR
+    x ^= x >> _U(29)
+    return x * _U(0xD6E8FEB86659FD93)
+
+
 class Lattice:
-    """Forward and backward sums over a word's segmentations. Probabilities are scaled, so that log space is needed only between words and at overflow."""
+    """Forward and backward log sums over words' segmentations."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.longest = max(map(len, weights), default=1)
-        self.prefixes = {p[:k] for p in weights for k in range(1, len(p))}
-        self.byte = BYTES_SHARE / 256
-
-    def _arcs(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """For each place the pieces that start there: (end, probability, piece); bytes where no single character fits."""
-        get, prefixes, n = self.weights.get, self.prefixes, len(word)
+        names = list(weights)
+        self.logs = np.log(np.fromiter(weights.values(), np.float64, len(names)))
+        self.longest = max(map(len, names), default=1)
+        self.byte = math.log(BYTES_SHARE / 256)
+        keys = np.array([self._key_of(p) for p in names], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.which = keys[order], order
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have the same hash")
+        self.there = np.zeros(1 << 20, bool)  # most hashes are of no piece and stop here
+        self.there[(self.keys >> _U(44)).astype(np.int64)] = True
+
+    def _key_of(self, piece: str) -> int:
+        sums = np.zeros(1, np.uint64)
+        for c in piece:
+            sums = sums * _FACTOR + _U(ord(c))
+        return int(_key(sums, len(piece))[0])
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``keys`` that are pieces, and which pieces."""
+        rows = np.flatnonzero(self.there[(keys >> _U(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys[rows]), len(self.keys) - 1)
+        right = self.keys[at] == keys[rows] if len(self.keys) else np.zeros(len(rows), bool)
+        return rows[right], self.which[at[right]]
+
+    def _arcs(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces that start at place i of words (rows of ``codes``): (end, rows, pieces or -1 for bytes, log probabilities)."""
+        sums = np.zeros(len(codes), np.uint64)
+        for j in range(i + 1, min(codes.shape[1], i + self.longest) + 1):
+            sums = sums * _FACTOR + codes[:, j - 1]
+            rows, which = self._found(_key(sums, j - i))
+            logs = self.logs[which]
+            if j == i + 1 and len(rows) < len(codes):  # bytes where no single character fits
+                rest = np.ones(len(codes), bool)
+                rest[rows] = False
+                c = codes[rest, i].astype(np.int64)
+                rows = np.concatenate([rows, np.flatnonzero(rest)])
+                which = np.concatenate([which, np.full(len(c), -1)])
+                logs = np.concatenate([logs, self.byte * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
+            if len(rows):
+                yield j, rows, which, logs
+
+    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words (with their mark) of one length: which they are, and their characters."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else []:
+            n = int(lengths[same[0]])
+            step = max(1, CHARACTERS // n)
+            for k in range(0, len(same), step):
+                part = same[k : k + step]
+                text = "".join([words[w] for w in part.tolist()])
+                yield part, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(len(part), n)
+
+    def _forward(self, codes: np.ndarray) -> tuple[np.ndarray, list]:
+        """Log sums of the segmentations that reach each place, and the arcs from each place."""
+        m, n = codes.shape
+        sums = np.full((n + 1, m), -np.inf)
+        sums[0] = 0.0
         arcs = []
         for i in range(n):
-            here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                if (p := get(piece)) is not None:
-                    here.append((j, p, piece))
-                if piece not in prefixes:
+            arcs.append(list(self._arcs(codes, i)))
+            for j, rows, _, logs in arcs[-1]:
+                sums[j, rows] = np.logaddexp(sums[j, rows], sums[i, rows] + logs)
+        return sums, arcs
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        """Marginal probability of each word."""
+        out, words = np.empty(len(words)), [START + w for w in words]
+        for part, codes in self._groups(words):
+            if len(codes) == 1 and codes.shape[1] > 200:
+                out[part] = self._long(words[part[0]])
+            else:
+                out[part] = self._forward(codes)[0][-1]
+        return out / math.log(10)
+
+    def _long(self, text: str) -> float:
+        """As ``_forward`` for one long word in stretches, holding the sums of the last few places only."""
+        step, wide = 1000, self.longest
+        sums = np.full(wide + 1, -np.inf)
+        sums[0] = 0.0
+        for start in range(0, len(text), step):
+            codes = np.frombuffer(text[start : start + step + wide].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            steps = min(step, len(text) - start)
+            arcs: list[list[tuple[int, float]]] = [[] for _ in range(steps)]
+            keys = np.zeros(len(codes), np.uint64)
+            for length in range(1, wide + 1):  # all places side by side
+                if length > len(codes):
                     break
-            if not here or here[0][0] != i + 1:
-                here.insert(0, (i + 1, self.byte ** len(word[i].encode()), ""))
-            arcs.append(here)
-        return arcs
-
-    def _forward(self, arcs: list) -> list[float]:
-        """Log sums of the segmentations that reach each place."""
-        n = len(arcs)
-        total = [0.0] * (n + 1)
-        total[0] = 1.0
-        shift = 0.0
-        logs = [0.0] * (n + 1)
-        for i, here in enumerate(arcs):
-            here_sum = total[i]
-            if here_sum < 1e-150:  # scaled up, with all that is pending
-                up = 1e150
-                for k in range(i, n + 1):
-                    total[k] *= up
-                shift -= math.log(up)
-                here_sum = total[i]
-            logs[i] = math.log(here_sum) + shift if here_sum else -math.inf
-            for j, p, _ in here:
-                total[j] += here_sum * p
-        logs[n] = math.log(total[n]) + shift if total[n] else -math.inf
-        return logs
-
-    def log10(self, word: str) -> float:
-        arcs = self._arcs(START + word)
-        total = [1.0] + [0.0] * len(arcs)
-        for i, here in enumerate(arcs):
-            f = total[i]
-            for j, p, _ in here:
-                total[j] += f * p
-        # short words need no logs inside; what vanishes is summed again in log space
-        return math.log10(total[-1]) if total[-1] > 1e-250 else self._forward(arcs)[-1] / math.log(10)
-
-    def expect(self, word: str, times: float, counts: dict[str, float]) -> None:
-        """Adds the expected number of each piece in ``times`` occurrences of the word."""
-        arcs = self._arcs(START + word)
-        if len(arcs) > 400:  # by logs: products of so many would vanish
-            self._expect_logs(arcs, times, counts)
-            return
-        n = len(arcs)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        for i, here in enumerate(arcs):
-            f = forward[i]
-            for j, p, _ in here:
-                forward[j] += f * p
-        whole = forward[n]
-        if whole < 1e-250:
-            self._expect_logs(arcs, times, counts)
-            return
-        for i in range(n - 1, -1, -1):
-            b = 0.0
-            for j, p, piece in arcs[i]:
-                after = p * backward[j]
-                b += after
-                counts[piece] = counts.get(piece, 0.0) + times * forward[i] * after / whole
-            backward[i] = b
-
-    def _expect_logs(self, arcs: list, times: float, counts: dict[str, float]) -> None:
-        forward, n = self._forward(arcs), len(arcs)
-        backward = [-math.inf] * n + [0.0]
-        for i in range(n - 1, -1, -1):
-            values = [math.log(p) + backward[j] if p else -math.inf for j, p, _ in arcs[i]]
-            top = max(values)
-            backward[i] = top + math.log(sum(math.exp(v - top) for v in values)) if top > -math.inf else top
-            for v, (_, _, piece) in zip(values, arcs[i], strict=True):
-                counts[piece] = counts.get(piece, 0.0) + times * math.exp(forward[i] + v - forward[n])
+                keys = keys[: len(codes) - length + 1] * _FACTOR + codes[length - 1 :]
+                rows, which = self._found(_key(keys[:steps], length))
+                for at, log in zip(rows.tolist(), self.logs[which].tolist(), strict=True):
+                    arcs[at].append((length, log))
+            for at in range(steps):
+                here = sums[0]
+                if not arcs[at] or arcs[at][0][0] != 1:
+                    arcs[at].insert(0, (1, self.byte * len(chr(int(codes[at])).encode("utf-8", "surrogatepass"))))
+                for length, log in arcs[at]:
+                    sums[length] = np.logaddexp(sums[length], here + log)
+                sums = np.append(sums[1:], -np.inf)
+        return float(sums[0])
+
+    def expect(self, words: list[str], times: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds the expected number of each piece in ``times`` occurrences of each word; the words' log10 probabilities."""
+        stretches, owner = [], []
+        for k, w in enumerate(words):
+            w = START + w
+            stretches += [w[at : at + STRETCH] for at in range(0, len(w), STRETCH)]
+            owner += [k] * -(-len(w) // STRETCH)
+        of, out = np.array(owner, np.int64), np.zeros(len(words))
+        for part, codes in self._groups(stretches):
+            forward, arcs = self._forward(codes)
+            np.add.at(out, of[part], forward[-1] / math.log(10))
+            some = times[of[part]]
+            backward = np.full(forward.shape, -np.inf)
+            backward[-1] = 0.0
+            for i in range(len(arcs) - 1, -1, -1):
+                for j, rows, which, logs in arcs[i]:
+                    after = logs + backward[j, rows]
+                    backward[i, rows] = np.logaddexp(backward[i, rows], after)
+                    real = which >= 0
+                    n = some[rows] * np.exp(forward[i, rows] + after - forward[-1, rows])
+                    counts += np.bincount(which[real], weights=n[real], minlength=len(counts))
+        return out
 
 
 def _split() -> dictionary.Split:
     return (lambda text: text.lower().split()), (lambda word: [word])
 
 
-def trained(words: DataFrame, start: dict[str, float]) -> tuple[dict[str, float], float]:
-    """Piece probabilities re-estimated from ``words`` (word, n), and the number of words in all."""
-    shared = words.sparkSession.sparkContext.broadcast(start)
+def _words(column: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in column.to_pylist()]
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts, total = Lattice(shared.value), {}, 0
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word.decode("utf-8", "replace"), n, counts)
-                total += n
-        counts["\n"] = total  # no piece has white space
-        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.float64())], names=["piece", "n"])
 
-    rows = words.where("n > 0").select("word", "n").mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+def expected(words: DataFrame, weights: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Expected piece counts over ``words`` (word, n, dev), and log10 probability per word of those that ``dev`` counts."""
+    shared = words.sparkSession.sparkContext.broadcast(weights)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(shared.value)
+        lattice, counts, dev, score = Lattice(shared.value), np.zeros(len(names)), 0, 0.0
+        for batch in gathered(batches, AT_ONCE):
+            n, aside = (batch.column(k).to_numpy() for k in (1, 2))
+            logs = lattice.expect(_words(batch.column(0)), n.astype(np.float64), counts)
+            dev += int(aside.sum())
+            score += float(logs @ aside)
+        # no piece has white space
+        yield pa.record_batch([pa.array([*names, "\n dev", "\n score"], pa.string()), pa.array([*counts, dev, score], pa.float64())], names=["piece", "n"])
+
+    rows = words.where("n > 0 or dev > 0").select("word", "n", "dev").transform(in_tasks, expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     counts = {r["piece"]: r["n"] for r in rows}
-    total = counts.pop("\n", 0.0)
-    counts.pop("", None)  # bytes keep their share
-    mass = sum(counts.values()) + PRIOR
-    return {k: (1 - BYTES_SHARE) * (counts.get(k, 0.0) + PRIOR * p) / mass for k, p in start.items()}, total
+    dev, score = counts.pop("\n dev", 0.0), counts.pop("\n score", 0.0)
+    return counts, score / dev if dev else 0.0
+
+
+def trained(words: DataFrame, start: dict[str, float], rounds: int = ROUNDS, gain: float = GAIN) -> dict[str, float]:
+    """Piece probabilities re-estimated from ``words`` (word, n, dev) until the words of ``dev`` gain too little."""
+    weights, best, last = start, start, -math.inf
+    for _ in range(rounds):
+        counts, score = expected(words, weights)
+        if score <= last:
+            return best
+        best = weights
+        mass = sum(counts.values()) + PRIOR
+        weights = {k: (1 - BYTES_SHARE) * (counts.get(k, 0.0) + PRIOR * p) / mass for k, p in start.items()}
+        if score - last < gain:
+            break
+        last = score
+    return weights
 
 
 def scored(docs: DataFrame, train: Column, model: str) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row; documents where ``train`` holds are learnt from."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("counted"))
-    vocabulary = dictionary.vocabulary(docs, _split)
-    words = written(vocabulary.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
-    ends = docs.where("counted").count()
-    tokens, distinct = (sums["n"] or 0) + ends, sums["distinct"] + (ends > 0)
-    start = pieces(model)
-    weights, in_words = trained(words, start)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(10)) == 0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).select("doc_id", "text", F.when(~F.col("train"), 0).when(aside, 2).otherwise(1).alias("class"))
+    vocabulary, streams = dictionary.both(docs, _split, 2)
+    words = written(vocabulary.groupBy("word").agg(F.sum("n1").alias("n"), F.sum("n2").alias("dev")), "words")
+    counted = F.col("n") + F.col("dev")
+    sums = words.agg(F.sum(counted).alias("n"), F.count(F.when(counted > 0, 1)).alias("distinct")).first()
+    ends = docs.where("class > 0").count()
+    in_words = sums["n"] or 0
+    tokens, distinct = in_words + ends, sums["distinct"] + (ends > 0)
+    weights = trained(words, pieces(model))
     # of a document's steps, each a word or the end, so many are ends
     end = (ends + 1) / (in_words + ends + 2)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
-        for batch in batches:
-            logs = [lattice.log10(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(logs, pa.float64())], names=["word", "n", "log10"])
+        for batch in gathered(batches, AT_ONCE):
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lattice.log10(_words(batch.column(0))))], names=["word", "n", "log10"])
 
-    valued = words.mapInArrow(score, "word binary, n long, log10 double")
+    valued = words.select("word", counted.alias("n")).transform(in_tasks, score, "word binary, n long, log10 double")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +270,7 @@ def scored(docs: DataFrame, train: Column, model: str) -> DataFrame:
             pairs[:, 0], pairs[:, 1] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             yield dictionary.packed(batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.full(batch.num_rows, 2), pairs.ravel())
 
-    found = vocabulary.select("word", "chunk", "at").join(valued, "word").select("chunk", "at", "n", "log10").mapInArrow(pack, dictionary.PACKED)
+    found = vocabulary.select("word", "chunk", "at").join(valued, "word").select("chunk", "at", "n", "log10").transform(in_tasks, pack, dictionary.PACKED)
     total = math.log10(tokens + 0.5 * (distinct + 1))
 
     def finish(doc_ids: list, lengths: np.ndarray, numbers: np.ndarray, starts: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -208,7 +286,7 @@ def scored(docs: DataFrame, train: Column, model: str) -> DataFrame:
         n_known = by_doc(known.astype(np.float64)).astype(np.int64) + (ends > 0)
         return pa.table([pa.array(doc_ids, pa.int64()), pa.array(lengths + 1), pa.array(n_known), pa.array(base_score), pa.array(score_)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    out = dictionary.reassembled(dictionary.streams(docs, _split), found, "<f8", finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = dictionary.reassembled(streams, found, "<f8", finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
