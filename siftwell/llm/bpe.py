@@ -6,7 +6,8 @@ token-byte table, which the vocabulary bounds (about 50,000 rows) and which is t
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows each get their ids;
 bytes beyond the vocabulary's pieces cannot occur, as every single byte has a rank; an empty table gives an empty
-table; extra columns are not read.
+table; extra columns are not read; null ids stay null; a run without blanks, however long, is one unit and is encoded whole,
+with sizes of four bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import dictionary
+from .common import in_tasks
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -29,8 +31,10 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-#: White space where a blank may not start a unit of its own.
+#: White space where not every blank starts a match of its own.
 _UNEVEN = re.compile(r" \s| $")
+#: Blanks that do.
+_START = re.compile(r" (?=\S)")
 _MARKS = {c: c.encode() for c in ".,;:!?"}
 
 
@@ -38,7 +42,7 @@ def pre_tokens(pattern: str) -> dictionary.Split:
     """Cuts texts to units and units to pre-tokens.
 
     A blank before a visible character always starts a new match of the pattern, so what stands between two such blanks
-    is a unit, a string without its blank. A text's first unit, and a whole text that has blanks elsewhere, come as a tuple.
+    is a unit, a string without its blank. A text's first unit comes as a tuple, as no blank belongs to it.
     """
     import regex
 
@@ -46,9 +50,7 @@ def pre_tokens(pattern: str) -> dictionary.Split:
 
     def units(data: bytes) -> list:
         text = data.decode()
-        if _UNEVEN.search(text):
-            return [(text,)]
-        first, *rest = text.split(" ")
+        first, *rest = _START.split(text) if _UNEVEN.search(text) else text.split(" ")
         return [(first,), *rest]
 
     def tokens(unit: str | tuple[str]) -> list[bytes]:
@@ -63,8 +65,8 @@ def pre_tokens(pattern: str) -> dictionary.Split:
     return units, tokens
 
 
-def encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_bytes: int = dictionary.CHUNK_BYTES) -> DataFrame:
-    """``doc_id, ids`` per row of ``docs``."""
+def _encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_bytes: int, finish: Callable[[list, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What ``finish(doc_ids, ids, ends)`` makes of each chunk: the ids of all its rows in order, and where each row's begin and end."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +95,24 @@ def encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_b
             parts.append(values[np.arange(stop[-1]) - np.repeat(stop - n, n) + np.repeat(starts[part], n)])
             ends.append(stop + ends[-1][-1])
         ids = np.concatenate(parts) if parts else values[:0]
-        offsets = np.concatenate(ends)[np.concatenate([[0], np.cumsum(lengths)])]
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-        return pa.table([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
+        return finish(doc_ids, ids, np.concatenate(ends)[np.concatenate([[0], np.cumsum(lengths)])])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
     def split() -> dictionary.Split:
         return pre_tokens(pattern)
 
-    found = dictionary.by_word(dictionary.vocabulary(docs, split, chunk_bytes)).mapInArrow(encode, dictionary.PACKED)
-    return dictionary.reassembled(dictionary.streams(docs, split, chunk_bytes), found, "<i4", place, "doc_id long, ids array<int>")
+    found = dictionary.by_word(dictionary.vocabulary(docs, split, chunk_bytes)).transform(in_tasks, encode, dictionary.PACKED)
+    return dictionary.reassembled(dictionary.streams(docs, split, chunk_bytes), found, "<i4", place, schema)
+
+
+def encoded(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_bytes: int = dictionary.CHUNK_BYTES) -> DataFrame:
+    """``doc_id, ids`` per row of ``docs``."""
+
+    def lists(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+
+    return _encoded(docs, vocabulary, pattern, chunk_bytes, lists, "doc_id long, ids array<int>")
 
 
 def token_bytes(vocabulary: dict[bytes, int]) -> list[bytes]:
@@ -114,25 +123,21 @@ def token_bytes(vocabulary: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-def digest(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
-    """The contract's columns: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+def digest(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, chunk_bytes: int = dictionary.CHUNK_BYTES) -> DataFrame:
+    """The contract's columns: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, made where a chunk's ids are put in place."""
     shared = docs.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
         table = shared.value
         decimal = [b"%d" % k for k in range(len(table))]
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
-            ids_sha, text_sha = [], []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                ids = flat[a:b].tolist()
-                ids_sha.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids_sha, text_sha = [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = ids[a:b].tolist()
+            ids_sha.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, own))).hexdigest())
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded(docs, vocabulary, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, vocabulary, pattern, chunk_bytes, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -145,4 +150,4 @@ def decoded(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             data = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return rows.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return rows.selectExpr("cast(doc_id as long) doc_id", "ids").transform(in_tasks, run, "doc_id long, data binary")
