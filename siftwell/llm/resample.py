@@ -12,7 +12,7 @@ a documented sample of labelled rows; raw counts and scores cover all words of a
 range partitions.
 
 Defined results: null or empty texts have no n-grams and log ratio 0; repeated rows are scored alike and ranked one after the
-other; without target documents all ratios are 0; an empty table gives an empty table; ties in the key go by doc_id.
+other; null ids share one draw of noise; a text of any length is counted whole; without target documents all ratios are 0; an empty table gives an empty table; ties in the key go by doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ranked, text_bytes
+from .common import in_tasks, ranked, text_bytes, written
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def model(docs: DataFrame, buckets: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row per bucket
+    rows = docs.select("doc_id", "text").transform(in_tasks, count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row per bucket
     out = np.zeros(buckets)
     for bucket, n in rows:
         out[bucket] = n
@@ -109,7 +109,8 @@ def resampled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(
             sums = np.bincount(doc, weights=shared.value[bucket], minlength=batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(np.bincount(doc, minlength=batch.num_rows)), pa.array(sums)], names=["doc_id", "n_grams", "log_ratio"])
 
-    scored = docs.mapInArrow(score, "doc_id long, n_grams long, log_ratio double")
+    # written, as the ranking reads it twice: once for the borders of the ranges
+    scored = written(docs.transform(in_tasks, score, "doc_id long, n_grams long, log_ratio double"), "resample-scores")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit((1 << 40) - 1)) + 0.5) / float((1 << 40) - 1)
     keyed = scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform)))
     line = ranked(keyed, [F.col("gumbel_key").desc(), F.col("doc_id")], "resample")
