@@ -8,7 +8,7 @@ holds stays bounded however many items there are. One pass over the documents is
 block (the usual case) documents never move.
 
 Defined results: null texts and items have no words; items without words match nothing; repeated rows are
-judged alike; items with equal texts each count; empty tables give empty results or no hits.
+judged alike, also under null ids; a text of any length streams through word by word; items with equal texts each count; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_bytes, with_length, written
+from .common import in_tasks, text_bytes, with_length, written
 
 #: Words of lower-cased text, as bytes: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Most words of items in one automaton.
-BLOCK_WORDS = 1_000_000
+#: Most words of items in one automaton: some 100 MB in each Python worker.
+BLOCK_WORDS = 200_000
 
 
 class Automaton:
@@ -170,7 +170,7 @@ def _matched(docs: DataFrame, automaton: Automaton) -> DataFrame:
             items = pa.array([sorted(x) for _, x in found], _ARROW.field("items").type)
             yield pa.record_batch([batch.column(0), pa.array(map(len, words), pa.int64()), spans, items], schema=_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(match, _SCHEMA)
+    return docs.select("doc_id", "text").transform(in_tasks, match, _SCHEMA)
 
 
 def _hit(by_row: DataFrame, blocks: list[Callable], window: int) -> DataFrame:
@@ -195,13 +195,20 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     by_row = numbered.selectExpr("_row doc_id", "text")
     hit = _hit(by_row, blocks, window)
-    join = F.udf(lambda spans: merged([tuple(s) for s in spans or []]), _SCHEMA.split("spans ")[1].split(", items")[0])
+    nothing = "cast(array() as array<struct<start:int,stop:int>>)"
+    # spans by start: one that begins inside the last of those before it makes that one longer
+    join = F.expr(
+        f"""aggregate(array_sort(spans), {nothing}, (done, s) -> case
+            when size(done) > 0 and s.start <= element_at(done, -1).stop
+            then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, s.stop))))
+            else concat(done, array(named_struct('start', s.start, 'stop', s.stop))) end)"""
+    )
     words = _matched(by_row, Automaton([], window)).selectExpr("doc_id _row", "n_words")
     return (
         numbered.select("_row", "doc_id")
         .join(words, "_row")
         .join(hit, "_row", "left")
-        .select("doc_id", "n_words", F.when(F.col("spans").isNotNull(), join("spans")).otherwise(F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("items"))
+        .select("doc_id", "n_words", F.coalesce(join, F.expr(nothing)).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("items"))
     )
 
 
@@ -253,4 +260,4 @@ def _cut(docs: DataFrame, schema: StructType, shared, min_words: int, max_covera
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.record_batch(columns, names=batch.schema.names[: len(columns)]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(cut, schema)
+    return docs.transform(in_tasks, cut, schema)
