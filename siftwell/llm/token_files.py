@@ -6,11 +6,12 @@ fetches few bytes besides the documents it asks for; ids are dictionary-encoded
 (format version 2), and the page indexes that the writer adds let readers skip pages by doc_id.
 
 Defined results: a null or empty text has the end id alone; an added token's literal in a text has that token's id; rows with equal doc_id stand in the order of
-a hash of their text; null ids come first; an empty table gives an empty table; extra columns are not read.
+a hash of their text; null ids come first; a text of any length is one row; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_bytes
+from .common import in_tasks, shared_folder, text_bytes
 
 END = 2
 #: Most words in a Python worker's cache of words already encoded.
@@ -40,7 +41,20 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa
 
 #: Words that lower-casing and NFC leave alone and that the pattern keeps whole.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_PROBES = ["a", "the", "straße", "éaux", "ciónes", "ñandú", "zzqqxk", "ingenerethtion", "über"]
+# The steps of a tokenizer file under which a plain word is one token border to border and goes to the model as it is.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,7 +67,7 @@ class Encoder:
     """Texts to ids with a ``tokenizers`` file whose words never reach over white space and which ignores case.
 
     Each new word between spaces goes through the library once; its ids are then kept as bytes. Plain words go to the
-    library's model directly if probes show that its other steps leave them as they are. The vocabulary's added tokens
+    library's model directly if the file's other steps are those of ``_STEPS``, which leave them as they are. The vocabulary's added tokens
     keep their own ids, as by the library's defaults: words that hold one in any case go to the library as they are written.
     """
 
@@ -70,7 +84,8 @@ class Encoder:
         self.marks = {b"": b""}
         self.cache = cache
         self.model = self.tokenizer.model
-        self.direct = all(self._modelled(w) == self._whole([w])[0] for w in _PROBES) and self._whole(["Ab.cd, E"]) == self._whole(["ab . cd , e"])
+        steps = json.loads(tokenizer)
+        self.direct = all(steps.get(k) == v for k, v in _STEPS.items())
 
     def _modelled(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
@@ -154,7 +169,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         rows.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
-        .mapInArrow(encode, FILE_SCHEMA)
+        .transform(in_tasks, encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "false")
@@ -207,7 +222,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         offsets.append(((part, name), before))
         before += n
     earlier = spark.createDataFrame(offsets, "file struct<part:long,name:string>, earlier long")
-    rows = placed.select("doc_id", "ids", "file", "row").mapInArrow(crc, "doc_id long, n_tokens long, ids_crc32 long, file struct<part:long,name:string>, row long")
+    rows = placed.select("doc_id", "ids", "file", "row").transform(in_tasks, crc, "doc_id long, n_tokens long, ids_crc32 long, file struct<part:long,name:string>, row long")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("inside", inside).join(F.broadcast(earlier), "file").select("doc_id", (F.col("earlier") + F.col("inside") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
