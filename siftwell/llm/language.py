@@ -1,12 +1,12 @@
 """Language ID by compression: the language whose zstandard dictionary codes a text best.
 
-Training takes a bounded sample of labelled texts per language (``Limits.docs`` rows with the smallest hash,
-``Limits.dictionary_bytes`` of their text); that sample is all that reaches the driver. Each language's sample is a raw-content
+Training takes a bounded sample of labelled texts per language (whole texts of at most ``Limits.docs`` rows with the smallest
+hash, up to ``Limits.dictionary_bytes``); that sample is all that reaches the driver. Each language's sample is a raw-content
 dictionary. A text is coded with every dictionary, and the smallest code wins. Prediction is one narrow
 pass over whole texts.
 
 Defined results: null text, or text without a letter, gives ``und`` and score 0; ties go to the language
-that comes first by name; with no labelled rows everything is ``und``; repeated rows are predicted alike. Rows with
+that comes first by name; null ids count as bucket 0; a text of any length is coded whole; with no labelled rows everything is ``und``; repeated rows are predicted alike. Rows with
 score below ``Limits.margin`` are marked ``rejected`` and keep their best guess.
 """
 
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, in_tasks
 
 
 #: ASCII other than letters becomes a space, so that case, digits and marks do not count.
@@ -33,28 +33,30 @@ def normalised(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class Limits:
-    docs: int = 400
+    docs: int = 200
     dictionary_bytes: int = 96 * 1024
     level: int = 6
     margin: float = 0.02
 
 
 def dictionaries(train: DataFrame, limits: Limits = Limits()) -> dict[str, bytes]:
-    """Raw-content dictionary per language from rows (doc_id, text, lang); in the order of the hash.
+    """Raw-content dictionary per language from rows (doc_id, text, lang): whole texts in the order of a hash, up to the bounds.
 
-    Per language at most ``limits.docs`` texts of at most 512 characters each (a slice from the front, for the sample only).
+    The hash is uniform, so the first ``limits.docs`` of a language lie below a share of its range that the language's count
+    gives, with some room; only those rows are sorted and taken. The counts, a row per language, are broadcast.
     """
-    rows = train.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select(
-        "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"), "doc_id", F.substring("text", 1, 512).alias("text")
-    )
-    # a salted first cut, so that no task holds one language's rows
-    first = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id", "text")
-    last = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    for window in (first, last):
-        rows = rows.withColumn("n", F.row_number().over(window)).where(F.col("n") <= limits.docs)
+    rows = train.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)).alias("h"), "doc_id", "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    room = limits.docs + 8 * limits.docs**0.5
+    near = rows.join(F.broadcast(counts), "lang").where(F.col("h") <= F.lit(room * (1 << 40)) / F.col("all"))
+    cut = near.select("lang", "h", "doc_id", F.substring("text", 1, limits.dictionary_bytes).alias("text"))  # more than a dictionary never takes
     texts: dict[str, list[bytes]] = {}
-    for r in rows.orderBy("lang", "n").collect():
-        texts.setdefault(r["lang"], []).append(normalised(r["text"]))
+    sizes: dict[str, int] = {}
+    for r in cut.orderBy("lang", "h", "doc_id", "text").toLocalIterator():
+        own = texts.setdefault(r["lang"], [])
+        if len(own) < limits.docs and sizes.get(r["lang"], 0) < limits.dictionary_bytes:
+            own.append(normalised(r["text"]))
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(own[-1]) + 1
     return {k: b"\n".join(v)[: limits.dictionary_bytes] for k, v in texts.items()}
 
 
@@ -81,7 +83,7 @@ def predicted(docs: DataFrame, train: DataFrame, limits: Limits = Limits()) -> D
                 scores.append(1 - sizes[0][0] / sizes[1][0])
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    out = docs.selectExpr("cast(doc_id as long) doc_id", "text").transform(in_tasks, predict, "doc_id long, lang_pred string, score double")
     return out.withColumn("rejected", F.col("score") < limits.margin)
 
 
