@@ -10,7 +10,9 @@ that drift left by the rounds costs one cut group per shard border at most.
 
 Only DataFrame functions are used. Tables over shards (40 rows) are all that is broadcast or collected.
 
-Defined results: a null text has size 16, crc32 of nothing (0) and no links; repeated rows are rows of their
+Rounds end when no group is spread or no cell moves (``cut_groups`` gives the groups still cut). A text of any length is a size and a hash.
+
+Defined results: a null id is dealt like any other; a null text has size 16, crc32 of nothing (0) and no links; repeated rows are rows of their
 own; fewer rows than shards leave shards empty; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import ranked, written
 
 SHARDS = 40
-ROUNDS = 4
+#: Most rounds; fewer are made when no group is spread any more or no cell moves.
+ROUNDS = 12
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -54,6 +57,12 @@ def _moved(cells: DataFrame, share: float, round_: int, shards: int) -> DataFram
     return wish.withColumn("shard", F.when(accepted, F.col("liked")).otherwise(F.col("shard"))).drop("liked")
 
 
+def cut_groups(rows: DataFrame) -> int:
+    """Groups of ``rows`` (group, shard) that stand in more than one shard."""
+    spread = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("shard").alias("low"), F.max("shard").alias("high"))
+    return spread.where("low <> high").count()
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row of ``docs``."""
     rows = written(_rows(docs).withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")), "shard-rows")
@@ -62,7 +71,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     cells = written(cells.join(linked, "group").select("group", "first", F.col("first").alias("shard"), "n"), "shard-cells")
     total = rows.count()
     for k in range(rounds):
+        before = cells
         cells = written(_moved(cells, total / shards, k, shards), "shard-cells")
+        if cut_groups(cells) == 0 or not cells.join(before.withColumnRenamed("shard", "was"), ["group", "first"]).where("shard <> was").limit(1).count():
+            break
 
     held = dict(cells.groupBy("shard").agg(F.sum("n")).collect())  # a row per shard
     room = [max(0.0, total / shards - held.get(s, 0)) for s in range(shards)]
