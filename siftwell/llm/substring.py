@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import long_ids, slices, text_bytes, with_length
+from .common import in_tasks, long_ids, slices, text_bytes, with_length
 
 WINDOW = 20
 ROUNDS = 3
@@ -323,14 +323,14 @@ def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt = whole.select("doc_id", "text")
     copied = copies(ids).withColumn("_copy", F.lit(True))
     own = dealt.join(copied.hint("shuffle_hash"), "doc_id", "left").where("_copy is null").select("doc_id", "text")
-    taken = own.mapInArrow(lambda b: _anchor_rows(b, window), _ANCHORS)
+    taken = own.transform(in_tasks, lambda b: _anchor_rows(b, window), _ANCHORS)
     # what a batch has shown to be shared goes anywhere, one row of each key excepted, so that a hot key is spread
     deal = F.when(F.col("later"), F.xxhash64("key", "doc_id", "low")).otherwise(F.col("key"))
-    shared = taken.repartition(n, deal).sortWithinPartitions("key").mapInArrow(_several, "key long, doc_id long, low int, high int")
+    shared = taken.repartition(n, deal).sortWithinPartitions("key").transform(in_tasks, _several, "key long, doc_id long, low int, high int")
     found = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "low", "high")).alias("found"))
-    hashed = dealt.join(found.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _hash_rows(b, window), _HASHED)
+    hashed = dealt.join(found.hint("shuffle_hash"), "doc_id").transform(in_tasks, lambda b: _hash_rows(b, window), _HASHED)
     deal = F.when(F.col("hashes").isNull(), F.xxhash64("key", "doc_id", "low")).otherwise(F.col("key"))
-    repeats = hashed.repartition(n, deal).sortWithinPartitions("key", "doc_id", "low").mapInArrow(lambda b: _repeat_rows(b, window), "doc_id long, low int, high int")
+    repeats = hashed.repartition(n, deal).sortWithinPartitions("key", "doc_id", "low").transform(in_tasks, lambda b: _repeat_rows(b, window), "doc_id long, low int, high int")
     spans = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     out = whole.join(copied.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left")
     return out.unionByName(ids.where("doc_id is null"), allowMissingColumns=True)
@@ -367,7 +367,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     rows = with_spans(docs.select("doc_id", "text"), window).select("doc_id", "text", "_copy", "_spans")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.transform(in_tasks, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFrame:
@@ -390,4 +390,4 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFr
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))  # names that clash with none used here
-    return with_length(with_spans(inner, window).select(*inner.columns, "_copy", "_spans").mapInArrow(run, docs.schema))
+    return with_length(with_spans(inner, window).select(*inner.columns, "_copy", "_spans").transform(in_tasks, run, docs.schema))

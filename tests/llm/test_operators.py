@@ -128,16 +128,19 @@ def test_simhash_links_a_dense_cluster_and_chains(spark):
     prints = sorted(prints | set(chain))
     signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
     nodes = spark.createDataFrame([(p, k) for k, p in enumerate(signed)], "fp long, id long")
-    got = {r["fp"]: r["component"] for r in simhash.components(nodes, simhash.links(nodes.select("fp"))).collect()}
     want = brute_components(prints)
-    assert [got.get(p, k) for k, p in enumerate(signed)] == want
+    for layout in simhash.LAYOUTS:
+        got = {r["fp"]: r["component"] for r in simhash.components(nodes, simhash.links(nodes.select("fp"), layout=layout)).collect()}
+        assert [got.get(p, k) for k, p in enumerate(signed)] == want
 
 
-def test_simhash_keeps_the_first_with_all_columns(spark, awkward):
-    kept = simhash.first_of_each(frame(spark, [*awkward, (None, "no id")]))
-    assert kept.columns == frame(spark, awkward).columns
-    want = {i for i, _, c in brute_simhash(awkward, 4) if i == c}
-    assert {r["doc_id"] for r in kept.collect()} == want | {None}
+def test_simhash_links_long_runs_and_clashing_rows(spark):
+    rng = random.Random(3)
+    run = "".join(rng.choices("漢字文書", k=70_000))
+    rows = [(1, run), (2, run + " x"), (3, None), (None, "a b c d e f"), (4, "word " * 200_000), (5, "a b c d e f")]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.digest(frame(spark, rows)).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: f"{brute_fingerprint(t, 4):016x}" for i, t in rows}
+    assert got[1][1] == 1 and got[3][1] == 3 and got[None][1] == 5 and got[5][1] == 5
 
 
 # ---- 3 importance resampling
@@ -163,6 +166,37 @@ def test_resampling_scores_and_counts(spark, awkward):
     assert next(r["n_grams"] for r in out if r["doc_id"] == 1) == 2 * n - 1
 
 
+def test_resampling_equals_brute_force(spark, awkward):
+    """Ratios, noise, ranks and choice recomputed one n-gram at a time."""
+    rows = [*awkward, (None, "no id but words here"), (7000, "same words " * 5), (7001, "same words " * 5)]
+    labels = [(i, int(i is not None and i % 2 == 1), int(i in (5, 9))) for i in dict(rows)]
+    mask = (1 << 64) - 1
+
+    def buckets(t):
+        h = [xxhash.xxh64_intdigest(w.encode(), 3) >> 1 for w in words(lower(t or ""))]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) & mask) * 0xD6E8FEB86659FD93 & mask for a, b in zip(h, h[1:])]
+        return [x >> 49 for x in [w * 0xA0761D6478BD642F & mask for w in h] + pairs]
+
+    settings = resample.Settings(share=0.5)
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i is not None and i % 2 == 1 and i not in (5, 9):
+            target.update(buckets(t))
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    extra = settings.smoothing * n_target
+    log = {b: math.log((target[b] + extra * raw[b] / n_raw) / (n_target + extra) / (raw[b] / n_raw)) for b in raw}
+    noise = {r["doc_id"]: r["u"] for r in spark.createDataFrame([(i,) for i in dict(rows)], "doc_id long").selectExpr("doc_id", f"(pmod(xxhash64(doc_id, {settings.seed}), {(1 << 40) - 1}) + 0.5) / {float((1 << 40) - 1)}D u").collect()}
+    want = [(i, len(buckets(t)), sum(log[b] for b in buckets(t))) for i, t in rows]
+    want = sorted(((i, n, x, x - math.log(-math.log(noise[i]))) for i, n, x in want), key=lambda r: (-r[3], r[0] is not None, r[0]))
+    out = resample.resampled(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), settings)
+    got = sorted(out.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(len(rows))) and [r["kept"] for r in got] == [k < len(rows) // 2 for k in range(len(rows))]
+    assert [(r["doc_id"], r["n_grams"]) for r in got] == [(i, n) for i, n, _, _ in want]
+    assert [r["log_ratio"] for r in got] == pytest.approx([x for _, _, x, _ in want], abs=1e-6)
+    assert [r["gumbel_key"] for r in got] == pytest.approx([k for *_, k in want], abs=1e-6)
+
+
 # ---- 4 substring dedup
 
 
@@ -300,13 +334,54 @@ def test_quality_bands(spark):
     assert [r["doc_id"] for r in quality.kept(frame(spark, [(1, prose), (2, noise)])).collect()] == [1]
 
 
+def test_quality_verdicts_equal_brute_force(spark, awkward):
+    """Ratios, chunk ratios and verdicts recomputed, and what each kind of junk comes to."""
+    import zstandard
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices(["ri", "ver", "sto", "ne", "wal", "ked", "un", "der", "mor", "ning", "qui", "et"], k=rng.randint(1, 4))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base64 = lambda n, w=5: " ".join("".join(rng.choices(letters, k=w)) for _ in range(n))
+    kinds = {
+        "prose": [prose(n) for n in (22, 30, 60, 150, 400, 900, 4000, 9000)],
+        "base64": [base64(n) for n in (22, 30, 60, 150, 400, 900, 4000)] + [base64(40, 70)],
+        "mixed": [prose(1500) + base64(2000) + prose(1500)],
+        "counted": [" ".join("ab" * k for k in range(1, 200))],
+    }
+    rows = [*awkward, (None, prose(80)), *((1000 + 100 * g + k, t) for g, texts in enumerate(kinds.values()) for k, t in enumerate(texts))]
+    bands = quality.Bands()
+    size = lambda b: len(zstandard.ZstdCompressor(level=bands.level).compress(b))
+
+    def good(part, limits):
+        for below, low, high in limits:
+            if len(part) < below:
+                return low <= len(part) / size(part) <= high
+
+    want = []
+    figures = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in quality.judged(frame(spark, rows)).collect()}
+    for i, t in rows:
+        b, w = (t or "").encode(), words(t)
+        r = figures[i, len(w), sum(map(len, w))]
+        parts = [p for p in (b[k : k + 4096] for k in range(0, len(b), 4096)) if len(p) >= 2048] if len(b) > 4096 else []
+        ratios = [len(p) / size(p) for p in parts]
+        whole = len(b) / size(b) if b else None
+        assert r["ratio"] == whole and r["chunk_min"] == min(ratios, default=whole) and r["chunk_max"] == max(ratios, default=whole)
+        assert r["kept"] == (bool(b) and not r["base_failed"] and good(b, bands.whole) and all(good(p, bands.chunk) for p in parts))
+        want.append((i, r["kept"]))
+    kept = dict(want)
+    shares = {kind: [kept[1000 + 100 * g + k] for k in range(len(texts))] for g, (kind, texts) in enumerate(kinds.items())}
+    assert all(shares["prose"]) and kept[None] and not any(shares["base64"] + shares["mixed"] + shares["counted"])
+
+
 # ---- 7 token files
 
 
 def test_token_files_equal_the_library(spark, awkward):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    rng = random.Random(7)
+    awkward = [*awkward, (600, "".join(rng.choices("漢字文書", k=70_000))), (601, "and then <|endoftext|> " * 3)]
     got = sorted(tuple(r) for r in token_files.written_and_read(frame(spark, awkward), path).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     at, want = 0, []
     for i, t in sorted(awkward, key=lambda r: r[0]):
@@ -348,8 +423,12 @@ def test_language_on_held_out_rows(spark):
     rng = random.Random(6)
     parts = {"aa": ["thon", "ing", "the", "er", "wh", "ly"], "bb": ["keit", "ung", "der", "sch", "zu", "lich"], "cc": ["eaux", "ment", "les", "que", "oi", "tion"]}
     rows = [(k, " ".join("".join(rng.choices(parts[g], k=rng.randint(1, 3))) for _ in range(rng.randint(8, 60))), g) for k, g in enumerate(rng.choices([*parts], k=400))]
-    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 !!", None), (903, "THON ING THE ERWH", None)]
-    out = {r["doc_id"]: r for r in language.held_out_prediction(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("x", "y")).collect()}
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 !!", None), (903, "THON ING THE ERWH", None), (904, "the thon ering " * 60_000, "aa"), (None, "keitung derlich schzu ungsch lichkeit zuder keitsch ungder", None)]
+    clashing = "lang_pred string, score double, h long, `all` long, held_out string"
+    docs = spark.createDataFrame([(*r, "x", 0.5, 1, 2, "y") for r in rows], "doc_id long, text string, lang string, " + clashing)
+    assert {k: len(v) <= 4096 for k, v in language.dictionaries(docs, language.Limits(docs=9, dictionary_bytes=4096)).items()} == dict.fromkeys(parts, True)
+    out = {r["doc_id"]: r for r in language.held_out_prediction(docs).collect()}
+    assert out[904]["lang_pred"] == "aa" and out.pop(None)["lang_pred"] == "bb"
     held = [(i, g) for i, _, g in rows[:400] if out[i]["held_out"]]
     assert sum(out[i]["lang_pred"] == g for i, g in held) / len(held) > 0.95
     assert [out[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and out[903]["lang_pred"] == "aa"
@@ -375,6 +454,15 @@ def test_base_scores_equal_brute_force(spark, awkward):
     assert len({r["score"] for r in got.values()}) > 10
 
 
+def by_segmentations(weights, word):
+    """Marginal log10 probability of a word: a sum over all segmentations, from the left."""
+    text, sums, byte = lattice.START + word, [1.0], lattice.BYTES_SHARE / 256
+    for j in range(1, len(text) + 1):
+        own = sum(sums[i] * weights[text[i:j]] for i in range(j) if text[i:j] in weights)
+        sums.append(own + (0 if text[j - 1] in weights else sums[j - 1] * byte ** len(text[j - 1].encode())))
+    return math.log10(sums[-1])
+
+
 def test_lattice_sums_every_segmentation():
     weights = {"▁": 0.1, "▁a": 0.2, "a": 0.1, "b": 0.1, "ab": 0.2, "ba": 0.1, "▁ab": 0.05, "aba": 0.15}
     model = lattice.Lattice(weights)
@@ -384,14 +472,50 @@ def test_lattice_sums_every_segmentation():
         for k in range(1, len(s) + 1):
             if s[:k] in weights:
                 total += weights[s[:k]] * brute(s[k:])
-        return total + (model.byte ** len(s[0].encode()) * brute(s[1:]) if s and s[0] not in weights else 0)
+        return total + (math.exp(model.byte) ** len(s[0].encode()) * brute(s[1:]) if s and s[0] not in weights else 0)
 
     for word in ("abab", "baba", "a", "xé", "aXb"):
-        assert model.log10(word) == pytest.approx(math.log10(brute("▁" + word)))
-    counts = {}
-    model.expect("abab" * 40, 3.0, counts)
-    assert sum(len(k) * v for k, v in counts.items()) == pytest.approx(3 * 161)
-    assert math.isfinite(model.log10("q" * 5000))
+        assert model.log10([word])[0] == pytest.approx(math.log10(brute("▁" + word)))
+        assert by_segmentations(weights, word) == pytest.approx(math.log10(brute("▁" + word)))
+    counts = np.zeros(len(weights))
+    model.expect(["abab" * 40], np.array([3.0]), counts)
+    assert sum(len(k) * v for k, v in zip(weights, counts)) == pytest.approx(3 * 161)
+
+
+def test_lattice_is_linear_in_long_words():
+    weights = {"▁": 0.1, "a": 0.1, "b": 0.1, "ab": 0.2, "漢": 0.1, "bab": 0.05}
+    model, rng = lattice.Lattice(weights), random.Random(5)
+    for n in (199, 200, 201, 1000, 2500):
+        word = "".join(rng.choices("abx漢é", k=n))
+        assert model.log10([word])[0] == pytest.approx(model._forward(next(model._groups([lattice.START + word]))[1])[0][-1, 0] / math.log(10))
+    assert math.isfinite(model.log10(["q漢" * 200_000])[0])
+    assert math.isfinite(model.expect(["ab" * 300_000], np.array([1.0]), np.zeros(len(weights)))[0])
+
+
+def test_scores_equal_sums_over_segmentations(spark, awkward):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [*awkward, (None, "no id at all"), (500, "w" * 3000 + " and more")]
+    counts = Counter()
+    docs = [(i, lower(t or "").split() if t and t.isascii() else words(lower(t or ""))) for i, t in rows]
+    train = [w for i, w in docs if zlib.crc32(str(i).encode()) % 5 != 1 or i is None]
+    for w in train:
+        counts.update(w)
+    aside = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id, 'aside'), 10) = 0").collect()}
+    table = [(w.encode(), sum(Counter(t)[w] for i, t in docs if (i is None or zlib.crc32(str(i).encode()) % 5 != 1) and not aside[i]), sum(Counter(t)[w] for i, t in docs if (i is None or zlib.crc32(str(i).encode()) % 5 != 1) and aside[i])) for w in {w for _, t in docs for w in t}]
+    weights = lattice.trained(spark.createDataFrame(table, "word binary, n long, dev long"), lattice.pieces(path))
+    end = (len(train) + 1) / (sum(counts.values()) + len(train) + 2)
+    want = sorted((sum(by_segmentations(weights, w) if len(w) < 300 else lattice.Lattice(weights).log10([w])[0] for w in t) + len(t) * math.log10(1 - end) + math.log10(end) for _, t in docs))
+    got = sorted(r["score"] for r in lattice.held_out_scores(frame(spark, rows), path).collect())
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_training_stops_when_kept_out_words_gain_no_more(spark):
+    rng = random.Random(2)
+    made = ["".join(rng.choices(["ka", "ri", "mo", "st"], k=3)) for _ in range(300)]
+    words_ = spark.createDataFrame([(w.encode(), 5, k % 3) for k, w in enumerate(made)], "word binary, n long, dev long")
+    start = {p: 1 / 40 for p in ["▁", *{c for w in made for c in w}, "ka", "ri", "mo", "st", "kari"]}
+    scores = [lattice.expected(words_, lattice.trained(words_, start, rounds=k))[1] for k in range(5)]
+    assert scores[1] > scores[0] and scores[2] >= scores[1] - 0.01 and scores[-1] >= max(scores) - lattice.GAIN
 
 
 # ---- 10 shards
@@ -415,6 +539,13 @@ def test_shards_obey_the_law(spark, n):
         assert sum(len(spread[t]) > 1 for t in groups) <= 40  # a cut for each border at most
 
 
+def test_propagation_brings_groups_together(spark):
+    rows = [(k, f"text {k // 5}" if k % 2 else f"own {k}") for k in range(4000)]
+    dealt, moved = (shards.sharded(frame(spark, rows), rounds=n) for n in (0, shards.ROUNDS))
+    groups = len({t for t, c in Counter(t for _, t in rows).items() if c > 1})
+    assert shards.cut_groups(dealt) > 0.8 * groups and shards.cut_groups(moved) <= 40
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(1000).selectExpr("id", "(id * 7919) % 50 k")
     got = ranked(df, [df["k"].desc(), df["id"]], "test").collect()
