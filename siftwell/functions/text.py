@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the data model.
 WORD = r"[\p{L}\p{N}\x{0E00}-\x{0E7F}]+"
 MAX_TERMS = 64
-THAI_DIGITS, ASCII_DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
+#: Decimal digits of all scripts below U+20000, and the ASCII ones that they stand for.
+DIGITS = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKER = r"\[[0-9]{1,3}(?:\s*,\s*[0-9]{1,3})*\s*\]"
 LIGHT = r"[\p{L}\s&&[^฀-๿　-鿿＀-￯]]"
@@ -83,9 +87,9 @@ def cited_numbers(c: Column, count: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    """Distinct numbers: Thai digits as ASCII, thousands commas dropped, other commas split, leading zeros and, after one point or
+    """Distinct numbers: digits of any script as ASCII, thousands commas dropped, other commas split, leading zeros and, after one point or
     colon, trailing zeros dropped."""
-    found = F.regexp_extract_all(F.translate(c, THAI_DIGITS, ASCII_DIGITS), F.lit(r"[0-9]+(?:[.,:][0-9]+)*"), F.lit(0))
+    found = F.regexp_extract_all(F.translate(c, "".join(DIGITS), ASCII_DIGITS), F.lit(r"[0-9]+(?:[.,:][0-9]+)*"), F.lit(0))
     joined = F.transform(found, lambda x: F.regexp_replace(x, r"(?<![0-9.:,])([0-9]{1,3})((?:,[0-9]{3})+)(?![0-9,])", "$1#$2#"))
     plain = F.transform(joined, lambda x: F.when(F.contains(x, F.lit("#")), F.regexp_replace(x, "[#,]", "")).otherwise(x))
     split = F.flatten(F.transform(plain, lambda x: F.split(x, ",")))
@@ -124,7 +128,7 @@ def chat_title(c: Column, size: int = 60) -> Column:
 
 
 def garbled_thai(c: Column) -> Column:
-    """Echoes in a page of Thai text: a syllable's marks said twice, marks without a letter, and short lines that repeat the end of the line before."""
+    """Echoes in a page of Thai text: a syllable's marks said twice, marks without a letter, and short lines, beginning with a consonant, that repeat the end of the line before."""
     marks = r"[\x{0E31}\x{0E34}-\x{0E3A}\x{0E47}-\x{0E4E}]"
     doubled = F.regexp_count(c, F.lit(rf"([ก-ฮ]{marks}+)[ก-ฮ]\1"))
     orphans = F.regexp_count(c, F.lit(rf"(?<![ก-ฮ]|{marks}){marks}"))
@@ -133,7 +137,7 @@ def garbled_thai(c: Column) -> Column:
         lines,
         F.struct(F.lit(0).alias("n"), F.lit("").alias("last")),
         lambda s, x: F.struct(
-            (s["n"] + F.when((s["last"] != "") & (F.length(x) <= 3) & (x != s["last"]) & F.contains(F.right(s["last"], F.lit(4)), x), 1).otherwise(0)).alias("n"),
+            (s["n"] + F.when((s["last"] != "") & (F.length(x) <= 3) & x.rlike("^[ก-ฮ]") & (x != s["last"]) & F.contains(F.right(s["last"], F.lit(4)), x), 1).otherwise(0)).alias("n"),
             x.alias("last"),
         ),
         lambda s: s["n"],

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from . import passages as P
 
 # Fixed values of the scoring.
@@ -71,7 +72,7 @@ def auto_citation(answers: DataFrame, sources: DataFrame, share: float = AUTO_SH
 
 def windows_of(sources: DataFrame, make=None) -> DataFrame:
     """Windows of sources (message_id, n, text) with vector, trigrams and numbers. Equal texts are embedded once."""
-    cut = P.text_windows(sources, ["message_id", "n"])
+    cut = written(P.text_windows(sources, ["message_id", "n"]), "windows")
     vectors = cut.select("text").distinct().withColumn("vector", embed(cut, "text", make))
     return cut.join(vectors, "text").select("message_id", "n", "win", "start", "end", "text", "vector", T.trigrams(F.col("text")).alias("grams"), T.numbers(F.col("text")).alias("numbers"))
 
@@ -85,7 +86,7 @@ def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame
     """``selection_id, n, start, end, label, score``: up to three matches of each selection (selection_id, message_id, content, selection, only).
 
     Score: cosine + 0.2 x shared trigrams - 0.15 x numbers (2 at most) that some window has but this one lacks. Windows of cited sources
-    come first, then by score, source and place; below 0.57 none counts. With several sources one window of each is taken,
+    come first, then by score, source and place; below 0.57 none counts. Strong is a score of 0.83 with every number known to some window. With several sources one window of each is taken,
     with one source windows that don't overlap.
     """
     clean = T.strip_markers(F.col("selection"))
@@ -102,8 +103,9 @@ def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame
     strong = F.size(F.array_except("s_numbers", "known")) == 0
     scored = pairs.withColumn("score", score).where(F.col("score") >= FLOOR).select(
         "selection_id", "n", "win", "start", "end", "n_sources", "score", (~F.array_contains("cited", F.col("n"))).alias("uncited"),
-        F.when((F.col("score") >= STRONG) & strong & (missing == 0), "strong").otherwise("partial").alias("label"),
+        F.when((F.col("score") >= STRONG) & strong, "strong").otherwise("partial").alias("label"),
     )
+    scored = written(scored, "attribution")  # read for both kinds of selection
     order = [F.col("uncited"), F.desc("score"), F.col("n"), F.col("win")]
     several = scored.where("n_sources > 1").withColumn("r", F.row_number().over(Window.partitionBy("selection_id", "n").orderBy(*order))).where("r = 1")
     several = several.withColumn("r", F.row_number().over(Window.partitionBy("selection_id").orderBy(*order))).where(F.col("r") <= MOST)

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import passages as P
+
+# Tokens around one message, and the replies that say that nothing was found.
+MESSAGE_TOKENS = 8
+NOT_FOUND = ("ไม่พบข้อมูลนี้ในเอกสาร", "Not found in the documents.", "文档中未找到相关信息。")
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -64,15 +69,22 @@ def search_chats(chats: DataFrame, messages: DataFrame, query: str, k: int = 30)
     return found.drop("hit").orderBy(F.desc("activity"), "chat_id").limit(k)
 
 
-def history_fit(exchanges: DataFrame, budgets: DataFrame, cut: Column | None = None) -> DataFrame:
-    """Exchanges (chat_id, turn, question, answer, cost) that fit a chat's budget, newest first and without gaps.
+def history_fit(exchanges: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Exchanges (chat_id, turn, question, answer) that fit a chat's budget (chat_id, budget) of tokens, newest first and without gaps.
 
-    Unanswered ones are skipped. If not even the newest fits, it stays, marked ``cut``: its answer is to be shortened to the budget.
+    Answers lose their citation markers; unanswered exchanges and not-found replies are skipped. If not even the newest fits, its
+    answer is shortened to what the question leaves, marked ``cut``; if that is nothing, the chat has no history.
     """
+    answer = F.regexp_replace(F.regexp_replace("answer", r"\s*" + T.MARKER, ""), r"^\s+|\s+$", "")
+    told = exchanges.withColumn("answer", answer).where((F.col("answer") != "") & ~F.col("answer").isin(*NOT_FOUND)).join(budgets, "chat_id")
+    asked = T.estimate_tokens(F.col("question")) + MESSAGE_TOKENS
     newest = Window.partitionBy("chat_id").orderBy(F.desc("turn"))
-    summed = exchanges.where("answer is not null").join(budgets, "chat_id").withColumn("spent", F.sum("cost").over(newest)).withColumn("age", F.row_number().over(newest))
-    fits = F.col("spent") <= F.col("budget")
-    return summed.where(fits | (F.col("age") == 1)).withColumn("cut", ~fits).drop("age")
+    costs = told.withColumn("asked", asked).withColumn("cost", F.col("asked") + T.estimate_tokens(F.col("answer")) + MESSAGE_TOKENS)
+    summed = costs.withColumn("spent", F.sum("cost").over(newest)).withColumn("age", F.row_number().over(newest)).withColumn("cut", F.col("spent") > F.col("budget"))
+    room = F.col("budget") - F.col("asked") - MESSAGE_TOKENS
+    kept = summed.where(~F.col("cut") | (F.col("age") == 1) & (room > 0))
+    short = P.per_row(lambda text, n: text if n is None else P.take_tokens(text, n), "string", F.col("answer"), F.when(F.col("cut"), room))
+    return kept.select("chat_id", "turn", "question", short.alias("answer"), "spent", "budget", "cut")
 
 
 def context_usage(parts: DataFrame) -> DataFrame:

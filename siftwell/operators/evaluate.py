@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import passages as P
+
 HIT_AT = (1, 4, 10)
 
 
@@ -61,8 +63,9 @@ def word_hit(pairs: DataFrame) -> DataFrame:
 
 
 def cer(pairs: DataFrame) -> DataFrame:
-    """``pair_id, cer``: edit distance over the truth's length, texts taken as they are."""
-    return pairs.select("pair_id", (F.levenshtein("truth", "text") / F.greatest(F.length("truth"), F.lit(1))).alias("cer"))
+    """``pair_id, cer``: edit distance over the truth's length; both texts (truth, text, lang) are normalised first."""
+    plain = [P.per_row(lambda t, g: P.normalise_text(t or "", g), "string", F.col(c), F.col("lang")).alias(c) for c in ("truth", "text")]
+    return pairs.select("pair_id", *plain).select("pair_id", (F.levenshtein("truth", "text") / F.greatest(F.length("truth"), F.lit(1))).alias("cer"))
 
 
 def ocr_quality(scores: DataFrame) -> DataFrame:
@@ -78,8 +81,8 @@ def reading_order(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
     return lines.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("line", "x", "box_id"))).drop("new")
 
 
-def ocr_rects(pages: DataFrame, start: int, end: int) -> DataFrame:
-    """Boxes of characters [start, end) of pages (page_id, text, boxes), merged per line; newlines break lines, empty boxes don't count."""
+def ocr_rects(pages: DataFrame, start: int = 0, end: int = 1 << 30) -> DataFrame:
+    """Boxes of characters [start, end), all by default, of pages (page_id, text, boxes), merged per line; newlines break lines, empty boxes don't count."""
     chars = pages.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"), F.col("boxes").alias("b"))).alias("at", "x"))
     line = F.sum((F.col("x.c") == "\n").cast("int")).over(Window.partitionBy("page_id").orderBy("at"))
     lined = chars.withColumn("line", line).where(F.col("at").between(start, end - 1) & (F.col("x.b.x1") > F.col("x.b.x0")))

@@ -20,7 +20,10 @@ CHUNK_TOKENS, OVERLAP_TOKENS = 450, 68
 WINDOW_TOKENS, WINDOW_STRIDE, WINDOW_REACH = 60, 30, 24
 MIN_ANCHOR, MAX_GAP = 12, 40
 MARKER = re.compile(r"\[\s*\d{1,3}(?:\s*,\s*\d{1,3})*\s*\]")
-SENTENCE_END = re.compile(r"(?<=[.!?。！？])(?:\s*\[[\d\s,]+\])*\s+|\n+")
+# A sentence ends at . ! ? before white space, a marker or the end; at 。！？; at a newline; markers right after it are still its own.
+# Markers before white space end one as well, as Thai has no full stop.
+_MARKERS = rf"(?:[ \t]*{MARKER.pattern})"
+SENTENCE_END = re.compile(rf"(?:[.!?]+(?=[\s\[]|$)|[。！？]+|\n){_MARKERS}*|{_MARKERS}+(?=\s|$)")
 
 
 def word_spans(text: str) -> Spans:
@@ -44,7 +47,7 @@ def text_units(text: str) -> list[tuple[str, int]]:
     return out
 
 
-_BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?。！？])\s+"), re.compile(r"\n"), re.compile(r"\s+"))
+_BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+|(?<=[。！？])(?![。！？])\s*"), re.compile(r"\n"), re.compile(r"\s+"))
 
 
 def _pieces(text: str, start: int, limit: int, token_spans: Callable[[str], Spans], level: int = 0) -> list[tuple[int, int, int]]:
@@ -66,22 +69,23 @@ def _pieces(text: str, start: int, limit: int, token_spans: Callable[[str], Span
 def chunk_text(text: str, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, token_spans: Callable[[str], Spans] = word_spans) -> list[dict]:
     """Chunks of at most ``limit`` tokens, each with its first and last line; trailing pieces of at most ``overlap`` tokens are repeated.
 
-    Overlap pieces are shed from the front where the next piece would not fit beside them.
+    What a chunk has of one unit is the unit's own text, white space inside it included; units stand a blank line apart. Overlap pieces are shed from the front where the next piece would not fit beside them.
     """
-    pieces = []
-    for body, line in text_units(text):
+    units, pieces = text_units(text), []
+    for unit, (body, _) in enumerate(units):
         for a, b, n in _pieces(body, 0, limit, token_spans):
             part = body[a:b]
-            lead = len(part) - len(part.lstrip())
-            first = line + body.count("\n", 0, a + lead)
-            pieces.append((part.strip(), n, first, first + part.strip().count("\n"), line))
+            pieces.append((unit, n, a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
     chunks, current, fresh = [], [], False
 
     def emit() -> None:
-        out = ""
-        for k, p in enumerate(current):
-            out += ("" if not k else "\n\n" if p[4] != current[k - 1][4] else "\n" if p[2] > current[k - 1][3] else " ") + p[0]
-        chunks.append({"text": out, "line_start": current[0][2], "line_end": current[-1][3]})
+        parts = []
+        for unit in dict.fromkeys(p[0] for p in current):
+            own = [p for p in current if p[0] == unit]
+            parts.append(units[unit][0][own[0][2] : own[-1][3]])
+        (one, _, start, _), (other, _, _, end) = current[0], current[-1]
+        first, last = (units[u][1] + units[u][0].count("\n", 0, at) for u, at in ((one, start), (other, end)))
+        chunks.append({"text": "\n\n".join(parts), "line_start": first, "line_end": last})
 
     for piece in pieces:
         if current and sum(p[1] for p in current) + piece[1] > limit:

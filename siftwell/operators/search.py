@@ -19,6 +19,8 @@ RRF = 60
 GATE = 0.43
 #: Most numbers of a query matrix that is broadcast at once (100 MB of doubles).
 MATRIX = 12_500_000
+#: Most queries whose terms are broadcast at once.
+QUERIES = 5_000
 
 
 def ranked_by(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -26,26 +28,34 @@ def ranked_by(df: DataFrame, keys: list[str], order: list[Column], k: int | None
     return out.where(F.col(name) <= k) if k else out
 
 
+def _pieces(text: str | None) -> Counter:
+    """The overlapping three-character pieces of a text, counted."""
+    return Counter(map("".join, zip(text or "", (text or "")[1:], (text or "")[2:], strict=False)))
+
+
 def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's overlapping three-character pieces with their counts, a few rows at a time."""
+    """Each row's pieces with their counts, a few rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             terms, ids, counts = [], [], []
             for chunk, text in zip(batch.column(0)[at : at + 200].to_pylist(), batch.column(1)[at : at + 200].to_pylist(), strict=True):
-                found = Counter(map("".join, zip(text or "", (text or "")[1:], (text or "")[2:], strict=False)))
+                found = _pieces(text)
                 terms += found
                 counts += found.values()
                 ids += [chunk] * len(found)
             yield pa.record_batch([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["term", "chunk_id", "tf"])
 
 
-def trigram_postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``term, chunk_id, tf`` over every three characters of the folded text; only those in ``terms`` if given.
+def _folded(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.lower("text").alias("text"))
+
+
+def trigram_postings(chunks: DataFrame) -> DataFrame:
+    """``term, chunk_id, tf`` over every three characters of the folded text.
 
     A chunk is one row, so it is counted where it is read: pieces are never exploded one by one nor shuffled to be counted.
     """
-    rows = chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(_counted_grams, "term string, chunk_id long, tf long")
-    return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return _folded(chunks).mapInArrow(_counted_grams, "term string, chunk_id long, tf long")
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -64,18 +74,73 @@ def term_stats(postings: DataFrame) -> DataFrame:
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25 over any of the query's terms; statistics are those of all chunks.
 
-    Only the queries' terms are kept: the others are dropped before the shuffle. Scores are rounded to 6 digits, then ties go by id.
+    The queries' terms, at most 64 each, are broadcast in blocks of ``QUERIES`` queries. One pass counts in how many chunks each of
+    them is; a second scores each chunk where it is read and keeps the k best per query and batch, so no posting is
+    shuffled. Scores are rounded to 6 digits, then ties go by id.
     """
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query_text"))).alias("term"))
-    postings = trigram_postings(chunks, terms)
-    stats = corpus_stats(chunks)
-    idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weighed = term_stats(postings).crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"))  # stats is one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    lengths = chunk_lengths(chunks).crossJoin(F.broadcast(stats)).select("chunk_id", "dl", "avg_dl")
-    valued = postings.join(weighed, "term").join(lengths, "chunk_id").select("term", "chunk_id", part.alias("part"))
-    scores = terms.join(valued, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked_by(scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    spark = chunks.sparkSession
+    stats = corpus_stats(chunks).first()
+    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query_text"))).alias("term"))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    found = None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        terms = block.groupBy("term").agg(F.collect_list("query_id").alias("ids")).collect()  # 64 x QUERIES numbers at most
+        names = spark.sparkContext.broadcast({r["term"]: n for n, r in enumerate(terms)})
+
+        def seen(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(len(names.value), np.int64)
+            for batch in batches:
+                for text in batch.column(1).to_pylist():
+                    counts[[names.value[t] for t in _pieces(text).keys() & names.value.keys()]] += 1
+            some = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["n", "df"])
+
+        df = np.zeros(len(terms))
+        for n, count in _folded(chunks).mapInArrow(seen, "n long, df long").groupBy("n").agg(F.sum("df")).collect():  # a row per term
+            df[n] = count
+        idf = np.maximum(np.log((stats["n_chunks"] - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+        ids = sorted({q for r in terms for q in r["ids"]})
+        place = {q: n for n, q in enumerate(ids)}
+        lists = [np.array([place[q] for q in r["ids"]], np.int64) for r in terms]
+        shared = spark.sparkContext.broadcast((names.value, idf, lists, np.array(ids, np.int64), stats["avg_dl"]))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, idf, lists, ids, average = shared.value
+            rows = max(1, 4_000_000 // max(1, len(ids)))
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, rows):
+                    batch = whole.slice(at, rows)
+                    scores = np.full((batch.num_rows, len(ids)), -1.0)  # below any score: no term in common
+                    for k_, text in enumerate(batch.column(1).to_pylist()):
+                        counted = _pieces(text)
+                        own = [(names[t], counted[t]) for t in counted.keys() & names.keys()]
+                        if own:
+                            n, tf = np.array(own, np.int64).T
+                            length = max(0, len(text) - 2)
+                            part = idf[n] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+                            which = np.concatenate([lists[x] for x in n])
+                            sums = np.bincount(which, np.repeat(part, [len(lists[x]) for x in n]), minlength=len(ids))
+                            hit = np.bincount(which, minlength=len(ids)) > 0
+                            scores[k_, hit] = np.round(sums[hit], 6)
+                    yield from _best_of(ids, batch.column(0).to_numpy(), scores, k, "score", 0.0)
+
+        part = _folded(chunks).mapInArrow(best, "query_id long, chunk_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return ranked_by(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def _best_of(ids: np.ndarray, chunk: np.ndarray, scores: np.ndarray, k: int, name: str, least: float = -np.inf) -> Iterator[pa.RecordBatch]:
+    """One batch with the k best chunks (rows of ``scores``) of each query (column), from ``least`` on; ties by id."""
+    columns: list[list] = [[], [], []]
+    for q, row in zip(ids.tolist(), scores.T, strict=True):
+        some = np.flatnonzero(row >= least)
+        if len(some) > k:  # all that tie with the k-th stay for the sort
+            some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k]]
+        order = some[np.lexsort((chunk[some], -row[some]))[:k]]
+        for column, x in zip(columns, (np.full(len(order), q), chunk[order], row[order]), strict=True):
+            column.append(x)
+    yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["query_id", "chunk_id", name])
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
@@ -104,10 +169,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFram
                 chunk = batch.column(0).to_numpy()
                 v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ matrix.T, 6).T
-                for q, row in zip(ids.tolist(), s, strict=True):
-                    best = np.lexsort((chunk, -row))[:k]
-                    yield pa.record_batch([pa.array(np.full(len(best), q)), pa.array(chunk[best]), pa.array(row[best])], names=["query_id", "chunk_id", "similarity"])
+                s = np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ matrix.T, 6)
+                yield from _best_of(ids, chunk, s, k, "similarity")
 
         part = vectors.where("embedding is not null").select("chunk_id", F.col("embedding")).mapInArrow(nearest, "query_id long, chunk_id long, similarity double")
         found = part if found is None else found.unionByName(part)

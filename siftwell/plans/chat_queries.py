@@ -19,9 +19,11 @@ def _scopes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(s: SparkSession, d: str) -> DataFrame:
-    """Answers' sources: two documents each, by arithmetic on the ids."""
+    """Answers' sources: two documents each, by arithmetic on the ids, from the whole table."""
     answers = inputs.messages(s, d).where("role = 'assistant'").select("chat_id", "id", F.explode(F.array(F.lit(2), F.lit(1))).alias("n"))
-    return answers.where("id % 4 <> 3").withColumn("doc_id", (F.col("chat_id") * 7 + F.col("id") * 3 + F.col("n")) % 200)
+    all_docs = inputs.table(s, d, "documents").agg((F.max("doc_id") + 1).alias("docs"))  # one row
+    place = (F.col("chat_id") * 7919 + F.col("id") * 104729 + F.col("n")) % F.col("docs")
+    return answers.where("id % 4 <> 3").crossJoin(F.broadcast(all_docs)).withColumn("doc_id", place).drop("docs")
 
 
 def recent_exchanges(s: SparkSession, d: str) -> DataFrame:
@@ -73,8 +75,7 @@ def query_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def _exchanges(s: SparkSession, d: str) -> DataFrame:
-    cost = T.estimate_tokens(F.col("question")) + T.estimate_tokens(F.col("answer")) + 16
-    return C.recent_exchanges(inputs.messages(s, d), 50).withColumn("cost", cost).drop("age")
+    return C.recent_exchanges(inputs.messages(s, d), 50).drop("age")
 
 
 def history_fit(s: SparkSession, d: str) -> DataFrame:
@@ -86,9 +87,9 @@ def _prompt_rows(s: SparkSession, d: str) -> DataFrame:
     """Questions of the query set with their sources; the chat of the same number is the history."""
     hits = S.number_sources(S.dense_topk(inputs.questions(s, d).where("query_vector is not null"), inputs.vectors(s, d), 4), 4)
     found = hits.join(inputs.chunks(s, d), "chunk_id").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.col("project").alias("file"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("label"), F.substring("text", 1, 200).alias("text")))).alias("sources")
+        F.array_sort(F.collect_list(F.struct("n", F.col("project").alias("file"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("label"), "text"))).alias("sources")
     )
-    past = inputs.messages(s, d).where("id < 3").groupBy((F.col("chat_id") * 100).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("h"))
+    past = inputs.messages(s, d).groupBy((F.col("chat_id") * 100).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("h"))
     asked = inputs.questions(s, d).select("query_id", F.col("query_text").alias("question"))
     notes = F.when(F.col("query_id") % 300 == 0, F.concat(F.lit("note "), F.col("query_id").cast("string")))
     return asked.join(found, "query_id").join(past, "query_id", "left").select("query_id", "question", "sources", F.coalesce(F.transform("h", lambda x: x["content"]), F.array().cast("array<string>")).alias("history"), notes.alias("notes"))
@@ -124,7 +125,7 @@ def _cost(c: str) -> str:
 
 ORACLE_SQL = {
     "recent_exchanges": f"WITH {_M}, {_TURNS} SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM turns QUALIFY age <= 2",
-    "messages_with_sources": f"WITH {_M} SELECT chat_id, id, CASE WHEN role = 'assistant' AND id % 4 <> 3 THEN '1:' || (chat_id * 7 + id * 3 + 1) % 200 || ',2:' || (chat_id * 7 + id * 3 + 2) % 200 ELSE '' END AS sources FROM m",
+    "messages_with_sources": f"WITH {_M} SELECT chat_id, id, CASE WHEN role = 'assistant' AND id % 4 <> 3 THEN '1:' || (chat_id * 7919 + id * 104729 + 1) % (SELECT max(doc_id) + 1 FROM documents) || ',2:' || (chat_id * 7919 + id * 104729 + 2) % (SELECT max(doc_id) + 1 FROM documents) ELSE '' END AS sources FROM m",
     "chat_scopes": f"WITH {_M}, {_SCOPES} SELECT chat_id, string_agg(project, ',' ORDER BY project) AS projects FROM scopes GROUP BY chat_id",
     "chat_title": f"WITH {_M}, {_TITLES} SELECT * FROM titles",
     "list_chats": f"WITH {_M}, {_SCOPES} SELECT chat_id, activity, projects FROM (SELECT chat_id, max(pos) AS activity FROM m GROUP BY chat_id) LEFT JOIN (SELECT chat_id, string_agg(project, ',' ORDER BY project) AS projects FROM scopes GROUP BY chat_id) USING (chat_id)",
@@ -132,7 +133,8 @@ ORACLE_SQL = {
     "search_chats": f"WITH {_M}, {_NEWEST}, {_TITLES} SELECT chat_id, title, activity, excerpt FROM titles JOIN (SELECT chat_id, max(pos) AS activity FROM m GROUP BY chat_id) USING (chat_id) LEFT JOIN (SELECT chat_id, {_EXCERPT} AS excerpt FROM newest) USING (chat_id) WHERE excerpt IS NOT NULL OR contains({_FOLD.format('title')}, '{QUERY}') ORDER BY activity DESC, chat_id LIMIT 30",
     "excerpt": f"WITH {_M} SELECT chat_id, id, {_EXCERPT} AS excerpt FROM m",
     "query_text": f"WITH {_M} SELECT chat_id, id, concat_ws(chr(10), content, lag(content) OVER (PARTITION BY chat_id ORDER BY id)) AS query_text FROM m WHERE role = 'user'",
-    "history_fit": f"""WITH {_M}, {_TURNS}, priced AS (SELECT *, {_cost('question')} + {_cost('answer')} + 16 AS cost, 150 + chat_id % 5 * 100 AS budget FROM turns WHERE answer IS NOT NULL),
+    "history_fit": f"""WITH {_M}, {_TURNS}, told AS (SELECT chat_id, turn, question, regexp_replace(regexp_replace(answer, '\\s*\\[[0-9]{{1,3}}(\\s*,\\s*[0-9]{{1,3}})*\\s*\\]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer FROM turns),
+        priced AS (SELECT *, {_cost('question')} + 8 AS asked, asked + {_cost('answer')} + 8 AS cost, 150 + chat_id % 5 * 100 AS budget FROM told WHERE answer <> '' AND answer NOT IN ('ไม่พบข้อมูลนี้ในเอกสาร', 'Not found in the documents.', '文档中未找到相关信息。')),
         summed AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY chat_id ORDER BY turn DESC) AS BIGINT) AS spent, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM priced)
-        SELECT chat_id, turn, spent, budget, spent > budget AS cut FROM summed WHERE spent <= budget OR age = 1""",
+        SELECT chat_id, turn, spent, budget, spent > budget AS cut FROM summed WHERE spent <= budget OR age = 1 AND asked + 8 < budget""",
 }

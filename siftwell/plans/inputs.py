@@ -20,10 +20,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: rows whose id is divisible by 100; 80 characters of text, and the own vector."""
+    """The stated query set: rows whose id is divisible by 100, with their whole text and their own vector."""
     asked = chunks(spark, sf_dir).where("chunk_id % 100 = 0")
     own = vectors(spark, sf_dir).where("chunk_id % 100 = 0")
-    return asked.join(own, "chunk_id", "left").select(F.col("chunk_id").alias("query_id"), "project", F.substring("text", 1, 80).alias("query_text"), F.col("embedding").alias("query_vector"))
+    return asked.join(own, "chunk_id", "left").select(F.col("chunk_id").alias("query_id"), "project", F.col("text").alias("query_text"), F.col("embedding").alias("query_vector"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

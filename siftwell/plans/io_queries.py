@@ -12,10 +12,17 @@ from ..streaming import watch as W
 from . import file_queries, inputs
 
 
+#: Most documents in a file of the corpus.
+FILE_DOCUMENTS = 500
+
+
 def _corpus(s: SparkSession, d: str) -> str:
-    """The documents' texts as text files, a folder per source."""
+    """The documents' texts as text files of bounded size: a folder per source, and a file for some hundred of its documents."""
     folder = shared_folder(s, "corpus")
-    inputs.table(s, d, "documents").select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(folder)
+    rows = inputs.table(s, d, "documents").select("source", F.col("doc_id"), F.col("text").alias("value"))
+    parts = F.ceil(F.lit(rows.count()) / FILE_DOCUMENTS).cast("int")
+    dealt = rows.repartition(F.col("source"), F.pmod(F.xxhash64("doc_id"), parts)).select("source", "value")
+    dealt.write.option("maxRecordsPerFile", FILE_DOCUMENTS).partitionBy("source").text(folder)
     return folder
 
 
@@ -74,7 +81,7 @@ QUERIES = {f.__name__: f for f in (scan_corpus, read_text_files, read_questions,
 ORACLE_SQL = {
     "scan_corpus": "SELECT source AS project, sum(strlen(text) + 1) AS bytes FROM documents GROUP BY source",
     "read_text_files": "SELECT source AS project, count(*) AS lines FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source",
-    "read_questions": "SELECT CAST(doc_id AS VARCHAR) AS id, 'en' AS lang, substr(text, 1, 80) AS question, source AS file, CAST(doc_id % 700 AS INTEGER) AS page FROM documents WHERE doc_id % 100 = 0",
+    "read_questions": "SELECT CAST(doc_id AS VARCHAR) AS id, 'en' AS lang, text AS question, source AS file, CAST(doc_id % 700 AS INTEGER) AS page FROM documents WHERE doc_id % 100 = 0",
     "write_index": "SELECT source AS project, count(*) AS chunks, sum(length(text)) AS chars FROM documents GROUP BY source",
     "replace_file_chunks": """SELECT doc_id AS file_id, 0 AS ord, length(text) AS chars FROM documents WHERE doc_id % 4 <> 1 AND NOT (doc_id % 3 = 0 AND doc_id % 10 <> 3)
         UNION ALL SELECT doc_id, ord, length(text) + 1 FROM documents, (SELECT unnest([0, 1]) AS ord) WHERE doc_id % 3 = 0 AND doc_id % 10 <> 3""",

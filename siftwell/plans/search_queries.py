@@ -122,7 +122,7 @@ _PARTS = {
     "grams": f"""SELECT chunk_id, wi, i, substr(w, i, 3) AS term FROM (
         SELECT chunk_id, wi, w, unnest(range(1, length(w) - 1)) AS i FROM (
           SELECT doc_id AS chunk_id, unnest({_WORDS}) AS w, unnest(range(1, len({_WORDS}) + 1)) AS wi FROM documents) WHERE length(w) >= 3)""",
-    "questions": "SELECT d.doc_id AS query_id, source AS project, substr(text, 1, 80) AS text, embedding AS v FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 100 = 0",
+    "questions": "SELECT d.doc_id AS query_id, source AS project, text, embedding AS v FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 100 = 0",
     "terms": f"""SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(wi * 1000000 + i)) AS r FROM (
         SELECT query_id, wi, i, substr(w, i, 3) AS term FROM (SELECT query_id, wi, w, unnest(range(1, length(w) - 1)) AS i FROM (
           SELECT query_id, unnest({_WORDS}) AS w, unnest(range(1, len({_WORDS}) + 1)) AS wi FROM questions) WHERE length(w) >= 3)) GROUP BY query_id, term) WHERE r <= 64""",

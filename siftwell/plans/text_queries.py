@@ -130,7 +130,7 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 
 def numbered_text(s: SparkSession, d: str) -> DataFrame:
     lines = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    return E.numbered_text(lines, 12, 4000).select("doc_id", "line", F.length("text").alias("chars"), "truncated")
+    return E.numbered_text(lines).select("doc_id", "line", F.length("text").alias("chars"), "truncated")
 
 
 def reading_order(s: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def reading_order(s: SparkSession, d: str) -> DataFrame:
 def ocr_rects(s: SparkSession, d: str) -> DataFrame:
     pages = _docs(s, d).select(F.col("doc_id").alias("page_id"), "text").withColumn("at", F.sequence(F.lit(0), F.length("text") - 1)).where(F.length("text") > 0)
     boxes = F.transform("at", lambda i: F.struct((i % 70 * 5).cast("double").alias("x0"), (F.floor(i / 70) * 12).cast("double").alias("y0"), (i % 70 * 5 + F.when(i % 11 == 0, 0).otherwise(4)).cast("double").alias("x1"), (F.floor(i / 70) * 12 + 10).cast("double").alias("y1")))
-    return E.ocr_rects(pages.select("page_id", "text", boxes.alias("boxes")), 5, 900)
+    return E.ocr_rects(pages.select("page_id", "text", boxes.alias("boxes")))
 
 
 def hit_rates(s: SparkSession, d: str) -> DataFrame:
@@ -252,13 +252,18 @@ _LABELS = """loc AS (SELECT *, doc_id % 9 + 1 AS a, doc_id % 9 + 1 + (doc_id % 8
     WHEN 0 THEN CASE WHEN a = b THEN 'p. ' || a ELSE 'pp. ' || a || '-' || b END || CASE WHEN doc_id % 3 = 0 THEN ' · OCR' ELSE '' END
     WHEN 1 THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'A > ' || lang || ', ' END || CASE WHEN a = b THEN 'para. ' || a + 1 ELSE 'paras. ' || a + 1 || '-' || b + 1 END
     WHEN 2 THEN CASE WHEN a = b THEN 'line ' || a ELSE 'lines ' || a || '-' || b END ELSE 'notes' END AS label FROM loc)"""
-_SOURCES = "sources AS (SELECT chat_id, id, n, (chat_id * 7 + id * 3 + n) % 200 AS doc_id FROM m, (SELECT unnest([1, 2]) AS n) WHERE role = 'assistant' AND id % 4 <> 3)"
+_SOURCES = "sources AS (SELECT chat_id, id, n, (chat_id * 7919 + id * 104729 + n) % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM m, (SELECT unnest([1, 2]) AS n) WHERE role = 'assistant' AND id % 4 <> 3)"
 _PAIRS = "pairs AS (SELECT chat_id || '-' || turn AS pair_id, question AS truth, answer AS text FROM turns WHERE answer IS NOT NULL)"
 _OVERLAP = _sql(
     """SELECT query_id, chunk_id, round(count(g.term) / greatest(1, max(nq)), 6) AS overlap FROM dense JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nq FROM allterms) q USING (query_id)
        LEFT JOIN (SELECT DISTINCT chunk_id, term FROM grams) g USING (chunk_id, term) GROUP BY query_id, chunk_id""", *_DENSE, "grams").replace("WITH ", "WITH allterms AS (" + _PARTS["terms"].replace(" WHERE r <= 64", "").replace("FROM questions", "FROM (" + _PARTS["questions"] + ")") + "),\n", 1)
 _EVENTS = """ev AS (SELECT event_id, ts, user_id AS project, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'modified' WHEN 'view' THEN 'opened' WHEN 'purchase' THEN 'moved' WHEN 'error' THEN 'deleted' END AS kind FROM events)"""
 ORACLE_SQL = {
+    "numbers": """WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM documents),
+        s AS (SELECT doc_id, unnest(string_split(CASE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+([.:].*)?$') THEN replace(x, ',', '') ELSE x END, ',')) AS y FROM f),
+        z AS (SELECT doc_id, regexp_replace(replace(y, ':', '.'), '^0+([0-9])', '\\1') AS z FROM s),
+        n AS (SELECT DISTINCT doc_id, CASE WHEN regexp_full_match(z, '[0-9]+\\.[0-9]+') THEN regexp_replace(regexp_replace(z, '0+$', ''), '\\.$', '') ELSE z END AS n FROM z)
+        SELECT doc_id, coalesce(string_agg(n, ' ' ORDER BY n), '') AS numbers FROM documents LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "detect_language": """SELECT doc_id, CASE WHEN zh > 0 AND zh >= th AND zh >= en THEN 'zh' WHEN th > 0 AND th >= en THEN 'th' ELSE 'en' END AS language FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]')) AS zh,
         len(regexp_extract_all(text, '[\\x{0E00}-\\x{0E7F}]')) AS th, len(regexp_extract_all(text, '[A-Za-z]+')) AS en FROM documents)""",
     "estimate_tokens": f"SELECT doc_id, {chat_queries._cost('text')} AS tokens FROM documents",
@@ -279,11 +284,11 @@ ORACLE_SQL = {
     "word_hit": f"""WITH {chat_queries._M}, {chat_queries._TURNS}, {_PAIRS}, t AS (SELECT pair_id, w, count(*) AS a FROM (SELECT pair_id, unnest(regexp_extract_all(lower(truth), '\\S+')) AS w FROM pairs) GROUP BY ALL), x AS (SELECT pair_id, w, count(*) AS b FROM (SELECT pair_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM pairs) GROUP BY ALL)
         SELECT pair_id, round(sum(least(a, coalesce(b, 0))) / sum(a), 6) AS word_hit FROM t LEFT JOIN x USING (pair_id, w) GROUP BY pair_id""",
     "numbered_text": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, len(string_split(text, chr(10))) AS last FROM documents),
-        f AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS total FROM l QUALIFY line <= 12 AND total <= 4000) SELECT doc_id, CAST(line AS INTEGER) AS line, length(x) AS chars, max(line) OVER (PARTITION BY doc_id) < last AS truncated FROM f""",
+        f AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS total FROM l QUALIFY line <= 100000 AND total <= 5000000) SELECT doc_id, CAST(line AS INTEGER) AS line, length(x) AS chars, max(line) OVER (PARTITION BY doc_id) < last AS truncated FROM f""",
     "reading_order": """WITH b AS (SELECT doc_id AS page_id, k AS box_id, (doc_id * 37 + k * 53) % 100 AS x, (doc_id * 17 + k * 29) % 90 AS y FROM documents, (SELECT unnest(range(0, 8)) AS k)), f AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y, x, box_id) >= 10 THEN 1 ELSE 0 END AS new FROM b),
         l AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY y, x, box_id) AS line FROM f) SELECT page_id, box_id, line, row_number() OVER (PARTITION BY page_id ORDER BY line, x, box_id) AS place FROM l""",
     "ocr_rects": """WITH c AS (SELECT doc_id AS page_id, unnest(range(0, length(text))) AS i, unnest(string_split(text, '')) AS c FROM documents), l AS (SELECT *, sum(CASE WHEN c = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS line FROM c)
-        SELECT page_id, line, min(i % 70 * 5.0) AS x0, min(i // 70 * 12.0) AS y0, max(i % 70 * 5.0 + 4) AS x1, max(i // 70 * 12.0 + 10) AS y1 FROM l WHERE i BETWEEN 5 AND 899 AND i % 11 <> 0 GROUP BY page_id, line""",
+        SELECT page_id, line, min(i % 70 * 5.0) AS x0, min(i // 70 * 12.0) AS y0, max(i % 70 * 5.0 + 4) AS x1, max(i // 70 * 12.0 + 10) AS y1 FROM l WHERE i % 11 <> 0 GROUP BY page_id, line""",
     "hit_rates": "SELECT lang, count(*) AS n, avg(CASE WHEN doc_id % 13 = 1 THEN 1.0 ELSE 0 END) AS hit_1, avg(CASE WHEN doc_id % 13 BETWEEN 1 AND 4 THEN 1.0 ELSE 0 END) AS hit_4, avg(CASE WHEN doc_id % 13 BETWEEN 1 AND 10 THEN 1.0 ELSE 0 END) AS hit_10 FROM documents GROUP BY GROUPING SETS ((lang), ())",
     "threshold_sweep": """WITH r AS (SELECT quality = 1 AS answerable, doc_id * 37 % 60 + quality * 25 AS s FROM labels), a AS (SELECT t, avg(CASE WHEN (s >= t) = answerable THEN 1.0 ELSE 0 END) AS accuracy FROM r, (SELECT unnest(range(20, 81)) AS t) GROUP BY t), w AS (SELECT accuracy, list(t ORDER BY t) AS ts FROM a WHERE accuracy = (SELECT max(accuracy) FROM a) GROUP BY accuracy)
         SELECT accuracy, ts[1] / 100 AS first, ts[-1] / 100 AS last, ts[len(ts) // 2 + 1] / 100 AS recommended FROM w""",

@@ -25,8 +25,11 @@ def watch_debounce(events: DataFrame, quiet: str = QUIET, late: str = "10 second
     return events.groupBy("project", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n_events")).select("project", F.col("w.end").alias("notice"), "n_events")
 
 
-def late_events(events: DataFrame, watches: DataFrame) -> DataFrame:
-    """Events of the current watch only: (project, generation) must be that of ``watches``."""
+def late_events(events: DataFrame, watches: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Events of the current watch only: (project, generation) must be that of ``watches``. In a stream, repeats of an event
+    (``event_id``) that come within ``late`` go as well."""
+    if events.isStreaming:
+        events = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return events.join(watches, ["project", "generation"], "left_semi")
 
 

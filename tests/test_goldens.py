@@ -183,3 +183,62 @@ def test_scan_drops_hidden_and_unknown(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
     assert {r["rel_path"] for r in scan_corpus(spark, str(tmp_path)).collect()} == {"a/Deep.MD", "b.txt"}
+
+
+def test_chinese_sentences_end_without_a_space():
+    assert P.cited_in("甲は速い。[1]乙は遅い。[2]", "乙は遅い") == [2]
+    assert P.cited_in("ตอบแล้ว [1] ต่อไป [2]", "ต่อไป") == [2]
+    assert P.cited_in("Rent is 1.5% [1]. Next one [3].", "1.5%") == [1]
+
+
+def test_chunks_of_one_unit_are_its_own_text():
+    (chunk,) = P.chunk_text("Three   four.\tFive\nsix")
+    assert chunk == {"text": "Three   four.\tFive\nsix", "line_start": 1, "line_end": 2}
+    text = "一二三。四五六！七八九。" * 40
+    parts = [c["text"] for c in P.chunk_text(text, 50, 10, P.char_spans)]
+    assert len(parts) > 8 and all(p in text and p[-1] in "。！" for p in parts)
+    body = "\n".join(f"Word{k}   and  more." for k in range(300))
+    assert all(c["text"] in body for c in P.chunk_text(body, 100, 20))
+
+
+def test_a_missing_number_only_costs_score(spark):
+    rows = [("m", 1, 0, 0, 9, "rent 18500", [1.0, 0.0], ["ren", "ent"], ["7"]), ("m", 2, 0, 0, 9, "days 18500", [0.0, 1.0], ["day"], ["18500"])]
+    windows = spark.createDataFrame(rows, "message_id string, n int, win int, start int, end int, text string, vector array<float>, grams array<string>, numbers array<string>")
+    asked = spark.createDataFrame([("s", "m", "rent 18500", "rent 18500", None)], "selection_id string, message_id string, content string, selection string, only int")
+    make = lambda: lambda texts: [[1.0, 0.0]] * len(texts)
+    (match,) = A.attribute(asked, windows, make).collect()
+    assert (match["n"], match["label"]) == (1, "strong") and 0.83 < match["score"] < 1.0
+
+
+def test_short_latin_lines_are_no_echoes(spark):
+    rows = spark.createDataFrame([("the end\nend",), ("สรุป\nรุป",)], "t string")
+    assert [r[0] for r in rows.select(T.garbled_thai(F.col("t"))).collect()] == [0, 1]
+
+
+def test_digits_of_any_script(spark):
+    rows = spark.createDataFrame([("๑๒ and ١٢ and १२ and 012 and ７",)], "t string")
+    assert sorted(rows.select(T.numbers(F.col("t"))).first()[0]) == ["12", "7"]
+
+
+def test_bytes_read_as_thai_by_their_marks():
+    thai = "สวัสดีครับ ที่นี่ประเทศไทย"
+    assert decode_text(thai.encode("cp874")) == thai
+    mixed = "Hotel rooms " + thai
+    assert decode_text(mixed.encode("cp874")) == mixed
+    chinese = "租赁合同期限为三年，押金两个月。".encode("gbk")
+    assert decode_text(chinese) == chinese.decode("latin-1")
+    assert decode_text("é à".encode("latin-1")) == "é à" and decode_text("﻿a".encode("utf-16")) == "﻿a"
+
+
+def test_error_rate_is_over_normalised_texts(spark):
+    rows = spark.createDataFrame([(1, "ﬁne  day", "fine day", "en"), (2, "ก ข", "กค", "th")], "pair_id long, truth string, text string, lang string")
+    assert {r["pair_id"]: r["cer"] for r in E.cer(rows).collect()} == {1: 0.0, 2: 0.5}
+
+
+def test_history_is_cut_or_left_out(spark):
+    rows = [(1, 1, "old question", "old answer"), (1, 2, "question here", "word " * 60 + "[1]."), (2, 1, "q " * 60, "answer"), (3, 1, "a b", "yes"), (3, 2, "c d", "Not found in the documents."), (3, 3, "e f", None)]
+    exchanges = spark.createDataFrame(rows, "chat_id long, turn long, question string, answer string")
+    budgets = spark.createDataFrame([(1, 40), (2, 30), (3, 500)], "chat_id long, budget int")
+    got = {(r["chat_id"], r["turn"]): r for r in C.history_fit(exchanges, budgets).collect()}
+    assert set(got) == {(1, 2), (3, 1)} and got[1, 2]["cut"] and not got[3, 1]["cut"]
+    assert got[1, 2]["answer"] == ("word " * 60)[: len(got[1, 2]["answer"])] and 0 < len(got[1, 2]["answer"]) <= 3 * (40 - 5 - 16)
