@@ -56,7 +56,8 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
-    return np.unique(np.array(simhash.shingle_hashes((text or b"").lower().split(), SHINGLE), np.uint64))
+    """Distinct shingles by 32 bits of their hashes: two unlike shingles pass for one in four billion pairs of them."""
+    return np.unique((np.array(simhash.shingle_hashes((text or b"").lower().split(), SHINGLE), np.uint64) >> np.uint64(32)).astype(np.uint32))
 
 
 def sketch(text: bytes | None) -> tuple[int, int, list[int]]:
@@ -92,25 +93,24 @@ def sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
             found = [shingle_set(t) for t in text_bytes(batch)]
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "n", "hashes"])
 
-    return written(texts.join(ids.distinct(), "id", "left_semi").transform(in_tasks, run, "id long, n long, hashes binary"), "shingles")
+    # dealt by id at every size, as texts are: the plan is the same for few ids and for many
+    return written(texts.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").transform(in_tasks, run, "id long, n long, hashes binary"), "shingles")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ids of ``texts`` (id, text) whose sets are similar enough."""
+def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ids whose sets (``of``: id, hashes) are similar enough."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = 0
                 if 5 * min(len(p), len(q)) >= FIFTHS * max(len(p), len(q)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both > 0 and 5 * both >= FIFTHS * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "near-pairs")
-    of = sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts)
     joined = pairs.join(of.selectExpr("id a", "hashes x"), "a").join(of.selectExpr("id b", "hashes y"), "b")
     return written(joined.select("a", "b", "x", "y").transform(in_tasks, near, "a long, b long").distinct(), "near-links")
 
@@ -135,8 +135,8 @@ def _joined(ids: np.ndarray, labels: np.ndarray, blocks: np.ndarray, hashes: lis
 
     Texts of one block are compared with each other if it is alone, else those of two blocks with the other's.
     """
-    flat = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)[1].astype(np.int32)
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 8
+    flat = np.unique(np.frombuffer(b"".join(hashes), np.uint32), return_inverse=True)[1].astype(np.int32)
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 4
     ends = np.cumsum(sizes)
     starts = ends - sizes
     mark = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
@@ -165,8 +165,8 @@ def _joined(ids: np.ndarray, labels: np.ndarray, blocks: np.ndarray, hashes: lis
                 labels[labels == low] = stay
 
 
-def _all_met(met: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges between texts of a meeting (key, id, label) that are similar enough and whose components differ."""
+def _all_met(met: DataFrame, of: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges between texts of a meeting (key, id, label) whose sets (``of``: id, n, hashes) are similar enough and whose components differ."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -187,7 +187,6 @@ def _all_met(met: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
     mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     left = written(met.join(mixed, "key", "left_semi").select("key", "id", "label"), "near-meetings")
-    of = sets(left.select("id"), texts)
     blocks = left.join(of.select("id", "n"), "id").groupBy("key").agg(F.ceil((F.sum("n") + 1) / block).cast("int").alias("blocks"))
     cut = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -217,7 +216,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         """Texts under the keys that they share, with the components so far."""
         return shared.join(labels, "id")
 
-    for step in (lambda: verified(_prints_met(one), texts), lambda: verified(_firsts_met(met()), texts), lambda: _all_met(met(), texts)):
+    linked = written(_prints_met(one), "near-pairs")
+    # one read of the texts gives the sets of all that meet anywhere
+    of = sets(shared.select("id").unionByName(linked.select(F.explode(F.array("a", "b")).alias("id"))), texts)
+    for step in (lambda: verified(linked, of), lambda: verified(written(_firsts_met(met()), "near-pairs"), of), lambda: _all_met(met(), of)):
         found = step()
         ends = found.join(labels.selectExpr("id a", "label x"), "a").join(labels.selectExpr("id b", "label y"), "b")
         edges = ends.where("x <> y").selectExpr("x a", "y b").distinct()
@@ -225,4 +227,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         joined = labels.join(moved.selectExpr("fp label", "component"), "label", "left")
         labels = written(joined.select("id", F.coalesce("component", "label").alias("label")), "near-labels")
     stay = labels.where("id = label").selectExpr("id doc_id")
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -156,5 +156,5 @@ def test_blocks_of_large_meetings_join_the_same_components(spark):
     want = parts(edges, least)
     assert 20 < len(set(want)) < 70
     for block in (10**6, 4000, 1100):
-        found = [tuple(r) for r in near_copies._all_met(met, texts, block).collect()]
+        found = [tuple(r) for r in near_copies._all_met(met, near_copies.sets(texts.select("id"), texts), block).collect()]
         assert set(found) <= {(b, a) for a, b in edges} and parts(found, least) == want
