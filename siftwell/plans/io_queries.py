@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import passages as P
 from ..sources import files as S
 from ..sources.shared import shared_folder
+from ..streaming import index as I
 from ..streaming import watch as W
 from . import file_queries, inputs
 
@@ -63,18 +63,30 @@ def replace_file_chunks(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path)
 
 
+def _folders(s: SparkSession, d: str, generation: int) -> DataFrame:
+    """What the project folders hold in each of two generations: files come, go, change, are touched; some can't be read."""
+    late = f"{generation} = 1"
+    return inputs.table(s, d, "documents").where(f"doc_id % 10 <> if({late}, 5, 3)").selectExpr(
+        "source project", "concat('d', doc_id % 7, '/f', doc_id, '.txt') rel_path", f"cast(n_chars + if({late} and doc_id % 6 = 0, 1, 0) as long) size",
+        f"doc_id + if({late} and doc_id % 4 = 0, 1.0D, 0.0D) mtime", f"concat(coalesce(text, ''), if({late} and doc_id % 6 = 0, 'x', '')) text", "if(doc_id % 11 = 4, 'broken', null) error",
+    )
+
+
 def incremental_index(s: SparkSession, d: str) -> DataFrame:
-    """Documents arrive as a stream of files; each micro-batch chunks its own and adds them to the index, once per batch id."""
-    arriving, index = shared_folder(s, "arriving"), shared_folder(s, "stream-index")
-    docs = inputs.table(s, d, "documents").select("doc_id", "text")
-    docs.repartition(3, "doc_id").write.parquet(arriving)
+    """Notices of all projects arrive twice as a stream; each micro-batch is a pass over the folders as they are then."""
+    arriving, state = shared_folder(s, "arriving"), shared_folder(s, "stream-index")
+    for generation in (0, 1):
+        inputs.table(s, d, "documents").selectExpr("source project", f"{generation} generation").distinct().coalesce(1).write.mode("append").parquet(arriving)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        P.chunk_documents(batch).write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
+        generation = batch.agg(F.max("generation")).first()[0]
+        I.index_pass(state, batch_id, batch, _folders(s, d, generation), file_queries._failed(s, d))
 
-    stream = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    stream = s.readStream.schema("project string, generation int").option("maxFilesPerTrigger", 1).parquet(arriving)
     W.incremental_index(stream, shared_folder(s, "progress"), refresh).awaitTermination()
-    return s.read.parquet(index).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    key = ["project", "rel_path"]
+    chunked = I.chunks_after(s, state, 1).groupBy(key).agg((F.count(F.lit(1)) > 0).alias("has_chunks"))
+    return I.files_after(s, state, 1).join(chunked, key, "left").withColumn("has_chunks", F.coalesce("has_chunks", F.lit(False)))
 
 
 QUERIES = {f.__name__: f for f in (scan_corpus, read_text_files, read_questions, write_index, replace_file_chunks, incremental_index)}
@@ -85,4 +97,10 @@ ORACLE_SQL = {
     "write_index": "SELECT source AS project, count(*) AS chunks, sum(length(text)) AS chars FROM documents GROUP BY source",
     "replace_file_chunks": """SELECT doc_id AS file_id, 0 AS ord, length(text) AS chars FROM documents WHERE doc_id % 4 <> 1 AND NOT (doc_id % 3 = 0 AND doc_id % 10 <> 3)
         UNION ALL SELECT doc_id, ord, length(text) + 1 FROM documents, (SELECT unnest([0, 1]) AS ord) WHERE doc_id % 3 = 0 AND doc_id % 10 <> 3""",
+    "incremental_index": """SELECT project, rel_path, size, mtime, CASE WHEN status = 'indexed' THEN sha256(t) END AS hash, status,
+        CASE status WHEN 'failed' THEN 'broken' WHEN 'skipped' THEN 'no text found' END AS error, status = 'indexed' AS has_chunks
+        FROM (SELECT *, CASE WHEN doc_id % 11 = 4 THEN 'failed' WHEN NOT regexp_matches(t, '[^ \\t-\\r]') THEN 'skipped' ELSE 'indexed' END AS status
+        FROM (SELECT doc_id, source AS project, 'd' || doc_id % 7 || '/f' || doc_id || '.txt' AS rel_path, CAST(n_chars + CASE WHEN new AND doc_id % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size,
+        CAST(doc_id + CASE WHEN new AND doc_id % 4 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS mtime, coalesce(text, '') || CASE WHEN new AND doc_id % 6 = 0 THEN 'x' ELSE '' END AS t
+        FROM (SELECT *, doc_id % 10 <> 5 AS new FROM documents) WHERE new OR source LIKE '%2' OR (source LIKE '%3' AND doc_id % 7 = 4)))""",
 }

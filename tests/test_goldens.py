@@ -13,6 +13,7 @@ from siftwell.operators import files as X
 from siftwell.operators import passages as P
 from siftwell.operators import search as S
 from siftwell.sources.files import decode_text
+from siftwell.streaming import index as I
 from siftwell.streaming import watch as W
 
 
@@ -242,3 +243,50 @@ def test_history_is_cut_or_left_out(spark):
     got = {(r["chat_id"], r["turn"]): r for r in C.history_fit(exchanges, budgets).collect()}
     assert set(got) == {(1, 2), (3, 1)} and got[1, 2]["cut"] and not got[3, 1]["cut"]
     assert got[1, 2]["answer"] == ("word " * 60)[: len(got[1, 2]["answer"])] and 0 < len(got[1, 2]["answer"]) <= 3 * (40 - 5 - 16)
+
+
+def fussy():
+    def model(texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("no vector")
+        return A.hash_embed(texts)
+
+    return model
+
+
+def test_index_passes(spark, tmp_path):
+    state = f"{tmp_path}/state"
+    columns = "project string, rel_path string, size long, mtime double, text string, error string"
+
+    def run(batch_id, projects, rows, failed=()):
+        asked = spark.createDataFrame([(p,) for p in projects], "project string")
+        I.index_pass(state, batch_id, asked, spark.createDataFrame(rows, columns), spark.createDataFrame(list(failed), "project string, place string"), fussy)
+        return {(r.project, r.rel_path): (r.status, r.error, r.size, r.hash is not None) for r in I.files_after(spark, state, batch_id).collect()}
+
+    def embedded(batch_id):
+        return {r.text for r in spark.read.parquet(f"{state}/contents/batch={batch_id}").where("ord is not null").collect()}
+
+    first = [("p", "a.txt", 1, 1.0, "one two", None), ("p", "copy.txt", 1, 1.0, "one two", None), ("p", "bad.txt", 1, 1.0, "poison", None), ("p", "locked.txt", 1, 1.0, None, "denied"),
+             ("p", "empty.txt", 1, 1.0, None, None), ("p", "huge.txt", 300 << 20, 1.0, "huge", None), ("p", "x/gone.txt", 1, 1.0, "gone", None), ("q", "b.txt", 1, 1.0, "other", None)]
+    files = run(0, ["p", "p"], first)
+    assert files == {
+        ("p", "a.txt"): ("indexed", None, 1, True), ("p", "copy.txt"): ("indexed", None, 1, True), ("p", "bad.txt"): ("failed", "ValueError: no vector", 1, False),
+        ("p", "locked.txt"): ("failed", "denied", 1, False), ("p", "empty.txt"): ("skipped", "no text found", 1, False), ("p", "huge.txt"): ("skipped", "file too large (over 200 MB)", 300 << 20, False),
+        ("p", "x/gone.txt"): ("indexed", None, 1, True),
+    }
+    assert embedded(0) == {"one two", "gone"} and I.chunks_after(spark, state, 0).count() == 3
+
+    # touched, changed, mended, new with known content, gone under an unreadable place; q asks for the first time
+    second = [("p", "a.txt", 1, 2.0, "one two", None), ("p", "copy.txt", 2, 2.0, "three", None), ("p", "bad.txt", 2, 2.0, "good", None), ("p", "moved.txt", 1, 2.0, "gone", None), ("q", "b.txt", 1, 1.0, "other", None)]
+    for _ in range(2):  # a repeated pass gives the same state
+        files = run(1, ["p", "q"], second, [("p", "x")])
+        assert set(files) == {("p", "a.txt"), ("p", "copy.txt"), ("p", "bad.txt"), ("p", "moved.txt"), ("p", "x/gone.txt"), ("q", "b.txt")}
+        assert {v[0] for v in files.values()} == {"indexed"} and embedded(1) == {"three", "good", "other"}
+        assert sorted(r.text for r in I.chunks_after(spark, state, 1).collect()) == ["gone", "gone", "good", "one two", "other", "three"]
+
+    # an interrupted file is indexed again from what is known; projects that did not ask stay
+    before = I.files_after(spark, state, 1).selectExpr("project", "rel_path", "size", "mtime", "hash", "if(rel_path = 'a.txt', 'indexing', status) status", "error")
+    before.write.parquet(f"{state}/files/version=2")
+    files = run(3, ["p"], second[:1])
+    assert files == {("p", "a.txt"): ("indexed", None, 1, True), ("q", "b.txt"): ("indexed", None, 1, True)} and not embedded(3)
+    assert run(4, [], []) == files
