@@ -15,6 +15,7 @@ from . import passages as P
 
 # Fixed values of the scoring.
 OVERLAP_WEIGHT, NUMBER_PENALTY, MAX_PENALTY = 0.2, 0.15, 2
+PAIR_BATCH = 32  # pairs that a scorer takes at once
 FLOOR, STRONG, MOST = 0.57, 0.83, 3
 AUTO_SHARE = 0.5
 
@@ -46,14 +47,26 @@ def embed(rows: DataFrame, column: str = "text", make: Callable[[], Callable[[li
     return run(column)
 
 
-def pair_scores(pairs: DataFrame, score: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
-    """``pairs`` (query_text, text) with ``score``: a scorer's, or the share of the query's trigrams in the text."""
-    if score is None:
+def pair_scores(pairs: DataFrame, make: Callable[[], Callable[[list[str], list[str]], list[float]]] | None = None, batch: int = PAIR_BATCH) -> DataFrame:
+    """``pairs`` (query_text, text) with ``score``: a scorer's, or the share of the query's trigrams in the text.
+
+    ``make`` gives a scorer (query texts, texts) once per Python worker and task; it is called with ``batch`` pairs of like length, so
+    that a model that pads its input wastes little. A null text is an empty one.
+    """
+    if make is None:
         return pairs.withColumn("score", T.trigram_overlap(T.trigrams(F.col("query_text")), T.trigrams(F.col("text"))))
 
     @F.pandas_udf("double")
-    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(score(list(queries), list(texts)))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = make()
+        for queries, texts in batches:
+            asked, given = queries.fillna("").to_numpy(), texts.fillna("").to_numpy()
+            order = np.argsort([len(q) + len(t) for q, t in zip(asked, given, strict=True)], kind="stable")
+            out = np.empty(len(order))
+            for k in range(0, len(order), batch):
+                at = order[k : k + batch]
+                out[at] = score(list(asked[at]), list(given[at]))
+            yield pd.Series(out)
 
     return pairs.withColumn("score", run("query_text", "text"))
 

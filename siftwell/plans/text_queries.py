@@ -283,6 +283,14 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(min(n) AS INTEGER) AS line, CAST(sum(length(x) + 1) - 1 AS BIGINT) AS chars FROM g GROUP BY doc_id, island""",
     "word_hit": f"""WITH {chat_queries._M}, {chat_queries._TURNS}, {_PAIRS}, t AS (SELECT pair_id, w, count(*) AS a FROM (SELECT pair_id, unnest(regexp_extract_all(lower(truth), '\\S+')) AS w FROM pairs) GROUP BY ALL), x AS (SELECT pair_id, w, count(*) AS b FROM (SELECT pair_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM pairs) GROUP BY ALL)
         SELECT pair_id, round(sum(least(a, coalesce(b, 0))) / sum(a), 6) AS word_hit FROM t LEFT JOIN x USING (pair_id, w) GROUP BY pair_id""",
+    "normalise_text": f"""WITH {chat_queries._M}, {chat_queries._TURNS}, {_PAIRS}, w AS (SELECT pair_id, CAST(split_part(pair_id, '-', 1) AS BIGINT) % 2 = 0 AS spaced, regexp_extract_all(nfc_normalize(truth), '\\S+') AS words FROM pairs)
+        SELECT pair_id, coalesce(CASE WHEN spaced THEN array_to_string(words, ' ') ELSE array_to_string(words, '') END, '') AS text FROM w""",
+    "numbers": """WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM documents),
+        plain AS (SELECT doc_id, unnest(string_split(CASE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+([.:]|$)') THEN replace(x, ',', '') ELSE x END, ',')) AS x FROM found),
+        heads AS (SELECT doc_id, regexp_replace(replace(x, ':', '.'), '^0+([0-9])', '\\1') AS x FROM plain),
+        kept AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(x, '^[0-9]+[.][0-9]+$') THEN regexp_replace(regexp_replace(x, '0+$', ''), '[.]$', '') ELSE x END AS x FROM heads),
+        listed AS (SELECT doc_id, array_to_string(list_sort(list(x)), ' ') AS numbers FROM kept GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(numbers, '') END AS numbers FROM documents LEFT JOIN listed USING (doc_id)""",
     "numbered_text": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, len(string_split(text, chr(10))) AS last FROM documents),
         f AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS total FROM l QUALIFY line <= 100000 AND total <= 5000000) SELECT doc_id, CAST(line AS INTEGER) AS line, length(x) AS chars, max(line) OVER (PARTITION BY doc_id) < last AS truncated FROM f""",
     "reading_order": """WITH b AS (SELECT doc_id AS page_id, k AS box_id, (doc_id * 37 + k * 53) % 100 AS x, (doc_id * 17 + k * 29) % 90 AS y FROM documents, (SELECT unnest(range(0, 8)) AS k)), f AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y, x, box_id) >= 10 THEN 1 ELSE 0 END AS new FROM b),

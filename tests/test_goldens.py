@@ -290,3 +290,18 @@ def test_index_passes(spark, tmp_path):
     files = run(3, ["p"], second[:1])
     assert files == {("p", "a.txt"): ("indexed", None, 1, True), ("q", "b.txt"): ("indexed", None, 1, True)} and not embedded(3)
     assert run(4, [], []) == files
+
+
+def test_pairs_are_scored_in_batches_of_like_length(spark):
+    def make():
+        def score(queries, texts):
+            sizes = [len(q) + len(t) for q, t in zip(queries, texts, strict=True)]
+            assert len(sizes) <= 3 and sizes == sorted(sizes)
+            return [1000.0 * len(q) + len(t) for q, t in zip(queries, texts, strict=True)]
+
+        return score
+
+    pairs = spark.createDataFrame([(k, "q" * (k % 3 + 1), None if k == 5 else "t" * (k * 7 % 11)) for k in range(20)], "id int, query_text string, text string")
+    got = {r.id: r.score for r in A.pair_scores(pairs, make, 3).collect()}
+    assert got == {k: 1000.0 * (k % 3 + 1) + (0 if k == 5 else k * 7 % 11) for k in range(20)}
+    assert A.pair_scores(pairs.limit(0), make).count() == 0
