@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chats as C
 from ..operators import search as S
-from . import inputs
+from . import inputs, search_queries
 
 QUERY = "ing th"
 RULES = "Answer from the numbered sources and cite them."
@@ -85,8 +85,9 @@ def history_fit(s: SparkSession, d: str) -> DataFrame:
 
 def _prompt_rows(s: SparkSession, d: str) -> DataFrame:
     """Questions of the query set with their sources; the chat of the same number is the history."""
-    hits = S.number_sources(S.dense_topk(inputs.questions(s, d).where("query_vector is not null"), inputs.vectors(s, d), 4), 4)
-    found = hits.join(inputs.chunks(s, d), "chunk_id").groupBy("query_id").agg(
+    hits = S.dense_topk(inputs.questions(s, d).where("query_vector is not null"), inputs.vectors(s, d), 4)
+    # numbered once fetched: a vector without a chunk leaves no gap
+    found = S.number_sources(hits.join(inputs.chunks(s, d), "chunk_id"), 4).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("n", F.col("project").alias("file"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("label"), "text"))).alias("sources")
     )
     past = inputs.messages(s, d).groupBy((F.col("chat_id") * 100).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("h"))
@@ -123,6 +124,11 @@ def _cost(c: str) -> str:
     return f"(length({c}) - {light} + CAST(ceil({light} / 3.0) AS BIGINT))"
 
 
+_NOTED = "(CASE WHEN query_id % 300 = 0 THEN 'note ' || query_id END)"
+_PAST = "(SELECT conv_id * 100 AS query_id, turn AS id, text AS content FROM conversations WHERE role IN ('user', 'assistant'))"
+_SOURCED = "(SELECT query_id, doc_id, source, documents.text AS body, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM dense JOIN documents ON doc_id = chunk_id WHERE rank <= 4)"
+_SAID = _LINE.format("regexp_replace(content, '\\s*\\[\\s*[0-9]{1,3}(\\s*,\\s*[0-9]{1,3})*\\s*\\]', '', 'g')")
+
 ORACLE_SQL = {
     "recent_exchanges": f"WITH {_M}, {_TURNS} SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM turns QUALIFY age <= 2",
     "messages_with_sources": f"WITH {_M} SELECT chat_id, id, CASE WHEN role = 'assistant' AND id % 4 <> 3 THEN '1:' || (chat_id * 7919 + id * 104729 + 1) % (SELECT max(doc_id) + 1 FROM documents) || ',2:' || (chat_id * 7919 + id * 104729 + 2) % (SELECT max(doc_id) + 1 FROM documents) ELSE '' END AS sources FROM m",
@@ -137,4 +143,18 @@ ORACLE_SQL = {
         priced AS (SELECT *, {_cost('question')} + 8 AS asked, asked + {_cost('answer')} + 8 AS cost, 150 + chat_id % 5 * 100 AS budget FROM told WHERE answer <> '' AND answer NOT IN ('ไม่พบข้อมูลนี้ในเอกสาร', 'Not found in the documents.', '文档中未找到相关信息。')),
         summed AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY chat_id ORDER BY turn DESC) AS BIGINT) AS spent, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM priced)
         SELECT chat_id, turn, spent, budget, spent > budget AS cut FROM summed WHERE spent <= budget OR age = 1 AND asked + 8 < budget""",
+    "context_usage": search_queries._sql(
+        f"""SELECT *, instructions + notes + sources + history + question AS total FROM (SELECT query_id, {_cost(f"'{RULES}'")} + 8 AS instructions, coalesce({_cost(_NOTED)}, 0) AS notes,
+        sources, coalesce(history, 0) AS history, {_cost('questions.text')} + 8 AS question, source_count, coalesce(kept, 0) AS history_kept, coalesce(kept, 0) AS history_total FROM questions JOIN
+        (SELECT query_id, CAST(sum({_cost('body')}) AS BIGINT) AS sources, count(*) AS source_count FROM {_SOURCED} GROUP BY query_id) USING (query_id) LEFT JOIN
+        (SELECT query_id, CAST(sum({_cost('content')} + 8) AS BIGINT) AS history, count(*) AS kept FROM {_PAST} GROUP BY query_id) USING (query_id))""",
+        *search_queries._DENSE,
+    ),
+    "build_prompt": search_queries._sql(
+        f"""SELECT query_id, '{RULES}' || CASE WHEN query_id % 300 = 0 THEN '\nThe last source holds the user''s own notes.' ELSE '' END || '\n\n' || blocks
+        || CASE WHEN query_id % 300 = 0 THEN '\n\n[' || (n + 1) || '] notes\n' || {_NOTED} ELSE '' END || coalesce('\n\n' || said, '') || '\n\n' || questions.text AS prompt FROM questions JOIN
+        (SELECT query_id, count(*) AS n, string_agg('[' || n || '] ' || source || ' (chunk ' || doc_id || ')\n' || body, '\n\n' ORDER BY n) AS blocks FROM {_SOURCED} GROUP BY query_id) USING (query_id) LEFT JOIN
+        (SELECT query_id, string_agg({_SAID}, '\n\n' ORDER BY id) AS said FROM {_PAST} GROUP BY query_id) USING (query_id)""",
+        *search_queries._DENSE,
+    ),
 }
