@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, lattice, quality, resample, shards, simhash, substring, token_files
+from . import bpe, centroids, decontaminate, language, lattice, merkle, mixing, quality, resample, shards, simhash, substring, token_files
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -51,4 +51,20 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op3_importance_resampling, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files, op8_language_id, op9_subword_lattice, op10_balanced_shards)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(read_table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_byte_bpe, op2_simhash, op3_importance_resampling, op4_substring, op5_decontaminate, op6_quality_rules, op7_token_files,
+    op8_language_id, op9_subword_lattice, op10_balanced_shards, op11_centroid_clustering, op12_merkle_manifest, op13_source_mixing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
