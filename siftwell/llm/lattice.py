@@ -40,7 +40,7 @@ BYTES_SHARE = 1e-4
 ROUNDS, GAIN = 6, 0.02
 #: Words taken through the recursion at once, and the most characters of all of them.
 AT_ONCE, CHARACTERS = 100_000, 400_000
-#: In training alone, longer words count as stretches of so many characters.
+#: Longer words go through the recursion alone, in steps of so many characters that hand their sums on.
 STRETCH = 2_000
 
 _U = np.uint64
@@ -141,48 +141,63 @@ class Lattice:
         out, words = np.empty(len(words)), [START + w for w in words]
         for part, codes in self._groups(words):
             if len(codes) == 1 and codes.shape[1] > 200:
-                out[part] = self._long(words[part[0]])
+                out[part] = self._long_sums(words[part[0]])[-1]
             else:
                 out[part] = self._forward(codes)[0][-1]
         return out / math.log(10)
 
-    def _long(self, text: str) -> float:
-        """As ``_forward`` for one long word in stretches, holding the sums of the last few places only."""
-        step, wide = 1000, self.longest
-        sums = np.full(wide + 1, -np.inf)
+    def _long_arcs(self, text: str, start: int) -> list[list[tuple[int, float, int]]]:
+        """Pieces (length, log probability, which or -1 for bytes) from each place of one stretch of a long word, whatever follows the stretch."""
+        codes = np.frombuffer(text[start : start + STRETCH + self.longest].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        steps = min(STRETCH, len(text) - start)
+        arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(steps)]
+        keys = np.zeros(len(codes), np.uint64)
+        for length in range(1, min(self.longest, len(codes)) + 1):  # all places side by side
+            keys = keys[: len(codes) - length + 1] * _FACTOR + codes[length - 1 :]
+            rows, which = self._found(_key(keys[:steps], length))
+            for at, log, piece in zip(rows.tolist(), self.logs[which].tolist(), which.tolist(), strict=True):
+                arcs[at].append((length, log, piece))
+        for at in range(steps):
+            if not arcs[at] or arcs[at][0][0] != 1:
+                arcs[at].insert(0, (1, self.byte * len(chr(int(codes[at])).encode("utf-8", "surrogatepass")), -1))
+        return arcs
+
+    def _long_sums(self, text: str) -> np.ndarray:
+        """As ``_forward`` for one long word: the log sum at each of its places, eight bytes a character."""
+        sums = np.full(len(text) + 1, -np.inf)
         sums[0] = 0.0
-        for start in range(0, len(text), step):
-            codes = np.frombuffer(text[start : start + step + wide].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-            steps = min(step, len(text) - start)
-            arcs: list[list[tuple[int, float]]] = [[] for _ in range(steps)]
-            keys = np.zeros(len(codes), np.uint64)
-            for length in range(1, wide + 1):  # all places side by side
-                if length > len(codes):
-                    break
-                keys = keys[: len(codes) - length + 1] * _FACTOR + codes[length - 1 :]
-                rows, which = self._found(_key(keys[:steps], length))
-                for at, log in zip(rows.tolist(), self.logs[which].tolist(), strict=True):
-                    arcs[at].append((length, log))
-            for at in range(steps):
-                here = sums[0]
-                if not arcs[at] or arcs[at][0][0] != 1:
-                    arcs[at].insert(0, (1, self.byte * len(chr(int(codes[at])).encode("utf-8", "surrogatepass"))))
-                for length, log in arcs[at]:
-                    sums[length] = np.logaddexp(sums[length], here + log)
-                sums = np.append(sums[1:], -np.inf)
-        return float(sums[0])
+        for start in range(0, len(text), STRETCH):
+            for at, arcs in enumerate(self._long_arcs(text, start), start):
+                for length, log, _ in arcs:
+                    sums[at + length] = _log_added(sums[at + length], sums[at] + log)
+        return sums
+
+    def _long_expected(self, text: str, times: float, counts: np.ndarray) -> float:
+        """Adds the expected pieces of one long word, stretch by stretch from its end; its log probability."""
+        forward = self._long_sums(text)
+        backward = np.full(len(text) + 1, -np.inf)
+        backward[-1] = 0.0
+        for start in range((len(text) - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            arcs = self._long_arcs(text, start)
+            for at in range(len(arcs) - 1, -1, -1):
+                place = start + at
+                for length, log, which in arcs[at]:
+                    after = log + backward[place + length]
+                    backward[place] = _log_added(backward[place], after)
+                    if which >= 0:
+                        counts[which] += times * math.exp(forward[place] + after - forward[-1])
+        return float(forward[-1])
 
     def expect(self, words: list[str], times: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Adds the expected number of each piece in ``times`` occurrences of each word; the words' log10 probabilities."""
-        stretches, owner = [], []
-        for k, w in enumerate(words):
-            w = START + w
-            stretches += [w[at : at + STRETCH] for at in range(0, len(w), STRETCH)]
-            owner += [k] * -(-len(w) // STRETCH)
-        of, out = np.array(owner, np.int64), np.zeros(len(words))
-        for part, codes in self._groups(stretches):
+        out, marked = np.zeros(len(words)), [START + w for w in words]
+        long = [k for k, w in enumerate(marked) if len(w) > STRETCH]
+        for k in long:
+            out[k] = self._long_expected(marked[k], float(times[k]), counts) / math.log(10)
+        of = np.setdiff1d(np.arange(len(words)), long)
+        for part, codes in self._groups([marked[k] for k in of.tolist()]):
             forward, arcs = self._forward(codes)
-            np.add.at(out, of[part], forward[-1] / math.log(10))
+            out[of[part]] = forward[-1] / math.log(10)
             some = times[of[part]]
             backward = np.full(forward.shape, -np.inf)
             backward[-1] = 0.0
@@ -196,6 +211,11 @@ class Lattice:
         return out
 
 
+def _log_added(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def _split() -> dictionary.Split:
     return (lambda text: text.lower().split()), (lambda word: [word])
 
