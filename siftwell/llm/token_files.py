@@ -30,7 +30,6 @@ END = 2
 CACHE = 1_000_000
 #: Documents encoded at once, and sent to Python at once.
 SLICE = 500
-ARROW_ROWS = 2000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
@@ -165,7 +164,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "tie"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    writer = (
+    (
         rows.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
@@ -177,15 +176,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
+        .parquet(path)
     )
-    # fewer texts at once between Spark and Python while this is written: both sides hold a whole batch
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(batch)
-    spark.conf.set(batch, ARROW_ROWS)
-    try:
-        writer.parquet(path)
-    finally:
-        spark.conf.set(batch, usual)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
