@@ -45,7 +45,7 @@ def dictionaries(train: DataFrame, limits: Limits = Limits()) -> dict[str, bytes
     The hash is uniform, so the first ``limits.docs`` of a language lie below a share of its range that the language's count
     gives, with some room; only those rows are sorted and taken. The counts, a row per language, are broadcast.
     """
-    rows = train.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)).alias("h"), "doc_id", "text")
+    rows = train.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40)).alias("h"), "doc_id", "text")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
     room = limits.docs + 8 * limits.docs**0.5
     near = rows.join(F.broadcast(counts), "lang").where(F.col("h") <= F.lit(room * (1 << 40)) / F.col("all"))
