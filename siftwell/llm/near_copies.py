@@ -7,8 +7,8 @@ pair is verified: the Jaccard similarity of the whole sets must be 0.8 or more.
 1. SimHash over five-word shingles, met by deletion variants (``simhash.links``).
 2. Texts with one of ``BANDS`` keys of ``ROWS`` minhashes in common: each with the first text of the meeting, which settles
    large groups of near copies with few pairs a text.
-3. What still meets under a key in different components: all such pairs, compared on their sets where they meet. Only edges that
-   join two components leave. A meeting with more than ``BLOCK`` shingles is cut into blocks, and each two blocks meet in a
+3. What still meets under a key in different components: all such pairs that share one of their rarest fifth of shingles (others can't be
+   similar enough), compared on their sets where they meet. Only edges that join two components leave. A meeting with more than ``BLOCK`` shingles is cut into blocks, and each two blocks meet in a
    place of their own, so that no place holds more.
 
 Equal texts (but for case and white space) take part once.
@@ -19,7 +19,7 @@ rows with null ids link nothing and stay; an empty table gives an empty table; e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,32 +130,58 @@ def _firsts_met(met: DataFrame) -> DataFrame:
     return met.join(first, "key").where("label <> first.label").selectExpr("least(first.id, id) a", "greatest(first.id, id) b").distinct()
 
 
+def _met_in_prefixes(flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Function from a text to the texts that share one of its rarest shingles: all that can be similar enough are among them.
+
+    Of two sets at four fifths or more, the parts of ``size - ceil(FIFTHS / 5 * size) + 1`` rarest shingles, by one order for all, have one in common.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rarity = np.empty(int(flat.max(initial=0)) + 1, np.int64)
+    rarity[np.argsort(np.bincount(flat, minlength=len(rarity)), kind="stable")] = np.arange(len(rarity))
+    rank = rarity[flat]
+    order = np.lexsort((rank, owner))
+    least = sizes - -(-FIFTHS * sizes // 5) + 1
+    first = (np.arange(len(order)) - starts[owner]) < least[owner]
+    rank, owner = rank[order][first], owner[first]
+    order = np.argsort(rank, kind="stable")
+    names, at, count = np.unique(rank[order], return_index=True, return_counts=True)
+    texts = owner[order]
+    own = np.searchsorted(owner, np.arange(len(sizes) + 1))  # each text's part of ``rank``
+    place = np.searchsorted(names, rank)
+
+    def met(k: int) -> np.ndarray:
+        lists = place[own[k] : own[k + 1]]
+        return np.unique(np.concatenate([texts[at[x] : at[x] + count[x]] for x in lists[count[lists] > 1].tolist()] or [np.zeros(0, np.int64)]))
+
+    return met
+
+
 def _joined(ids: np.ndarray, labels: np.ndarray, blocks: np.ndarray, hashes: list[bytes]) -> Iterator[tuple[int, int]]:
     """Edges between texts of a place that are similar enough, one for each two components that they join.
 
-    Texts of one block are compared with each other if it is alone, else those of two blocks with the other's.
+    Texts of one block are compared with each other if it is alone, else those of two blocks with the other's. Of these only the ones that
+    share a rare shingle are looked at: texts under a common boilerplate meet by what is their own.
     """
     flat = np.unique(np.frombuffer(b"".join(hashes), np.uint32), return_inverse=True)[1].astype(np.int32)
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 4
     ends = np.cumsum(sizes)
     starts = ends - sizes
     mark = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+    met = _met_in_prefixes(flat, sizes, starts)
     alone = (blocks == blocks[0]).all()
     names, counts = np.unique(labels, return_counts=True)
     most = names[counts.argmax()]  # the largest component's texts need no turn of their own: all others meet them
     for k in range(len(ids)):
         if labels[k] == most or not sizes[k]:
             continue
-        other = (labels != labels[k]) & (5 * np.minimum(sizes, sizes[k]) >= FIFTHS * np.maximum(sizes, sizes[k]))
-        other &= (labels == most) | (np.arange(len(ids)) > k) if alone else blocks != blocks[k]
-        rows = np.flatnonzero(other)
+        rows = met(k)
+        other = (labels[rows] != labels[k]) & (5 * np.minimum(sizes[rows], sizes[k]) >= FIFTHS * np.maximum(sizes[rows], sizes[k]))
+        other &= (labels[rows] == most) | (rows > k) if alone else blocks[rows] != blocks[k]
+        rows = rows[other]
         if not len(rows):
             continue
         mark[flat[starts[k] : ends[k]]] = 1
-        if 2 * sizes[rows].sum() > len(flat):
-            both = np.add.reduceat(mark[flat], np.minimum(starts, len(flat) - 1))[rows]
-        else:
-            both = np.array([mark[flat[starts[r] : ends[r]]].sum() for r in rows.tolist()])
+        both = np.array([mark[flat[starts[r] : ends[r]]].sum() for r in rows.tolist()])
         mark[flat[starts[k] : ends[k]]] = 0
         near = rows[5 * both >= FIFTHS * (sizes[rows] + sizes[k] - both)]
         for r in near.tolist():
