@@ -68,6 +68,13 @@ class Automaton:
             own = tuple((n, tuple(sorted(x))) for n, x in sorted(ends.get(state, {}).items(), reverse=True))
             self.short[state] = own + self.short[self.link[state]]
 
+    @staticmethod
+    def of(parts: dict) -> Automaton:
+        """The automaton that has ``vars`` as ``parts``: broadcasts carry these plain values, so that executors need no copy of the package."""
+        out = Automaton.__new__(Automaton)
+        vars(out).update(parts)
+        return out
+
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -143,8 +150,8 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[Callab
     return [partial(read, k) for k in range(blocks)]
 
 
-_SCHEMA = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
+_SCHEMA = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+_ARROW = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,19 +165,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _matched(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """``docs`` (doc_id, text) streamed through one automaton."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    """``docs`` (doc_id of any kind, text) streamed through one automaton."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = shared.value.hits
+        hits = Automaton.of(shared.value).hits
         for batch in batches:
             words = [WORD.findall((t or b"").lower()) for t in text_bytes(batch)]
             found = [hits(w) for w in words]
             spans = pa.array([[{"start": a, "stop": b} for a, b in s] for s, _ in found], _ARROW.field("spans").type)
             items = pa.array([sorted(x) for _, x in found], _ARROW.field("items").type)
-            yield pa.record_batch([batch.column(0), pa.array(map(len, words), pa.int64()), spans, items], schema=_ARROW)
+            yield pa.record_batch([batch.column(0), pa.array(map(len, words), pa.int64()), spans, items], names=["doc_id", *_ARROW.names])
 
-    return docs.select("doc_id", "text").transform(in_tasks, match, _SCHEMA)
+    return docs.select("doc_id", "text").transform(in_tasks, match, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
 
 def _hit(by_row: DataFrame, blocks: list[Callable], window: int) -> DataFrame:
@@ -182,6 +189,32 @@ def _hit(by_row: DataFrame, blocks: list[Callable], window: int) -> DataFrame:
     return hit.groupBy(F.col("doc_id").alias("_row")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
 
+_NOTHING = "cast(array() as array<struct<start:int,stop:int>>)"
+#: Spans by start: one that begins inside the last of those before it makes that one longer.
+_JOINED = f"""aggregate(array_sort(spans), {_NOTHING}, (done, s) -> case
+    when size(done) > 0 and s.start <= element_at(done, -1).stop
+    then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, s.stop))))
+    else concat(done, array(named_struct('start', s.start, 'stop', s.stop))) end)"""
+_HIT_WORDS = "cast(aggregate({}, 0, (n, s) -> n + s.stop - s.start) as long)"
+
+
+def covered(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, h`` (md5 of the text) of the rows of ``docs`` of which more than ``max_coverage`` of the words are hit.
+
+    Documents are streamed once per block of items; only covered rows leave the tasks.
+    """
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("h")).alias("doc_id"), "text")
+    found = None
+    blocks = item_blocks(items, block_words)
+    for block in blocks:
+        part = _matched(keyed, Automaton(block())).where(F.size("spans") > 0).select("doc_id", "n_words", "spans")
+        part = part if len(blocks) == 1 else written(part, "decontaminate")
+        found = part if found is None else found.unionByName(part)
+    if len(blocks) > 1:
+        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans")).withColumn("spans", F.expr(_JOINED))
+    return found.where(F.expr(_HIT_WORDS.format("spans")) > max_coverage * F.col("n_words")).select("doc_id.doc_id", "doc_id.h").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: word count, hit spans (merged) and the items whose windows occur.
 
@@ -195,20 +228,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     by_row = numbered.selectExpr("_row doc_id", "text")
     hit = _hit(by_row, blocks, window)
-    nothing = "cast(array() as array<struct<start:int,stop:int>>)"
-    # spans by start: one that begins inside the last of those before it makes that one longer
-    join = F.expr(
-        f"""aggregate(array_sort(spans), {nothing}, (done, s) -> case
-            when size(done) > 0 and s.start <= element_at(done, -1).stop
-            then concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, s.stop))))
-            else concat(done, array(named_struct('start', s.start, 'stop', s.stop))) end)"""
-    )
     words = _matched(by_row, Automaton([], window)).selectExpr("doc_id _row", "n_words")
     return (
         numbered.select("_row", "doc_id")
         .join(words, "_row")
         .join(hit, "_row", "left")
-        .select("doc_id", "n_words", F.coalesce(join, F.expr(nothing)).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("items"))
+        .select("doc_id", "n_words", F.coalesce(F.expr(_JOINED), F.expr(_NOTHING)).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("items"))
     )
 
 
@@ -217,7 +242,7 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     return matches(docs, items).select(
         "doc_id",
         "n_words",
-        F.expr("cast(aggregate(spans, 0, (n, s) -> n + s.stop - s.start) as long)").alias("n_hit"),
+        F.expr(_HIT_WORDS.format("spans")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
@@ -233,7 +258,7 @@ def cleaned(docs: DataFrame, items: DataFrame, min_words: int = 1, max_coverage:
     """
     blocks = item_blocks(items, block_words)
     if len(blocks) == 1:
-        return with_length(_cut(docs, docs.schema, docs.sparkSession.sparkContext.broadcast(Automaton(blocks[0]())), min_words, max_coverage))
+        return with_length(_cut(docs, docs.schema, docs.sparkSession.sparkContext.broadcast(vars(Automaton(blocks[0]()))), min_words, max_coverage))
     numbered = written(docs.withColumn("_cut_row", F.monotonically_increasing_id()), "decontaminate")
     hit = _hit(numbered.selectExpr("_cut_row doc_id", "text"), blocks, WINDOW).selectExpr("_row _cut_row", "spans _cut_spans")
     return with_length(_cut(numbered.join(hit, "_cut_row", "left").drop("_cut_row"), docs.schema, None, min_words, max_coverage))
@@ -244,13 +269,14 @@ def _cut(docs: DataFrame, schema: StructType, shared, min_words: int, max_covera
     at = schema.fieldNames().index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Automaton.of(shared.value).hits if shared else None
         for batch in batches:
             known = None if shared else batch.column(batch.num_columns - 1).to_pylist()
             texts, keep = [], []
             for k, t in enumerate(text_bytes(batch)):
                 low = (t or b"").lower()
                 places = [m.span() for m in WORD.finditer(low)]
-                spans = shared.value.hits([low[a:b] for a, b in places])[0] if shared else merged([(s["start"], s["stop"]) for s in known[k] or []])
+                spans = hits([low[a:b] for a, b in places])[0] if shared else merged([(s["start"], s["stop"]) for s in known[k] or []])
                 spans = [s for s in spans if s[1] - s[0] >= min_words]
                 keep.append(sum(b - a for a, b in spans) <= max_coverage * len(places))
                 for a, b in reversed(spans):

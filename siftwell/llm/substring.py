@@ -370,9 +370,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.transform(in_tasks, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFrame:
+def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1, apart: DataFrame | None = None) -> DataFrame:
     """``docs`` without repeated words, other columns as they are; documents left with fewer than ``min_words`` go.
 
+    Rows that ``apart`` (doc_id, and ``h``, the md5 of the uncut text) names go as well; their windows count all the same.
     Texts that lose nothing stay as they are; of others the kept words are joined by spaces. ``n_chars`` follows.
     """
     names = docs.columns
@@ -390,4 +391,11 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1) -> DataFr
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))  # names that clash with none used here
-    return with_length(with_spans(inner, window).select(*inner.columns, "_copy", "_spans").transform(in_tasks, run, docs.schema))
+    rows = with_spans(inner, window).select(*inner.columns, "_copy", "_spans")
+    if apart is not None:
+        of = apart.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("h").alias("_apart"))
+        known = rows.where("doc_id is not null").join(of.hint("shuffle_hash"), "doc_id", "left")
+        known = known.where(F.col("_apart").isNull() | ~F.array_contains("_apart", F.md5("text"))).select(rows.columns)
+        nameless = apart.where("doc_id is null").select("h")
+        rows = known.unionByName(rows.where("doc_id is null").join(nameless, F.md5("text") == F.col("h"), "left_anti"))
+    return with_length(rows.transform(in_tasks, run, docs.schema))
