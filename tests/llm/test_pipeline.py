@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -44,21 +45,26 @@ def brute(rows, items):
         for a in range(len(rows)):
             least[a] = min([least[b] for b in range(len(rows)) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     rows = [r for k, r in enumerate(rows) if least[k] == k]
-    cut = []
-    for (i, t), kept in zip(rows, brute_substring(rows)):
-        if len(kept) >= 20 or len(kept) == len(words(t)):
-            cut.append((i, t if len(kept) == len(words(t)) else " ".join(kept)))
     wins = set()
     for _, t in items:
         w = WORD5.findall(lower(t or ""))
         n = min(10, len(w))
         wins |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
+
+    def hits(w):
+        return {j for n in {len(k) for k in wins} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in wins for j in range(k, k + n)}
+
+    cut = []
+    for (i, t), kept in zip(rows, brute_substring(rows)):
+        w = WORD5.findall(lower(t))
+        if len(hits(w)) <= 0.5 * len(w) and (len(kept) >= 20 or len(kept) == len(words(t))):
+            cut.append((i, t if len(kept) == len(words(t)) else " ".join(kept)))
     out = []
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     for i, t in cut:
         found = list(WORD5.finditer(lower(t)))
         w = [m.group() for m in found]
-        hit = {j for n in {len(k) for k in wins} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in wins for j in range(k, k + n)}
+        hit = hits(w)
         if len(hit) > 0.5 * len(w):
             continue
         for k in sorted(hit, reverse=True):
@@ -81,6 +87,36 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {0, 1, 2, 3, 4, 50, 52, 53, 54} <= kept and not kept & {40, 42, 43, 44, 45, 51}
 
 
+def test_documents_of_mostly_benchmark_words_leave_no_shell(spark, tmp_path):
+    """A benchmark passage that is cut as a copy of an earlier document's still counts against the document."""
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    item = own(90)
+    rows = [(50, own(60) + " " + item), (51, own(40) + " " + item), (52, own(200) + " " + item), (53, own(120)), (54, own(110) + " " + item)]
+    stage = dict(corpus_pipeline.STAGES)
+    for several in (rows, [(i, t) for i, t in rows if i != 50], [(None, t) for _, t in rows]):
+        frame(spark, several).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        want = brute(several, [(1, item)]) if several[0][0] else None
+        got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) if want else None
+        assert got == want
+        kept = stage["substring"](spark, frame(spark, several), str(tmp_path)).collect()
+        assert len(kept) == 3 and all(r["text"].split()[0] in {t.split()[0] for i, t in rows if i in (52, 53, 54)} for r in kept)
+
+
+def test_many_texts_under_one_key_are_compared_in_bounded_time():
+    """20,000 texts that share two thirds of their shingles and a few pairs of near copies among them."""
+    rng = np.random.default_rng(1)
+    common, n = rng.integers(0, 1 << 32, 140, dtype=np.uint64).astype(np.uint32), 20_000
+    own = rng.integers(0, 1 << 32, (n, 70), dtype=np.uint64).astype(np.uint32)
+    for k in range(0, n, 500):
+        own[k + 1, :60] = own[k, :60]
+    hashes = [np.unique(np.concatenate([common, x])).tobytes() for x in own]
+    began = time.time()
+    found = list(near_copies._joined(np.arange(n), np.arange(n), np.zeros(n, np.int64), hashes))
+    assert sorted(map(sorted, found)) == [[k, k + 1] for k in range(0, n, 500)] and time.time() - began < 60
+
+
 def test_near_copies_go_from_a_similarity_of_four_fifths(spark, tmp_path):
     rng = random.Random(21)
     rows, sets = [], []
