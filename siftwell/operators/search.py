@@ -11,16 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import shared_folder
+from .postings import SCORES, Best, keyword_candidates, read_postings, write_postings
 
 # Fixed values of the ranking.
-K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOP = 30
 RRF = 60
 GATE = 0.43
 #: Most numbers of a query matrix that is broadcast at once (100 MB of doubles).
 MATRIX = 12_500_000
-#: Most queries whose terms are broadcast at once.
-QUERIES = 5_000
 
 
 def ranked_by(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -71,87 +70,32 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` by BM25 over any of the query's terms; statistics are those of all chunks.
+def keyword_search(queries: DataFrame, postings: DataFrame, k: int = TOP) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` by BM25 over any of the query's terms from stored ``postings``; statistics are those of all chunks."""
+    return ranked_by(keyword_candidates(queries, postings, k), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
-    The queries' terms, at most 64 each, are broadcast in blocks of ``QUERIES`` queries. One pass counts in how many chunks each of
-    them is; a second scores each chunk where it is read and keeps the k best per query and batch, so no posting is
-    shuffled. Scores are rounded to 6 digits, then ties go by id.
-    """
-    spark = chunks.sparkSession
-    stats = corpus_stats(chunks).first()
-    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query_text"))).alias("term"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    found = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        terms = block.groupBy("term").agg(F.collect_list("query_id").alias("ids")).collect()  # 64 x QUERIES numbers at most
-        names = spark.sparkContext.broadcast({r["term"]: n for n, r in enumerate(terms)})
-
-        def seen(batches: Iterator[pa.RecordBatch], names=names) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(names.value), np.int64)
-            for batch in batches:
-                for text in batch.column(1).to_pylist():
-                    counts[[names.value[t] for t in _pieces(text).keys() & names.value.keys()]] += 1
-            some = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["n", "df"])
-
-        df = np.zeros(len(terms))
-        for n, count in _folded(chunks).mapInArrow(seen, "n long, df long").groupBy("n").agg(F.sum("df")).collect():  # a row per term
-            df[n] = count
-        idf = np.maximum(np.log((stats["n_chunks"] - df + 0.5) / (df + 0.5)), IDF_FLOOR)
-        ids = sorted({q for r in terms for q in r["ids"]})
-        place = {q: n for n, q in enumerate(ids)}
-        lists = [np.array([place[q] for q in r["ids"]], np.int64) for r in terms]
-        shared = spark.sparkContext.broadcast((names.value, idf, lists, np.array(ids, np.int64), stats["avg_dl"]))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, idf, lists, ids, average = shared.value
-            rows = max(1, 4_000_000 // max(1, len(ids)))
-            for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, rows):
-                    batch = whole.slice(at, rows)
-                    scores = np.full((batch.num_rows, len(ids)), -1.0)  # below any score: no term in common
-                    for k_, text in enumerate(batch.column(1).to_pylist()):
-                        counted = _pieces(text)
-                        own = [(names[t], counted[t]) for t in counted.keys() & names.keys()]
-                        if own:
-                            n, tf = np.array(own, np.int64).T
-                            length = max(0, len(text) - 2)
-                            part = idf[n] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-                            which = np.concatenate([lists[x] for x in n])
-                            sums = np.bincount(which, np.repeat(part, [len(lists[x]) for x in n]), minlength=len(ids))
-                            hit = np.bincount(which, minlength=len(ids)) > 0
-                            scores[k_, hit] = np.round(sums[hit], 6)
-                    yield from _best_of(ids, batch.column(0).to_numpy(), scores, k, "score", 0.0)
-
-        part = _folded(chunks).mapInArrow(best, "query_id long, chunk_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return ranked_by(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
-
-def _best_of(ids: np.ndarray, chunk: np.ndarray, scores: np.ndarray, k: int, name: str, least: float = -np.inf) -> Iterator[pa.RecordBatch]:
-    """One batch with the k best chunks (rows of ``scores``) of each query (column), from ``least`` on; ties by id."""
-    columns: list[list] = [[], [], []]
-    for q, row in zip(ids.tolist(), scores.T, strict=True):
-        some = np.flatnonzero(row >= least)
-        if len(some) > k:  # all that tie with the k-th stay for the sort
-            some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k]]
-        order = some[np.lexsort((chunk[some], -row[some]))[:k]]
-        for column, x in zip(columns, (np.full(len(order), q), chunk[order], row[order]), strict=True):
-            column.append(x)
-    yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["query_id", "chunk_id", name])
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
+    """``keyword_search`` over ``chunks`` (chunk_id, text), whose postings are written first."""
+    path = shared_folder(chunks.sparkSession, "postings")
+    write_postings(chunks, path)
+    return keyword_search(queries, read_postings(chunks.sparkSession, path), k)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, similarity, rank``: the exact nearest vectors by cosine, rounded to 6 digits, ties by id.
 
-    Query vectors (``query_id, query_vector``) go out as a matrix, in blocks of bounded size; each batch of vectors is one
-    product and keeps its k best per query, so that a task emits at most k rows per query and batch.
+    Query vectors (``query_id, query_vector``) go out as a matrix, in blocks of bounded size. A task multiplies slice after slice of its vectors
+    with it and keeps the k best of each query all the while; it emits them once, k rows per query and task at most.
     """
+    return ranked_by(dense_candidates(queries, vectors, k), ["query_id"], [F.desc("similarity"), F.col("chunk_id")], k)
+
+
+def dense_candidates(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``query_id, chunk_id, similarity``: of each task's vectors the k nearest of each query."""
     spark = queries.sparkSession
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dim")).first()
-    blocks = max(1, -(-size["n"] * (size["dim"] or 1) // MATRIX))
+    blocks = max(1, -(-size["n"] * max(size["dim"] or 1, k) // MATRIX))
     found = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -163,18 +107,21 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFram
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                chunk = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ matrix.T, 6)
-                yield from _best_of(ids, chunk, s, k, "similarity")
+            best, step = Best(len(ids), k), max(1, SCORES // max(1, len(ids)))
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, step):
+                    batch = whole.slice(at, step)
+                    v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+                    norm = np.linalg.norm(v, axis=1, keepdims=True)
+                    scores = np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ matrix.T, 6)
+                    chunk = batch.column(0).to_numpy()
+                    for q in range(len(ids)):
+                        best.add(q, chunk, scores[:, q])
+            yield from best.rows(ids, "similarity")
 
         part = vectors.where("embedding is not null").select("chunk_id", F.col("embedding")).mapInArrow(nearest, "query_id long, chunk_id long, similarity double")
         found = part if found is None else found.unionByName(part)
-    return ranked_by(found, ["query_id"], [F.desc("similarity"), F.col("chunk_id")], k)
+    return found
 
 
 def union_hits(*lists: DataFrame) -> DataFrame:
