@@ -18,7 +18,6 @@ Spans = list[tuple[int, int]]
 # Fixed values of the data model.
 CHUNK_TOKENS, OVERLAP_TOKENS = 450, 68
 WINDOW_TOKENS, WINDOW_STRIDE, WINDOW_REACH = 60, 30, 24
-MIN_ANCHOR, MAX_GAP = 12, 40
 MARKER = re.compile(r"\[\s*\d{1,3}(?:\s*,\s*\d{1,3})*\s*\]")
 # A sentence ends at . ! ? before white space, a marker or the end; at 。！？; at a newline; markers right after it are still its own.
 # Markers before white space end one as well, as Thai has no full stop.
@@ -119,7 +118,7 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = O
 
 
 def windows(text: str, token_spans: Callable[[str], Spans] = word_spans) -> Spans:
-    """Windows of 60 tokens every 30, the last one reaching the end; edges inside a Latin, Greek or Cyrillic word move out by up to 24 characters."""
+    """Windows of 60 tokens every 30; the first begins where the text does, the last ends where it ends; other edges inside a Latin, Greek or Cyrillic word move out by up to 24 characters."""
     spans = token_spans(text)
     if len(spans) <= WINDOW_TOKENS:
         return [(0, len(text))] if text else []
@@ -130,7 +129,7 @@ def windows(text: str, token_spans: Callable[[str], Spans] = word_spans) -> Span
     out = []
     for k in range(0, len(spans), WINDOW_STRIDE):
         last = min(k + WINDOW_TOKENS, len(spans)) - 1
-        a, b = spans[k][0], spans[last][1]
+        a, b = spans[k][0] if k else 0, spans[last][1] if last < len(spans) - 1 else len(text)
         low, high = max(0, a - WINDOW_REACH), min(len(text), b + WINDOW_REACH)
         while a > low and inside(a):
             a -= 1
@@ -186,12 +185,12 @@ def cited_in(content: str, selection: str, start: int | None = None) -> list[int
 
 
 def take_tokens(text: str, budget: float) -> str:
-    """The longest prefix whose cost fits: a third for letters and spaces outside Thai and East Asian ranges, one for others."""
+    """The longest prefix whose cost fits: a third for letters and spaces outside Thai and East Asian ranges, one for others, added up in floats."""
     spent = 0.0
     for k, c in enumerate(text):
         light = (c.isalpha() or c.isspace()) and not (0x0E00 <= ord(c) <= 0x0E7F or 0x3000 <= ord(c) <= 0x9FFF or 0xFF00 <= ord(c) <= 0xFFEF)
         spent += 1 / 3 if light else 1
-        if spent > budget + 1e-9:
+        if spent > budget:
             return text[:k]
     return text
 
@@ -224,54 +223,6 @@ def line_recall(truth: str, text: str, lang: str, head: int = 10, edits: int = 2
     return found / max(1, len(heads))
 
 
-def _fold(text: str) -> str:
-    return "".join(text.lower().split())
-
-
-def locate(units: list[tuple[str, int]], passage: str, hint: int | None = None) -> tuple[int, int] | None:
-    """First and last line of a passage among units (text, first line): the longest part is the anchor, its neighbours join on both sides."""
-    parts = [p for p in (_fold(x) for x in re.split(r"\n\s*\n", passage)) if p]
-    if not parts:
-        return None
-    anchor = max(range(len(parts)), key=lambda k: len(parts[k]))
-    folded = [_fold(t) for t, _ in units]
-    order = sorted(range(len(units)), key=lambda k: abs(units[k][1] - hint) if hint is not None else k)
-    at = next((k for k in order if parts[anchor] in folded[k]), None)
-    if at is None:
-        return None
-    low = high = at
-    for part in reversed(parts[:anchor]):
-        near = [k for k in range(low, max(-1, low - 4), -1) if part in folded[k] and (len(part) >= MIN_ANCHOR or low - k <= 1)]
-        low = near[0] if near else low
-    for part in parts[anchor + 1 :]:
-        near = [k for k in range(high, min(len(units), high + 4)) if part in folded[k] and (len(part) >= MIN_ANCHOR or k - high <= 1)]
-        high = near[0] if near else high
-    return units[low][1], units[high][1] + units[high][0].count("\n")
-
-
-def locate_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """``passage_id, doc_id, line_start, line_end`` (null where not found) for passages (passage_id, doc_id, passage)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [locate(text_units(t or ""), p or "") or (None, None) for t, p in zip(f.text, f.passage, strict=True)]
-            yield pd.DataFrame({"passage_id": f.passage_id, "doc_id": f.doc_id, "line_start": pd.array([x[0] for x in found], "Int32"), "line_end": pd.array([x[1] for x in found], "Int32")})
-
-    joined = passages.join(docs.select("doc_id", "text"), "doc_id").select("passage_id", "doc_id", "passage", "text")
-    return joined.mapInPandas(run, "passage_id long, doc_id long, line_start int, line_end int")
-
-
-def find_within(text: str, part: str, start: int, end: int) -> Spans:
-    """Every occurrence of a part inside text[start:end], white space and case aside, as offsets in the text."""
-    places = [k for k in range(start, end) if not text[k].isspace()]
-    body, folded = "".join(text[k].lower()[:1] for k in places), _fold(part)
-    out, at = [], body.find(folded) if folded else -1
-    while at >= 0:
-        out.append((places[at], places[at + len(folded) - 1] + 1))
-        at = body.find(folded, at + len(folded))
-    return out
-
-
 def per_row(function: Callable, result: str, *columns: Column) -> Column:
     """A pandas UDF that applies a helper row by row inside Arrow batches."""
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import attribution as A
 from ..operators import chats as C
 from ..operators import evaluate as E
+from ..operators import locate as L
 from ..operators import passages as P
 from ..operators import search as S
 from ..streaming import watch as W
@@ -209,13 +210,17 @@ def take_tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def locate_passage(s: SparkSession, d: str) -> DataFrame:
-    """Each document's last line, looked for in the document."""
+    """A line of each document, shouted and spaced out, looked for in the document; every other one with a hint of its line."""
     docs = _docs(s, d)
-    return P.locate_passages(docs.select(F.col("doc_id").alias("passage_id"), "doc_id", F.element_at(F.split("text", "\n"), -1).alias("passage")), docs)
+    lines = docs.withColumn("lines", F.split("text", "\n")).withColumn("n", (F.col("doc_id") % F.size("lines")).cast("int"))
+    hint = F.when(F.col("doc_id") % 2 == 1, F.struct(F.lit("text").alias("kind"), *(F.lit(None).cast("int").alias(c) for c in ("page_start", "page_end", "paragraph_start", "paragraph_end")), (F.col("n") + 1).alias("line_start"), (F.col("n") + 1).alias("line_end")))
+    passage = F.replace(F.upper(F.col("lines")[F.col("n")]), F.lit(" "), F.lit("  "))
+    return L.locate_passages(lines.select(F.col("doc_id").alias("passage_id"), "doc_id", passage.alias("passage"), hint.alias("hint")), docs).drop("page")
 
 
 def find_within(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", P.per_row(lambda t: len(P.find_within(t or "", " In g ", 0, len(t or ""))), "int", F.col("text")).alias("occurrences"))
+    """On a page that is the document: the overlapping places of a part."""
+    return _docs(s, d).select("doc_id", P.per_row(lambda t: len(L.find_within([L.Unit(t or "", 0, 1)], 1, 0, len(t or ""), " E \n E ")), "int", F.col("text")).alias("occurrences"))
 
 
 def embed(s: SparkSession, d: str) -> DataFrame:
@@ -307,5 +312,17 @@ ORACLE_SQL = {
     "filter_events": f"""WITH {_EVENTS} SELECT event_id FROM ev WHERE kind <> 'opened' AND NOT (kind = 'modified' AND event_id % 5 = 0) AND NOT (event_id % 7 = 0 AND (event_id % 3 <> 0 OR event_id % 2 = 0))""",
     "watch_debounce": f"""WITH {_EVENTS}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY project ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM ev), g AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts, event_id) AS w FROM f)
         SELECT project, max(ts) + INTERVAL 1 HOUR AS notice, count(*) AS n_events FROM g GROUP BY project, w""",
+    "locate_passage": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, doc_id % len(string_split(text, chr(10))) + 1 AS asked FROM documents),
+        f AS (SELECT *, replace(lower(trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g'))), 'ß', 'ss') AS y FROM l),
+        u AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS unit FROM f WHERE y <> ''),
+        c AS (SELECT *, sum(length(y) + 1) OVER (PARTITION BY doc_id, unit ORDER BY n) - length(y) AS begun FROM u),
+        t AS (SELECT doc_id, unit, string_agg(y, ' ' ORDER BY n) AS t, min(n) AS first, max(n) AS last FROM c GROUP BY doc_id, unit),
+        p AS (SELECT doc_id, asked, max(y) FILTER (n = asked) AS p FROM f GROUP BY doc_id, asked),
+        found AS (SELECT doc_id, unit, p, instr(t, p) AS pos FROM p JOIN t USING (doc_id) WHERE length(p) >= 12 AND contains(t, p)
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN doc_id % 2 = 1 AND asked BETWEEN first AND last THEN 0 ELSE 1 END, first) = 1),
+        placed AS (SELECT doc_id, max(n) FILTER (begun <= pos) AS s, max(n) FILTER (begun <= pos + length(p) - 1) + 1 AS e FROM found JOIN c USING (doc_id, unit) GROUP BY doc_id)
+        SELECT doc_id AS passage_id, doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM documents LEFT JOIN placed USING (doc_id)""",
+    "find_within": """WITH f AS (SELECT doc_id, regexp_replace(lower(text), '[ \\t-\\r]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, CAST(coalesce(len(list_filter(range(1, length(t) - 1), lambda i: substr(t, i, 3) = 'e e')), 0) AS INTEGER) AS occurrences FROM f""",
     "late_events": "SELECT event_id FROM events JOIN (SELECT user_id, max(event_id % 4) AS g FROM events GROUP BY user_id) USING (user_id) WHERE event_id % 4 = g",
 }
