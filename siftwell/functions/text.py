@@ -14,7 +14,7 @@ MAX_TERMS = 64
 DIGITS = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
 ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MARKER = r"\[[0-9]{1,3}(?:\s*,\s*[0-9]{1,3})*\s*\]"
+MARKER = r"\[\p{Nd}{1,3}(?:\s*,\s*\p{Nd}{1,3})*\]"
 LIGHT = r"[\p{L}\s&&[^฀-๿　-鿿＀-￯]]"
 
 
@@ -81,17 +81,16 @@ def strip_markers(c: Column) -> Column:
 
 def cited_numbers(c: Column, count: Column) -> Column:
     """Numbers in [n] or [1, 2] markers that lie in 1..count, in order, repeats kept."""
-    marks = F.regexp_extract_all(c, F.lit(r"\[\s*[0-9]{1,3}(?:\s*,\s*[0-9]{1,3})*\s*\]"), F.lit(0))
+    marks = F.regexp_extract_all(F.translate(c, "".join(DIGITS), ASCII_DIGITS), F.lit(MARKER), F.lit(0))
     every = F.flatten(F.transform(marks, lambda m: F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))))
     return F.filter(every, lambda n: n.between(F.lit(1), count))
 
 
 def numbers(c: Column) -> Column:
-    """Distinct numbers: digits of any script as ASCII, thousands commas dropped, other commas split, leading zeros and, after one point or
-    colon, trailing zeros dropped."""
+    """Distinct numbers: digits of any script as ASCII; commas dropped where the whole number is in thousands (with a decimal part at most), else they
+    split; leading zeros and, after one point or colon, trailing zeros dropped."""
     found = F.regexp_extract_all(F.translate(c, "".join(DIGITS), ASCII_DIGITS), F.lit(r"[0-9]+(?:[.,:][0-9]+)*"), F.lit(0))
-    joined = F.transform(found, lambda x: F.regexp_replace(x, r"(?<![0-9.:,])([0-9]{1,3})((?:,[0-9]{3})+)(?![0-9,])", "$1#$2#"))
-    plain = F.transform(joined, lambda x: F.when(F.contains(x, F.lit("#")), F.regexp_replace(x, "[#,]", "")).otherwise(x))
+    plain = F.transform(found, lambda x: F.when(x.rlike(r"^[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?$"), F.replace(x, F.lit(","))).otherwise(x))
     split = F.flatten(F.transform(plain, lambda x: F.split(x, ",")))
     points = F.transform(split, lambda x: F.translate(x, ":", "."))
     heads = F.transform(points, lambda x: F.regexp_replace(x, r"^0+(?=[0-9])", ""))
@@ -131,8 +130,9 @@ def garbled_thai(c: Column) -> Column:
     """Echoes in a page of Thai text: a syllable's marks said twice, marks without a letter, and short lines, beginning with a consonant, that repeat the end of the line before."""
     marks = r"[\x{0E31}\x{0E34}-\x{0E3A}\x{0E47}-\x{0E4E}]"
     doubled = F.regexp_count(c, F.lit(rf"([ก-ฮ]{marks}+)[ก-ฮ]\1"))
-    orphans = F.regexp_count(c, F.lit(rf"(?<![ก-ฮ]|{marks}){marks}"))
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    orphans = F.regexp_count(c, F.lit(rf"(?<![\x{{0E01}}-\x{{0E5B}}]){marks}"))
+    breaks = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+    lines = F.filter(F.transform(F.split(c, breaks), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     fold = F.aggregate(
         lines,
         F.struct(F.lit(0).alias("n"), F.lit("").alias("last")),

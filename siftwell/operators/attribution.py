@@ -76,9 +76,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def auto_citation(answers: DataFrame, sources: DataFrame, share: float = AUTO_SHARE) -> DataFrame:
-    """``answer_id, n``: the source that shares most of an uncited answer's trigrams, the first of equals, if at least half; else null."""
-    own = answers.select("answer_id", "content", T.trigrams(F.col("content")).alias("grams"), F.rlike("content", F.lit(T.MARKER)).alias("cites"))
-    pairs = own.where(~F.col("cites") & (F.size("grams") > 0)).join(sources, "answer_id").withColumn("share", T.trigram_overlap(F.col("grams"), T.trigrams(F.col("text"))))
+    """``answer_id, n``: the source that shares most of an answer's trigrams, the first of equals, if at least half; null for answers that cite one of their sources."""
+    own = answers.select("answer_id", "content", T.trigrams(F.col("content")).alias("grams"))
+    counts = sources.groupBy("answer_id").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    asked = own.join(counts, "answer_id").where((F.size(T.cited_numbers(F.col("content"), F.col("count"))) == 0) & (F.size("grams") > 0))
+    pairs = asked.join(sources, "answer_id").withColumn("share", T.trigram_overlap(F.col("grams"), T.trigrams(F.col("text"))))
     best = pairs.groupBy("answer_id").agg(F.max(F.struct("share", -F.col("n"))).alias("best")).where(F.col("best.share") >= share)
     return own.select("answer_id").join(best.select("answer_id", (-F.col("best")["col2"]).cast("int").alias("n")), "answer_id", "left")
 
@@ -90,9 +92,11 @@ def windows_of(sources: DataFrame, make=None) -> DataFrame:
     return cut.join(vectors, "text").select("message_id", "n", "win", "start", "end", "text", "vector", T.trigrams(F.col("text")).alias("grams"), T.numbers(F.col("text")).alias("numbers"))
 
 
-def known_numbers(windows: DataFrame) -> DataFrame:
-    """``message_id, known``: all numbers in a message's windows."""
-    return windows.select("message_id", F.explode("numbers").alias("x")).distinct().groupBy("message_id").agg(F.array_sort(F.collect_list("x")).alias("known"))
+def known_numbers(selections: DataFrame, windows: DataFrame) -> DataFrame:
+    """``selection_id, known, n_sources``: all numbers in the windows of a selection's sources (those of its message, or ``only`` one), and how many sources those are."""
+    scope = windows.select("message_id", "n", F.explode_outer("numbers").alias("x")).distinct()
+    per = selections.select("selection_id", "message_id", "only").join(scope, "message_id").where(F.col("only").isNull() | (F.col("only") == F.col("n")))
+    return per.groupBy("selection_id").agg(F.array_sort(F.collect_set("x")).alias("known"), F.countDistinct("n").alias("n_sources"))
 
 
 def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame:
@@ -106,9 +110,7 @@ def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame
     cited = P.per_row(lambda c, s: P.cited_in(c or "", s or ""), "array<int>", F.col("content"), F.col("selection"))
     asked = selections.select("selection_id", "message_id", "only", cited.alias("cited"), clean.alias("clean"))
     asked = asked.withColumn("s_vector", embed(asked, "clean", make)).withColumn("s_grams", T.trigrams(F.col("clean"))).withColumn("s_numbers", T.numbers(F.col("clean")))
-    scope = windows.select("message_id", "n", F.explode_outer("numbers").alias("x")).distinct()
-    per = asked.select("selection_id", "message_id", "only").join(scope, "message_id").where(F.col("only").isNull() | (F.col("only") == F.col("n")))
-    known = per.groupBy("selection_id").agg(F.collect_set("x").alias("known"), F.countDistinct("n").alias("n_sources"))
+    known = known_numbers(asked, windows)
     pairs = asked.join(known, "selection_id").join(windows, "message_id").where(F.col("only").isNull() | (F.col("only") == F.col("n")))
     wanted = F.array_intersect("s_numbers", "known")
     missing = F.size(F.array_except(wanted, F.col("numbers")))

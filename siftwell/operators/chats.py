@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +72,19 @@ def search_chats(chats: DataFrame, messages: DataFrame, query: str, k: int = 30)
     return found.drop("hit").orderBy(F.desc("activity"), "chat_id").limit(k)
 
 
+def earlier_answers(exchanges: DataFrame) -> DataFrame:
+    """``exchanges`` with the answers as a prompt repeats them: without markers; null where one is missing, empty or a not-found reply."""
+    answer = F.regexp_replace(F.regexp_replace("answer", r"[ \t]*" + T.MARKER, ""), r"(?U)^\s+|\s+$", "")
+    return exchanges.withColumn("answer", F.when((answer != "") & ~answer.isin(*NOT_FOUND), answer))
+
+
 def history_fit(exchanges: DataFrame, budgets: DataFrame) -> DataFrame:
     """Exchanges (chat_id, turn, question, answer) that fit a chat's budget (chat_id, budget) of tokens, newest first and without gaps.
 
-    Answers lose their citation markers; unanswered exchanges and not-found replies are skipped. If not even the newest fits, its
+    Exchanges without an answer worth repeating are skipped. If not even the newest fits, its
     answer is shortened to what the question leaves, marked ``cut``; if that is nothing, the chat has no history.
     """
-    answer = F.regexp_replace(F.regexp_replace("answer", r"\s*" + T.MARKER, ""), r"^\s+|\s+$", "")
-    told = exchanges.withColumn("answer", answer).where((F.col("answer") != "") & ~F.col("answer").isin(*NOT_FOUND)).join(budgets, "chat_id")
+    told = earlier_answers(exchanges).where("answer is not null").join(budgets, "chat_id")
     asked = T.estimate_tokens(F.col("question")) + MESSAGE_TOKENS
     newest = Window.partitionBy("chat_id").orderBy(F.desc("turn"))
     costs = told.withColumn("asked", asked).withColumn("cost", F.col("asked") + T.estimate_tokens(F.col("answer")) + MESSAGE_TOKENS)
@@ -87,31 +95,88 @@ def history_fit(exchanges: DataFrame, budgets: DataFrame) -> DataFrame:
     return kept.select("chat_id", "turn", "question", short.alias("answer"), "spent", "budget", "cut")
 
 
-def context_usage(parts: DataFrame) -> DataFrame:
-    """Tokens of a prompt's parts (instructions, notes, sources, question; history as a list of messages), 8 more per message."""
-    cost = T.estimate_tokens
-    history = F.aggregate(F.transform("history", lambda m: cost(m) + 8), F.lit(0).cast("long"), lambda a, b: a + b)
-    out = parts.select(
-        "query_id",
-        (cost(F.col("instructions")) + 8).alias("instructions"),
-        cost(F.coalesce("notes", F.lit(""))).alias("notes"),
-        F.aggregate(F.transform("sources", cost), F.lit(0).cast("long"), lambda a, b: a + b).alias("sources"),
-        history.alias("history"),
-        (cost(F.col("question")) + 8).alias("question"),
-        F.size("sources").cast("long").alias("source_count"),
-        F.size("history").cast("long").alias("history_kept"),
-        F.col("history_total").cast("long").alias("history_total"),
+# Fixed values of the budget: a local model's window and reply, what stays free, and the history's share of the prompt's room.
+CONTEXT_TOKENS, REPLY_TOKENS, MARGIN, HISTORY_SHARE = 8192, 1024, 256, 0.25
+LANGUAGES = {"th": "Thai", "en": "English", "zh": "Chinese"}
+
+
+@dataclass(frozen=True)
+class Template:
+    """Texts of a prompt. ``system`` has {language}, {notes} and, for prompts with sources, {sources}, each once and in that order; ``notes`` has {n} or {notes}.
+
+    With sources the user's notes are the last numbered source, and ``notes`` is the rule that names it. Without, ``notes`` holds them.
+    """
+
+    system: str = (
+        "Answer the question from the numbered sources alone.\n- Say so plainly if they don't answer it.\n- Earlier messages tell what the question refers to; facts come from the sources.\n"
+        "- Put a source's number in brackets, like [1] or [2][3], behind each sentence that uses it.\n- Write in {language}.{notes}\n\nSources:\n\n{sources}"
     )
-    return out.withColumn("total", F.col("instructions") + F.col("notes") + F.col("sources") + F.col("history") + F.col("question"))
+    notes: str = "\n- Source [{n}] holds the user's own notes: follow how they want answers, and cite [{n}] for what is taken from them."
+    notes_name: str = "The user's notes"
+
 
+#: A prompt of a chat without sources.
+CHAT = Template("Answer from general knowledge; the user's documents are out of sight.\n- Don't cite sources.\n- Say so if you are not sure.\n- Write in {language}.{notes}", "\n- The user's notes, which say how they want answers, are no source:\n{notes}")
 
-def build_prompt(rows: DataFrame, rules: str) -> DataFrame:
-    """One prompt per row: rules and numbered source blocks, history without markers, question.
 
-    ``sources`` is a list of (n, file, label, text) in order; notes become the last source, with a rule of their own.
+def _filled(text: str, **values: Column) -> Column:
+    """A template's text with columns in its places."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if k % 2 or x))
+
+
+def build_messages(rows: DataFrame, exchanges: DataFrame, template: Template = Template(), room: int = CONTEXT_TOKENS - REPLY_TOKENS, share: float | None = HISTORY_SHARE) -> DataFrame:
+    """Prompts of ``rows`` (query_id, question, sources, notes) within ``room`` tokens, with the tokens of each part.
+
+    ``sources`` is a list of (n, file, label, text) in order, empty for a chat. The system text comes first, then as many of the newest earlier
+    ``exchanges`` (query_id, turn, question, answer) as fit, then the question. The history gets what system text, question and a margin leave, at most
+    ``share`` of the room; its newest exchange is cut rather than left out.
+
+    Returns ``query_id, system, history`` (a list of role and content)``, question, budget, instructions_tokens, notes_tokens, sources_tokens, history_tokens,
+    question_tokens, source_count, history_kept, history_total``.
     """
-    block = F.transform("sources", lambda s: F.concat(F.lit("["), s["n"].cast("string"), F.lit("] "), s["file"], F.lit(" ("), s["label"], F.lit(")\n"), s["text"]))
-    notes = F.when(F.col("notes").isNotNull(), F.array(F.concat(F.lit("["), (F.size("sources") + 1).cast("string"), F.lit("] notes\n"), F.col("notes")))).otherwise(F.array().cast("array<string>"))
-    system = F.concat(F.lit(rules), F.when(F.col("notes").isNotNull(), "\nThe last source holds the user's own notes.").otherwise(""), F.lit("\n\n"), F.array_join(F.concat(block, notes), "\n\n"))
-    history = F.transform("history", lambda m: T.strip_markers(m))
-    return rows.select("query_id", F.concat_ws("\n\n", F.array(system), history, F.array("question")).alias("prompt"))
+    cost = T.estimate_tokens
+    language = F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), T.detect_language(F.col("question")))
+    blocks = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("["), s["n"].cast("string"), F.lit("] "), s["file"], F.lit(" ("), s["label"], F.lit(")\n"), s["text"])), "\n\n")
+    there, sourced = F.coalesce("notes", F.lit("")) != "", "{sources}" in template.system
+    n = (F.size("sources") + 1).cast("string")
+    rule = F.when(there, _filled(template.notes, n=n, notes=F.col("notes"))).otherwise("")
+    noted = F.when(there, F.concat(F.lit("["), n, F.lit(f"] {template.notes_name}\n"), F.col("notes"))) if sourced else F.lit(None).cast("string")
+    parts = rows.withColumn("blocks", blocks).withColumn("rule", rule).withColumn("noted", noted).withColumn("language", language)
+    listed = F.concat_ws("\n\n", F.when(F.size("sources") > 0, F.col("blocks")), F.col("noted"))
+    planned = parts.withColumn("system", _filled(template.system, language=F.col("language"), notes=F.col("rule"), sources=listed))
+    left = F.lit(room) - cost(F.col("system")) - cost(F.col("question")) - MARGIN
+    budget = left if share is None else F.least(left, F.lit(int(room * share)))
+    planned = planned.select(
+        "query_id", "system", "question", budget.alias("budget"), F.size("sources").cast("long").alias("source_count"),
+        F.when(F.size("sources") > 0, cost(F.col("blocks"))).otherwise(0).cast("long").alias("sources_tokens"),
+        (F.coalesce(cost(F.col("noted")), F.lit(0)) + cost(F.col("rule"))).cast("long").alias("notes_tokens"),
+    )
+    planned = planned.withColumn("instructions_tokens", cost(F.col("system")) + MESSAGE_TOKENS - F.col("sources_tokens") - F.col("notes_tokens")).withColumn("question_tokens", cost(F.col("question")) + MESSAGE_TOKENS)
+
+    keyed = exchanges.withColumnRenamed("query_id", "chat_id")
+    kept = history_fit(keyed, planned.select(F.col("query_id").alias("chat_id"), "budget"))
+    pair = F.struct("turn", "question", "answer", (cost(F.col("question")) + cost(F.col("answer")) + 2 * MESSAGE_TOKENS).alias("tokens"))
+    lists = kept.groupBy(F.col("chat_id").alias("query_id")).agg(F.array_sort(F.collect_list(pair)).alias("past"))
+    totals = earlier_answers(keyed).groupBy(F.col("chat_id").alias("query_id")).agg(F.count("answer").alias("history_total"))
+    said = F.flatten(F.transform("past", lambda e: F.array(F.struct(F.lit("user").alias("role"), e["question"].alias("content")), F.struct(F.lit("assistant").alias("role"), e["answer"].alias("content")))))
+    joined = planned.join(lists, "query_id", "left").join(totals, "query_id", "left")
+    return joined.select(
+        *planned.columns,
+        F.coalesce(said, F.array().cast("array<struct<role:string,content:string>>")).alias("history"),
+        F.coalesce(F.aggregate("past", F.lit(0).cast("long"), lambda t, e: t + e["tokens"]), F.lit(0)).alias("history_tokens"),
+        F.coalesce(F.size("past"), F.lit(0)).cast("long").alias("history_kept"),
+        F.coalesce("history_total", F.lit(0)).alias("history_total"),
+    )
+
+
+def build_prompt(messages: DataFrame) -> DataFrame:
+    """``query_id, prompt``: the messages of ``build_messages`` as one text."""
+    return messages.select("query_id", F.concat_ws("\n\n", F.array("system"), F.transform("history", lambda m: m["content"]), F.array("question")).alias("prompt"))
+
+
+def context_usage(messages: DataFrame) -> DataFrame:
+    """What each part of a prompt of ``build_messages`` takes of the window, in tokens; the parts add up to the prompt."""
+    parts = ["instructions", "notes", "sources", "history", "question"]
+    total = sum((F.col(f"{p}_tokens") for p in parts), F.lit(0))
+    return messages.select("query_id", *(F.col(f"{p}_tokens").alias(p) for p in parts), total.alias("total"), "source_count", "history_kept", "history_total")

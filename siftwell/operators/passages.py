@@ -18,7 +18,7 @@ Spans = list[tuple[int, int]]
 # Fixed values of the data model.
 CHUNK_TOKENS, OVERLAP_TOKENS = 450, 68
 WINDOW_TOKENS, WINDOW_STRIDE, WINDOW_REACH = 60, 30, 24
-MARKER = re.compile(r"\[\s*\d{1,3}(?:\s*,\s*\d{1,3})*\s*\]")
+MARKER = re.compile(r"\[\d{1,3}(?:\s*,\s*\d{1,3})*\]")
 # A sentence ends at . ! ? before white space, a marker or the end; at 。！？; at a newline; markers right after it are still its own.
 # Markers before white space end one as well, as Thai has no full stop.
 _MARKERS = rf"(?:[ \t]*{MARKER.pattern})"
@@ -121,7 +121,7 @@ def windows(text: str, token_spans: Callable[[str], Spans] = word_spans) -> Span
     """Windows of 60 tokens every 30; the first begins where the text does, the last ends where it ends; other edges inside a Latin, Greek or Cyrillic word move out by up to 24 characters."""
     spans = token_spans(text)
     if len(spans) <= WINDOW_TOKENS:
-        return [(0, len(text))] if text else []
+        return [(0, len(text))]
 
     def inside(at: int) -> bool:
         return 0 < at < len(text) and all(c.isalnum() and ord(c) < 0x530 for c in text[at - 1 : at + 1])
@@ -157,18 +157,18 @@ def marker_numbers(text: str) -> list[int]:
 
 
 def citation_segments(text: str, count: int) -> list[dict]:
-    """Text and citation segments with offsets; a marker with a number outside 1..count stays text."""
+    """Text and citation segments with offsets, a segment for each number of a marker; a marker with a number outside 1..count stays text."""
     out, at = [], 0
-    for m in MARKER.finditer(text):
-        numbers = [int(n) for n in re.findall(r"\d+", m.group())]
+    for m in re.finditer(MARKER.pattern, text, re.ASCII):
+        numbers = [int(n) for n in re.findall("[0-9]+", m.group())]
         if not all(1 <= n <= count for n in numbers):
             continue
         if m.start() > at:
-            out.append({"kind": "text", "start": at, "end": m.start(), "numbers": []})
-        out.append({"kind": "cite", "start": m.start(), "end": m.end(), "numbers": numbers})
+            out.append({"kind": "text", "start": at, "end": m.start(), "n": None})
+        out += [{"kind": "cite", "start": m.start(), "end": m.end(), "n": n} for n in numbers]
         at = m.end()
     if at < len(text):
-        out.append({"kind": "text", "start": at, "end": len(text), "numbers": []})
+        out.append({"kind": "text", "start": at, "end": len(text), "n": None})
     return out
 
 

@@ -11,7 +11,7 @@ from ..operators import search as S
 from . import inputs, search_queries
 
 QUERY = "ing th"
-RULES = "Answer from the numbered sources and cite them."
+ROOM = C.CONTEXT_TOKENS - C.REPLY_TOKENS
 
 
 def _scopes(s: SparkSession, d: str) -> DataFrame:
@@ -84,25 +84,28 @@ def history_fit(s: SparkSession, d: str) -> DataFrame:
 
 
 def _prompt_rows(s: SparkSession, d: str) -> DataFrame:
-    """Questions of the query set with their sources; the chat of the same number is the history."""
+    """Questions of the query set with their sources, every third with notes."""
     hits = S.dense_topk(inputs.questions(s, d).where("query_vector is not null"), inputs.vectors(s, d), 4)
     # numbered once fetched: a vector without a chunk leaves no gap
     found = S.number_sources(hits.join(inputs.chunks(s, d), "chunk_id"), 4).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("n", F.col("project").alias("file"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("label"), "text"))).alias("sources")
     )
-    past = inputs.messages(s, d).groupBy((F.col("chat_id") * 100).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("h"))
     asked = inputs.questions(s, d).select("query_id", F.col("query_text").alias("question"))
     notes = F.when(F.col("query_id") % 300 == 0, F.concat(F.lit("note "), F.col("query_id").cast("string")))
-    return asked.join(found, "query_id").join(past, "query_id", "left").select("query_id", "question", "sources", F.coalesce(F.transform("h", lambda x: x["content"]), F.array().cast("array<string>")).alias("history"), notes.alias("notes"))
+    return asked.join(found, "query_id").select("query_id", "question", "sources", notes.alias("notes"))
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
+    past = C.turns(inputs.messages(s, d)).select((F.col("chat_id") * 100).alias("query_id"), "turn", "question", "answer")
+    return C.build_messages(_prompt_rows(s, d), past)
 
 
 def build_prompt(s: SparkSession, d: str) -> DataFrame:
-    return C.build_prompt(_prompt_rows(s, d), RULES)
+    return C.build_prompt(_messages(s, d))
 
 
 def context_usage(s: SparkSession, d: str) -> DataFrame:
-    rows = _prompt_rows(s, d)
-    return C.context_usage(rows.select("query_id", F.lit(RULES).alias("instructions"), "notes", F.transform("sources", lambda x: x["text"]).alias("sources"), "history", "question", F.size("history").alias("history_total")))
+    return C.context_usage(_messages(s, d))
 
 
 QUERIES = {f.__name__: f for f in (recent_exchanges, messages_with_sources, chat_scopes, chat_title, list_chats, newest_match_per_chat, search_chats, excerpt, query_text, history_fit, build_prompt, context_usage)}
@@ -125,9 +128,31 @@ def _cost(c: str) -> str:
 
 
 _NOTED = "(CASE WHEN query_id % 300 = 0 THEN 'note ' || query_id END)"
-_PAST = "(SELECT conv_id * 100 AS query_id, turn AS id, text AS content FROM conversations WHERE role IN ('user', 'assistant'))"
 _SOURCED = "(SELECT query_id, doc_id, source, documents.text AS body, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM dense JOIN documents ON doc_id = chunk_id WHERE rank <= 4)"
-_SAID = _LINE.format("regexp_replace(content, '\\s*\\[\\s*[0-9]{1,3}(\\s*,\\s*[0-9]{1,3})*\\s*\\]', '', 'g')")
+_TOLD = "regexp_replace(regexp_replace(answer, '[ \\t]*\\[[0-9]{1,3}(\\s*,\\s*[0-9]{1,3})*\\]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+_HEAD, _MIDDLE = (x.replace("'", "''") for x in C.Template.system.split("{sources}")[0].split("{language}"))
+_RULE = "'" + C.Template.notes.replace("'", "''").replace("{n}", "' || (n + 1) || '") + "'"
+_NAME = C.Template.notes_name.replace("'", "''")
+#: Prompts up to the history they can have, the history, and its newest answer cut where it must be.
+_PLANNED = (
+    f"""planned AS (SELECT *, '{_HEAD}English' || replace('{_MIDDLE}', '{{notes}}', rule) || blocks || coalesce('\n\n' || noted, '') AS system FROM (SELECT query_id, questions.text AS question, n, blocks, coalesce({_RULE}, '') AS rule_,
+        CASE WHEN query_id % 300 = 0 THEN {_RULE} ELSE '' END AS rule, '[' || (n + 1) || '] {_NAME}\n' || {_NOTED} AS noted FROM questions JOIN
+        (SELECT query_id, count(*) AS n, string_agg('[' || n || '] ' || source || ' (chunk ' || doc_id || ')\n' || body, '\n\n' ORDER BY n) AS blocks FROM {_SOURCED} GROUP BY query_id) USING (query_id))),
+    budgets AS (SELECT *, least({ROOM} - {_cost('system')} - {_cost('question')} - 256, {int(ROOM * C.HISTORY_SHARE)}) AS budget FROM planned),
+    usable AS (SELECT chat_id * 100 AS query_id, turn, question AS earlier, {_TOLD} AS answer FROM turns WHERE answer IS NOT NULL),
+    priced AS (SELECT * FROM (SELECT query_id, turn, earlier, answer, budget, {_cost('earlier')} + 8 AS asked, {_cost('earlier')} + 16 + {_cost('answer')} AS cost FROM usable JOIN budgets USING (query_id) WHERE answer <> '' AND answer NOT IN ('ไม่พบข้อมูลนี้ในเอกสาร', 'Not found in the documents.', '文档中未找到相关信息。'))),
+    summed AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY turn DESC) AS spent, row_number() OVER (PARTITION BY query_id ORDER BY turn DESC) AS age FROM priced),
+    costs_ AS (SELECT query_id, turn, list_transform(string_split(answer, ''), lambda c: struct_pack(s := CASE WHEN regexp_matches(c, '[\\p{{L}}\\s]') THEN CAST(1 AS DOUBLE) / 3 ELSE 1.0::DOUBLE END, n := 1, most := CAST(budget - asked - 8 AS DOUBLE), over := false)) AS x FROM summed WHERE spent > budget AND age = 1 AND budget - asked - 8 > 0),
+    cut_ AS (SELECT query_id, turn, list_reduce(list_prepend(struct_pack(s := 0.0::DOUBLE, n := 0, most := 0.0::DOUBLE, over := false), x), lambda a, b: CASE WHEN a.over OR a.s + b.s > b.most THEN struct_pack(s := a.s, n := a.n, most := b.most, over := true) ELSE struct_pack(s := a.s + b.s, n := a.n + 1, most := b.most, over := false) END).n AS chars FROM costs_),
+    kept AS (SELECT query_id, turn, earlier, CASE WHEN chars IS NULL THEN answer ELSE substr(answer, 1, chars) END AS answer FROM summed LEFT JOIN cut_ USING (query_id, turn) WHERE spent <= budget OR chars IS NOT NULL),
+    past AS (SELECT query_id, string_agg(earlier || '\n\n' || answer, '\n\n' ORDER BY turn) AS said, CAST(sum({_cost('earlier')} + {_cost('answer')} + 16) AS BIGINT) AS history, count(*) AS kept FROM kept GROUP BY query_id),
+    totals AS (SELECT query_id, count(*) AS history_total FROM priced GROUP BY query_id)"""
+).replace("coalesce(" + _RULE + ", '') AS rule_,\n        ", "")
+
+
+def _prompts(body: str) -> str:
+    return search_queries._sql(body, *search_queries._DENSE).replace("\nSELECT", f",\n{_M}, {_TURNS}, {_PLANNED}\nSELECT", 1)
+
 
 ORACLE_SQL = {
     "recent_exchanges": f"WITH {_M}, {_TURNS} SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM turns QUALIFY age <= 2",
@@ -139,22 +164,14 @@ ORACLE_SQL = {
     "search_chats": f"WITH {_M}, {_NEWEST}, {_TITLES} SELECT chat_id, title, activity, excerpt FROM titles JOIN (SELECT chat_id, max(pos) AS activity FROM m GROUP BY chat_id) USING (chat_id) LEFT JOIN (SELECT chat_id, {_EXCERPT} AS excerpt FROM newest) USING (chat_id) WHERE excerpt IS NOT NULL OR contains({_FOLD.format('title')}, '{QUERY}') ORDER BY activity DESC, chat_id LIMIT 30",
     "excerpt": f"WITH {_M} SELECT chat_id, id, {_EXCERPT} AS excerpt FROM m",
     "query_text": f"WITH {_M} SELECT chat_id, id, concat_ws(chr(10), content, lag(content) OVER (PARTITION BY chat_id ORDER BY id)) AS query_text FROM m WHERE role = 'user'",
-    "history_fit": f"""WITH {_M}, {_TURNS}, told AS (SELECT chat_id, turn, question, regexp_replace(regexp_replace(answer, '\\s*\\[[0-9]{{1,3}}(\\s*,\\s*[0-9]{{1,3}})*\\s*\\]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer FROM turns),
+    "history_fit": f"""WITH {_M}, {_TURNS}, told AS (SELECT chat_id, turn, question, {_TOLD} AS answer FROM turns),
         priced AS (SELECT *, {_cost('question')} + 8 AS asked, asked + {_cost('answer')} + 8 AS cost, 150 + chat_id % 5 * 100 AS budget FROM told WHERE answer <> '' AND answer NOT IN ('ไม่พบข้อมูลนี้ในเอกสาร', 'Not found in the documents.', '文档中未找到相关信息。')),
         summed AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY chat_id ORDER BY turn DESC) AS BIGINT) AS spent, row_number() OVER (PARTITION BY chat_id ORDER BY turn DESC) AS age FROM priced)
         SELECT chat_id, turn, spent, budget, spent > budget AS cut FROM summed WHERE spent <= budget OR age = 1 AND asked + 8 < budget""",
-    "context_usage": search_queries._sql(
-        f"""SELECT *, instructions + notes + sources + history + question AS total FROM (SELECT query_id, {_cost(f"'{RULES}'")} + 8 AS instructions, coalesce({_cost(_NOTED)}, 0) AS notes,
-        sources, coalesce(history, 0) AS history, {_cost('questions.text')} + 8 AS question, source_count, coalesce(kept, 0) AS history_kept, coalesce(kept, 0) AS history_total FROM questions JOIN
-        (SELECT query_id, CAST(sum({_cost('body')}) AS BIGINT) AS sources, count(*) AS source_count FROM {_SOURCED} GROUP BY query_id) USING (query_id) LEFT JOIN
-        (SELECT query_id, CAST(sum({_cost('content')} + 8) AS BIGINT) AS history, count(*) AS kept FROM {_PAST} GROUP BY query_id) USING (query_id))""",
-        *search_queries._DENSE,
-    ),
-    "build_prompt": search_queries._sql(
-        f"""SELECT query_id, '{RULES}' || CASE WHEN query_id % 300 = 0 THEN '\nThe last source holds the user''s own notes.' ELSE '' END || '\n\n' || blocks
-        || CASE WHEN query_id % 300 = 0 THEN '\n\n[' || (n + 1) || '] notes\n' || {_NOTED} ELSE '' END || coalesce('\n\n' || said, '') || '\n\n' || questions.text AS prompt FROM questions JOIN
-        (SELECT query_id, count(*) AS n, string_agg('[' || n || '] ' || source || ' (chunk ' || doc_id || ')\n' || body, '\n\n' ORDER BY n) AS blocks FROM {_SOURCED} GROUP BY query_id) USING (query_id) LEFT JOIN
-        (SELECT query_id, string_agg({_SAID}, '\n\n' ORDER BY id) AS said FROM {_PAST} GROUP BY query_id) USING (query_id)""",
-        *search_queries._DENSE,
+    "context_usage": _prompts(
+        f"""SELECT query_id, {_cost('system')} + 8 - sources - notes AS instructions, notes, sources, history, question, {_cost('system')} + 8 + history + question AS total, source_count, history_kept, history_total FROM
+        (SELECT query_id, system, {_cost('blocks')} AS sources, CASE WHEN rule = '' THEN 0 ELSE {_cost('noted')} + {_cost('rule')} END AS notes, coalesce(history, 0) AS history, {_cost('question')} + 8 AS question, n AS source_count, coalesce(kept, 0) AS history_kept, coalesce(history_total, 0) AS history_total
+        FROM budgets LEFT JOIN past USING (query_id) LEFT JOIN totals USING (query_id))"""
     ),
+    "build_prompt": _prompts("SELECT query_id, system || coalesce('\n\n' || said, '') || '\n\n' || question AS prompt FROM budgets LEFT JOIN past USING (query_id)"),
 }

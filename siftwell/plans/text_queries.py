@@ -29,8 +29,13 @@ def estimate_tokens(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
+TAILS = ("", ":56", ".50", ".5.6", ",7")
+
+
 def numbers(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.array_join(F.array_sort(T.numbers(F.col("text"))), " ").alias("numbers"))
+    """Of each text and a number in thousands behind it, with and without what follows."""
+    more = F.concat(F.lit(" "), F.col("doc_id") % 9 + 1, F.lit(","), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.element_at(F.array(*map(F.lit, TAILS)), (F.col("doc_id") % len(TAILS) + 1).cast("int")))
+    return _docs(s, d).select("doc_id", F.array_join(F.array_sort(T.numbers(F.concat("text", more))), " ").alias("numbers"))
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
@@ -52,10 +57,20 @@ def trigram_overlap(s: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", "chunk_id", F.round(T.trigram_overlap(T.trigrams(F.col("query_text")), T.trigrams(F.col("text"))), 6).alias("overlap"))
 
 
+def _shared_words():
+    """A scorer: shared words of all words of both."""
+
+    def score(queries: list[str], texts: list[str]) -> list[float]:
+        pairs = [(set(q.lower().split()), set(t.lower().split())) for q, t in zip(queries, texts, strict=True)]
+        return [len(a & b) / max(1, len(a | b)) for a, b in pairs]
+
+    return score
+
+
 def pair_scorer(s: SparkSession, d: str) -> DataFrame:
     hits = S.dense_topk(inputs.questions(s, d).where("query_vector is not null"), inputs.vectors(s, d)).select("query_id", "chunk_id")
     both = hits.join(inputs.questions(s, d).select("query_id", "query_text"), "query_id").join(inputs.chunks(s, d), "chunk_id")
-    return A.pair_scores(both).select("query_id", "chunk_id", F.round("score", 6).alias("overlap"))
+    return A.pair_scores(both, _shared_words).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _cited_docs(s: SparkSession, d: str) -> DataFrame:
@@ -65,7 +80,9 @@ def _cited_docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def auto_citation(s: SparkSession, d: str) -> DataFrame:
-    answers = inputs.messages(s, d).where("role = 'assistant'").select(F.concat_ws("-", "chat_id", "id").alias("answer_id"), "content")
+    """Answers, some with a marker of a source that they have or don't have."""
+    marked = F.concat("content", F.when(F.col("chat_id") % 5 == 0, " [1]").when(F.col("chat_id") % 3 == 0, " [9]").otherwise(""))
+    answers = inputs.messages(s, d).where("role = 'assistant'").select(F.concat_ws("-", "chat_id", "id").alias("answer_id"), marked.alias("content"))
     return A.auto_citation(answers, _cited_docs(s, d).select("answer_id", "n", "text"))
 
 
@@ -181,14 +198,14 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def known_numbers(s: SparkSession, d: str) -> DataFrame:
-    return A.known_numbers(_windows(s, d))
+    return A.known_numbers(_selections(s, d), _windows(s, d)).select("selection_id", F.array_join("known", " ").alias("known"))
 
 
 def _selections(s: SparkSession, d: str) -> DataFrame:
     """A sentence of each answer's second source, asked for in the answer."""
-    picked = _cited_docs(s, d).where("n = 2").select("answer_id", F.element_at(F.split("text", r"(?<=[.])\s"), 1).alias("selection"))
+    picked = _cited_docs(s, d).where("n = 2").select("answer_id", "chat_id", "id", F.element_at(F.split("text", r"(?<=[.])\s"), 1).alias("selection"))
     content = F.concat("selection", F.lit(" [2]."))
-    return picked.select(F.col("answer_id").alias("selection_id"), F.col("answer_id").alias("message_id"), content.alias("content"), "selection", F.when(F.crc32("answer_id") % 4 == 0, F.lit(2)).alias("only"))
+    return picked.select(F.col("answer_id").alias("selection_id"), F.col("answer_id").alias("message_id"), content.alias("content"), "selection", F.when((F.col("chat_id") + F.col("id")) % 4 == 0, F.lit(2)).alias("only"))
 
 
 def attribute(s: SparkSession, d: str) -> DataFrame:
@@ -201,8 +218,8 @@ def cited_in(s: SparkSession, d: str) -> DataFrame:
 
 
 def citation_segments(s: SparkSession, d: str) -> DataFrame:
-    cut = P.per_row(lambda c: P.citation_segments(c or "", 4), "array<struct<kind:string,start:int,end:int,numbers:array<int>>>", F.col("content"))
-    return _marked(s, d).select("chat_id", "id", F.posexplode(cut).alias("k", "g")).select("chat_id", "id", "k", "g.kind", "g.start", "g.end", F.array_join(F.col("g.numbers").cast("array<string>"), ",").alias("numbers"))
+    cut = P.per_row(lambda c: P.citation_segments(c or "", 4), "array<struct<kind:string,start:int,end:int,n:int>>", F.col("content"))
+    return _marked(s, d).select("chat_id", "id", F.posexplode(cut).alias("k", "g")).select("chat_id", "id", "k", "g.kind", "g.start", "g.end", "g.n")
 
 
 def take_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -263,22 +280,31 @@ _OVERLAP = _sql(
     """SELECT query_id, chunk_id, round(count(g.term) / greatest(1, max(nq)), 6) AS overlap FROM dense JOIN (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nq FROM allterms) q USING (query_id)
        LEFT JOIN (SELECT DISTINCT chunk_id, term FROM grams) g USING (chunk_id, term) GROUP BY query_id, chunk_id""", *_DENSE, "grams").replace("WITH ", "WITH allterms AS (" + _PARTS["terms"].replace(" WHERE r <= 64", "").replace("FROM questions", "FROM (" + _PARTS["questions"] + ")") + "),\n", 1)
 _EVENTS = """ev AS (SELECT event_id, ts, user_id AS project, CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'modified' WHEN 'view' THEN 'opened' WHEN 'purchase' THEN 'moved' WHEN 'error' THEN 'deleted' END AS kind FROM events)"""
+#: From found (doc_id, x) to listed (doc_id, numbers).
+_NUMBERS = """plain AS (SELECT doc_id, unnest(string_split(CASE WHEN regexp_full_match(x, '[0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?') THEN replace(x, ',', '') ELSE x END, ',')) AS x FROM found),
+        heads AS (SELECT doc_id, regexp_replace(replace(x, ':', '.'), '^0+([0-9])', '\\1') AS x FROM plain),
+        kept AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(x, '^[0-9]+[.][0-9]+$') THEN regexp_replace(regexp_replace(x, '0+$', ''), '[.]$', '') ELSE x END AS x FROM heads),
+        listed AS (SELECT doc_id, array_to_string(list_sort(list(x)), ' ') AS numbers FROM kept GROUP BY doc_id)"""
+_TAILED = f"text || ' ' || doc_id % 9 + 1 || ',' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ({list(TAILS)})[doc_id % {len(TAILS)} + 1]"
+_SPANS = """tok AS (SELECT doc_id, i, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) - length(t) AS a FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t-\\r]+|[ \\t-\\r]+') AS x FROM documents))),
+        w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n, a, a + length(t) AS b FROM tok WHERE NOT regexp_matches(t, '^[ \\t-\\r]'))"""
+#: DuckDB counts bytes: letters of two bytes and what stands for them.
+_WIDE = "äçèéêíñóöüßÄÇÈÉÊÍÑÓÖÜàâ"
+_NARROW = "".join(map(chr, [*range(1, 9), *range(14, 29)]))
+_FINE = """pairs_ AS (SELECT pair_id, CAST(split_part(pair_id, '-', 1) AS BIGINT) % 2 = 0 AS spaced, regexp_extract_all(nfc_normalize(truth), '\\S+') AS a, regexp_extract_all(nfc_normalize(text), '\\S+') AS b FROM pairs),
+        fine AS (SELECT pair_id, coalesce(CASE WHEN spaced THEN array_to_string(a, ' ') ELSE array_to_string(a, '') END, '') AS a, coalesce(CASE WHEN spaced THEN array_to_string(b, ' ') ELSE array_to_string(b, '') END, '') AS b FROM pairs_)"""
 ORACLE_SQL = {
-    "numbers": """WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM documents),
-        s AS (SELECT doc_id, unnest(string_split(CASE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+([.:].*)?$') THEN replace(x, ',', '') ELSE x END, ',')) AS y FROM f),
-        z AS (SELECT doc_id, regexp_replace(replace(y, ':', '.'), '^0+([0-9])', '\\1') AS z FROM s),
-        n AS (SELECT DISTINCT doc_id, CASE WHEN regexp_full_match(z, '[0-9]+\\.[0-9]+') THEN regexp_replace(regexp_replace(z, '0+$', ''), '\\.$', '') ELSE z END AS n FROM z)
-        SELECT doc_id, coalesce(string_agg(n, ' ' ORDER BY n), '') AS numbers FROM documents LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "detect_language": """SELECT doc_id, CASE WHEN zh > 0 AND zh >= th AND zh >= en THEN 'zh' WHEN th > 0 AND th >= en THEN 'th' ELSE 'en' END AS language FROM (SELECT doc_id, len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]')) AS zh,
         len(regexp_extract_all(text, '[\\x{0E00}-\\x{0E7F}]')) AS th, len(regexp_extract_all(text, '[A-Za-z]+')) AS en FROM documents)""",
     "estimate_tokens": f"SELECT doc_id, {chat_queries._cost('text')} AS tokens FROM documents",
     "cited_numbers": f"WITH {_MARKED} SELECT chat_id, id, concat_ws(',', CASE WHEN id BETWEEN 1 AND 3 THEN id END, 1, CASE WHEN chat_id % 5 BETWEEN 1 AND 3 THEN chat_id % 5 END) AS numbers FROM m",
     "strip_markers": f"WITH {_MARKED} SELECT chat_id, id, md5({chat_queries._LINE.format('content')} || ' x y') AS stripped_md5 FROM m",
     "trigram_overlap": _OVERLAP,
-    "pair_scorer": _OVERLAP,
+    "pair_scorer": _sql("""SELECT query_id, chunk_id, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS score FROM
+        (SELECT query_id, chunk_id, list_distinct(regexp_extract_all(lower(q.text), '[^ \\t-\\r]+')) AS a, list_distinct(regexp_extract_all(lower(c.text), '[^ \\t-\\r]+')) AS b FROM dense JOIN questions q USING (query_id) JOIN chunks c USING (chunk_id))""", *_DENSE, "chunks"),
     "auto_citation": _sql("""SELECT chat_id || '-' || id AS answer_id, CAST(n AS INTEGER) AS n FROM (SELECT * FROM m WHERE role = 'assistant') LEFT JOIN (
         SELECT chat_id, id, arg_max(n, share * 10 - n / 1000.0) AS n FROM (SELECT s.chat_id, s.id, s.n, count(g.term) / max(a.total) AS share FROM sources s JOIN agrams a USING (chat_id, id) LEFT JOIN dgrams g ON g.chunk_id = s.doc_id AND g.term = a.term GROUP BY s.chat_id, s.id, s.n)
-        WHERE share >= 0.5 GROUP BY chat_id, id) USING (chat_id, id)""", "grams").replace("WITH ", f"WITH {chat_queries._M}, {_SOURCES}, ", 1).replace(
+        WHERE share >= 0.5 AND chat_id % 5 <> 0 GROUP BY chat_id, id) USING (chat_id, id)""", "grams").replace("WITH ", f"WITH {chat_queries._M}, {_SOURCES}, ", 1).replace(
         "\nSELECT chat_id || '-'", """, dgrams AS (SELECT DISTINCT chunk_id, term FROM grams), agrams AS (SELECT chat_id, id, term, count(*) OVER (PARTITION BY chat_id, id) AS total FROM (SELECT DISTINCT chat_id, id, substr(w, i, 3) AS term FROM (
         SELECT chat_id, id, w, unnest(range(1, length(w) - 1)) AS i FROM (SELECT chat_id, id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}\\x{0E00}-\\x{0E7F}]+')) AS w FROM m WHERE role = 'assistant') WHERE length(w) >= 3)))\nSELECT chat_id || '-'""", 1),
     "location_label": f"WITH {_LABELS} SELECT doc_id, label FROM labels_",
@@ -290,11 +316,7 @@ ORACLE_SQL = {
         SELECT pair_id, round(sum(least(a, coalesce(b, 0))) / sum(a), 6) AS word_hit FROM t LEFT JOIN x USING (pair_id, w) GROUP BY pair_id""",
     "normalise_text": f"""WITH {chat_queries._M}, {chat_queries._TURNS}, {_PAIRS}, w AS (SELECT pair_id, CAST(split_part(pair_id, '-', 1) AS BIGINT) % 2 = 0 AS spaced, regexp_extract_all(nfc_normalize(truth), '\\S+') AS words FROM pairs)
         SELECT pair_id, coalesce(CASE WHEN spaced THEN array_to_string(words, ' ') ELSE array_to_string(words, '') END, '') AS text FROM w""",
-    "numbers": """WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM documents),
-        plain AS (SELECT doc_id, unnest(string_split(CASE WHEN regexp_matches(x, '^[0-9]{1,3}(,[0-9]{3})+([.:]|$)') THEN replace(x, ',', '') ELSE x END, ',')) AS x FROM found),
-        heads AS (SELECT doc_id, regexp_replace(replace(x, ':', '.'), '^0+([0-9])', '\\1') AS x FROM plain),
-        kept AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(x, '^[0-9]+[.][0-9]+$') THEN regexp_replace(regexp_replace(x, '0+$', ''), '[.]$', '') ELSE x END AS x FROM heads),
-        listed AS (SELECT doc_id, array_to_string(list_sort(list(x)), ' ') AS numbers FROM kept GROUP BY doc_id)
+    "numbers": f"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all({_TAILED}, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM documents), {_NUMBERS}
         SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(numbers, '') END AS numbers FROM documents LEFT JOIN listed USING (doc_id)""",
     "numbered_text": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, len(string_split(text, chr(10))) AS last FROM documents),
         f AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS total FROM l QUALIFY line <= 100000 AND total <= 5000000) SELECT doc_id, CAST(line AS INTEGER) AS line, length(x) AS chars, max(line) OVER (PARTITION BY doc_id) < last AS truncated FROM f""",
@@ -324,5 +346,22 @@ ORACLE_SQL = {
         SELECT doc_id AS passage_id, doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM documents LEFT JOIN placed USING (doc_id)""",
     "find_within": """WITH f AS (SELECT doc_id, regexp_replace(lower(text), '[ \\t-\\r]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, CAST(coalesce(len(list_filter(range(1, length(t) - 1), lambda i: substr(t, i, 3) = 'e e')), 0) AS INTEGER) AS occurrences FROM f""",
+    "cer": f"WITH {chat_queries._M}, {chat_queries._TURNS}, {_PAIRS}, {_FINE} SELECT pair_id, round(levenshtein(translate(a, '{_WIDE}', '{_NARROW}'), translate(b, '{_WIDE}', '{_NARROW}')) / greatest(1, length(a)), 6) AS cer FROM fine",
+    "known_numbers": f"""WITH {chat_queries._M}, {_SOURCES}, picked AS (SELECT s.chat_id, s.id, s.doc_id FROM sources s), chosen AS (SELECT DISTINCT chat_id, id FROM sources JOIN documents USING (doc_id) WHERE n = 2),
+        found AS (SELECT chat_id || '-' || id AS doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,:][0-9]+)*')) AS x FROM chosen JOIN sources USING (chat_id, id) JOIN documents USING (doc_id)
+          WHERE n = 2 OR NOT ((chat_id + id) % 4 = 0)), {_NUMBERS}
+        SELECT chat_id || '-' || id AS selection_id, coalesce(numbers, '') AS known FROM chosen LEFT JOIN listed ON listed.doc_id = chat_id || '-' || id""",
+    "citation_segments": f"""WITH {_MARKED}, placed AS (SELECT chat_id, id, length(content) AS total, CAST(m.length_ AS BIGINT) AS base FROM marked JOIN (SELECT chat_id, id, length(content) AS length_ FROM m) m USING (chat_id, id)),
+        cites AS (SELECT chat_id, id, base + 1 AS a, base + 3 + length(CAST(id AS VARCHAR)) AS b, id AS n, total FROM placed WHERE id BETWEEN 1 AND 4
+          UNION ALL SELECT chat_id, id, total - 3, total, chat_id % 5, total FROM placed WHERE chat_id % 5 BETWEEN 1 AND 4),
+        gaps AS (SELECT chat_id, id, lag(b, 1, 0) OVER (PARTITION BY chat_id, id ORDER BY a) AS a, a AS b FROM cites UNION ALL SELECT chat_id, id, coalesce(last, 0), total FROM placed LEFT JOIN (SELECT chat_id, id, max(b) AS last FROM cites GROUP BY chat_id, id) USING (chat_id, id)),
+        rows_ AS (SELECT chat_id, id, 'cite' AS kind, a, b, n FROM cites UNION ALL SELECT chat_id, id, 'text', a, b, NULL FROM gaps WHERE a < b)
+        SELECT chat_id, id, CAST(row_number() OVER (PARTITION BY chat_id, id ORDER BY a) - 1 AS INTEGER) AS k, kind, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", CAST(n AS INTEGER) AS n FROM rows_""",
+    "take_tokens": f"""WITH {chat_queries._M}, t AS (SELECT chat_id, id, list_transform(string_split(content, ''), lambda c: struct_pack(s := CASE WHEN regexp_matches(c, '[\\p{{L}}\\s]') THEN CAST(1 AS DOUBLE) / 3 ELSE 1.0::DOUBLE END, n := 1, over := false)) AS x FROM m WHERE content <> '')
+        SELECT chat_id, id, CAST(coalesce(list_reduce(list_prepend(struct_pack(s := 0.0::DOUBLE, n := 0, over := false), x), lambda a, b: CASE WHEN a.over OR a.s + b.s > 50 THEN struct_pack(s := a.s, n := a.n, over := true) ELSE struct_pack(s := a.s + b.s, n := a.n + 1, over := false) END).n, 0) AS INTEGER) AS chars FROM m LEFT JOIN t USING (chat_id, id)""",
+    "text_windows": f"""WITH {_SPANS}, starts AS (SELECT doc_id, k, n, a FROM w WHERE k % 30 = 0 AND n > 60 AND (k = 0 OR k + 30 < n)),
+        ends AS (SELECT doc_id, k AS last, b FROM w)
+        SELECT doc_id, CAST(k // 30 AS INTEGER) AS win, CAST(CASE WHEN k = 0 THEN 0 ELSE a END AS INTEGER) AS start, CAST(CASE WHEN k + 60 >= n THEN length(text) ELSE b END AS INTEGER) AS "end" FROM starts JOIN documents USING (doc_id) LEFT JOIN ends USING (doc_id) WHERE last = least(k + 59, n - 1)
+        UNION ALL SELECT doc_id, 0, 0, length(coalesce(text, '')) FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) <= 60""",
     "late_events": "SELECT event_id FROM events JOIN (SELECT user_id, max(event_id % 4) AS g FROM events GROUP BY user_id) USING (user_id) WHERE event_id % 4 = g",
 }
