@@ -315,8 +315,11 @@ def copies(docs: DataFrame) -> DataFrame:
     return texts.join(first, "h").where("doc_id > first").select("doc_id").distinct()
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``_copy`` (a smaller doc_id has the whole text) and ``_spans`` (repeats, as [low, high) words)."""
+def with_spans(docs: DataFrame, window: int = WINDOW, apart: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``_copy`` (a smaller doc_id has the whole text) and ``_spans`` (repeats, as [low, high) words).
+
+    Rows that ``apart`` (doc_id, and ``h``, the md5 of the text) names are left out; their windows count all the same.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = long_ids(docs)
     whole = ids.where("doc_id is not null").repartition(n, "doc_id")
@@ -333,7 +336,12 @@ def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeats = hashed.repartition(n, deal).sortWithinPartitions("key", "doc_id", "low").transform(in_tasks, lambda b: _repeat_rows(b, window), "doc_id long, low int, high int")
     spans = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     out = whole.join(copied.hint("shuffle_hash"), "doc_id", "left").join(spans.hint("shuffle_hash"), "doc_id", "left")
-    return out.unionByName(ids.where("doc_id is null"), allowMissingColumns=True)
+    nameless = ids.where("doc_id is null")
+    if apart is not None:  # by id, as the texts are dealt already
+        of = apart.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("h").alias("_apart"))
+        out = out.join(of.hint("shuffle_hash"), "doc_id", "left").where(F.col("_apart").isNull() | ~F.array_contains("_apart", F.md5("text"))).drop("_apart")
+        nameless = nameless.join(apart.where("doc_id is null").select("h"), F.md5("text") == F.col("h"), "left_anti")
+    return out.unionByName(nameless, allowMissingColumns=True)
 
 
 def kept_words(text: bytes | None, copy: bool | None, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
@@ -391,11 +399,4 @@ def cleaned(docs: DataFrame, window: int = WINDOW, min_words: int = 1, apart: Da
             yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     inner = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))  # names that clash with none used here
-    rows = with_spans(inner, window).select(*inner.columns, "_copy", "_spans")
-    if apart is not None:
-        of = apart.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("h").alias("_apart"))
-        known = rows.where("doc_id is not null").join(of.hint("shuffle_hash"), "doc_id", "left")
-        known = known.where(F.col("_apart").isNull() | ~F.array_contains("_apart", F.md5("text"))).select(rows.columns)
-        nameless = apart.where("doc_id is null").select("h")
-        rows = known.unionByName(rows.where("doc_id is null").join(nameless, F.md5("text") == F.col("h"), "left_anti"))
-    return with_length(rows.transform(in_tasks, run, docs.schema))
+    return with_length(with_spans(inner, window, apart).select(*inner.columns, "_copy", "_spans").transform(in_tasks, run, docs.schema))
