@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files as S
+from ..sources import versions as V
 from ..sources.shared import shared_folder
 from ..streaming import index as I
 from ..streaming import watch as W
@@ -53,14 +54,15 @@ def write_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def replace_file_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Requeued files' chunks swapped for new ones, written as the next version of the index."""
+    """Requeued files' chunks swapped for new ones, published as the next version of the index."""
     files = file_queries._files(s, d).select(F.col("id").alias("file_id"))
     docs = inputs.table(s, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
     old = docs.where("file_id % 4 <> 1").select("file_id", F.lit(0).alias("ord"), F.length("text").alias("chars"))
     new = docs.where("file_id % 3 = 0").select("file_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), (F.length("text") + 1).alias("chars"))
-    path = shared_folder(s, "index-next")
-    S.replace_file_chunks(old, new, files).write.parquet(path)
-    return s.read.parquet(path)
+    path, schema = shared_folder(s, "index"), "file_id long, ord int, chars int"
+    V.replace(path, old, "file_id")
+    S.swap_file_chunks(path, new, files, schema)
+    return V.read(s, path, schema)
 
 
 def _folders(s: SparkSession, d: str, generation: int) -> DataFrame:
@@ -80,7 +82,8 @@ def incremental_index(s: SparkSession, d: str) -> DataFrame:
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         generation = batch.agg(F.max("generation")).first()[0]
-        I.index_pass(state, batch_id, batch, _folders(s, d, generation), file_queries._failed(s, d))
+        now = _folders(s, d, generation)
+        I.index_pass(state, batch_id, batch, now.drop("text", "error"), lambda keys: now.join(keys, ["project", "rel_path"], "left_semi"), file_queries._failed(s, d))
 
     stream = s.readStream.schema("project string, generation int").option("maxFilesPerTrigger", 1).parquet(arriving)
     W.incremental_index(stream, shared_folder(s, "progress"), refresh).awaitTermination()

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 # Fixed values of the data model.
 SUFFIXES = "pdf|docx|txt|md"
 QUESTION = "id string, lang string, question string, file string, page int"
@@ -91,10 +93,10 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.repartition(F.col("project"), F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("project").parquet(path)
 
 
-def replace_file_chunks(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
-    """The next version of the chunks (file_id, ...): those of the files in ``new`` are swapped, others stay; files that left the table are ignored.
+def swap_file_chunks(table: str, new: DataFrame, files: DataFrame, schema: str) -> int:
+    """The chunks (file_id, ...) of the files in ``new`` are swapped for those in the versioned ``table``, all at once; files that left the table of ``files`` are ignored.
 
-    Write it to a new path and switch to that; never overwrite the path that is read.
+    A reader sees the old rows or the new ones; if anything fails on the way, the old ones stay.
     """
     current = new.join(files.select("file_id").distinct(), "file_id", "left_semi")
-    return old.join(current.select("file_id").distinct(), "file_id", "left_anti").unionByName(current)
+    return versions.swap(table, current, current.select("file_id").distinct(), "file_id", schema)

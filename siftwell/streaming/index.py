@@ -1,7 +1,8 @@
 """The index kept up by passes: each takes the projects that asked, reconciles them with their folders and indexes what is pending.
 
-The state is a folder that only grows: ``files/version=N`` has a row per file after pass N, ``contents/batch=N`` the chunks and
-vectors of contents first met in pass N, ``ledger/batch=N`` a row per such content. Contents are kept by their hash, so a copy, a
+The state is a folder: ``files/version=N`` has a row per file after pass N, ``contents/batch=N`` the chunks and
+vectors of contents first met in pass N, ``ledger/batch=N`` a row per such content. A pass lists sizes and times; only files that these make suspect are
+read and hashed, once. Contents are kept by their hash, so a copy, a
 moved file or one whose time alone changed is not embedded again, and replacing a file's chunks moves its hash only. A pass
 reads what passes before it wrote and overwrites its own, so one that is repeated after a failure gives the same state.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import files as X
 from ..operators.attribution import hash_embed
 from ..operators.passages import CHUNK_TOKENS, OVERLAP_TOKENS, chunk_text, word_spans
+from ..sources import versions as V
 
 FILES = "project string, rel_path string, size long, mtime double, hash string, status string, error string"
 CONTENTS = "hash string, ord int, text string, line_start int, line_end int, vector array<float>, error string"
@@ -59,6 +61,31 @@ def chunks_after(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     return files_after(spark, state, batch_id).where("status = 'indexed'").select(*KEY, "hash").join(parts.drop("batch", "error"), "hash").select(*KEY, "hash", "ord", "text", "line_start", "line_end", "vector")
 
 
+def clean(spark: SparkSession, state: str, batch_id: int) -> int:
+    """Gives up contents that no file has after pass ``batch_id``, and what served that pass and those before it alone; the number of contents given up.
+
+    The contents still in use become those of batch ``batch_id``, in parts of their own that replace the older ones. Later passes embed a
+    content that comes back as a new one. Call it between passes; readers of earlier versions are gone by then.
+    """
+    used = files_after(spark, state, batch_id).where("status = 'indexed'").select("hash").distinct()
+    contents = spark.read.schema(f"{CONTENTS}, batch long").parquet(f"{state}/contents").drop("batch")
+    ledger = spark.read.schema(f"{LEDGER}, batch long").parquet(f"{state}/ledger").drop("batch")
+    dead = ledger.join(used, "hash", "left_anti").count()
+    for name, rows in (("contents", contents), ("ledger", ledger)):
+        rows.join(used, "hash", "left_semi").write.mode("overwrite").parquet(f"{state}/kept-{name}/batch={batch_id}")
+    files, _ = V._files(spark, state)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in ("contents", "ledger"):
+        files.delete(path(f"{state}/{name}"), True)
+        files.rename(path(f"{state}/kept-{name}"), path(f"{state}/{name}"))
+    for name in ("read", "decided"):
+        files.delete(path(f"{state}/{name}"), True)
+    for old in V._names(spark, f"{state}/files"):
+        if old.startswith("version=") and int(old.split("=")[1]) < batch_id:
+            files.delete(path(f"{state}/files/{old}"), True)
+    return dead
+
+
 def _ledger(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     """Contents known before pass ``batch_id`` without an error."""
     if batch_id == 0:
@@ -66,21 +93,31 @@ def _ledger(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     return spark.read.schema(f"{LEDGER}, batch long").parquet(f"{state}/ledger").where((F.col("batch") < batch_id) & F.col("error").isNull()).drop("batch")
 
 
-def index_pass(state: str, batch_id: int, notices: DataFrame, disk: DataFrame, failed: DataFrame, make: Callable[[], Embedder] | None = None) -> None:
+def suspects(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """``project, rel_path`` of the listed files whose contents have to be looked at: new ones, other sizes or times, and those that no pass has finished."""
+    known = files.select(*KEY, F.struct("size", "mtime", "status").alias("f"))
+    same = F.struct("f.size", "f.mtime").eqNullSafe(F.struct("size", "mtime")) & ~F.col("f.status").isin("indexing", "pending")
+    return listing.join(known, KEY, "left").where(F.col("f").isNull() | ~same).select(*KEY)
+
+
+def index_pass(state: str, batch_id: int, notices: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame], failed: DataFrame, make: Callable[[], Embedder] | None = None) -> None:
     """Pass ``batch_id`` (0, 1, ...) for the projects of ``notices`` (project); repeats of a notice count once.
 
-    ``disk`` (project, rel_path, size, mtime, text, error) is what the folders hold now, with the reason where a file could not be
-    read; ``failed`` (project, place) are places that could not be listed: what was known under them stays. A null text is an
+    ``listing`` (project, rel_path, size, mtime) is what the folders hold now. ``read`` gives the contents (project, rel_path, text, error) of the files it
+    is asked for (project, rel_path), with the reason where one could not be read; it is asked for the suspects, once. ``failed`` (project, place) are places that could not be listed: what was known under them stays. A null text is an
     empty one. Files that an earlier pass left as ``indexing`` or ``pending`` are indexed again. Other projects stay as they are.
     """
     spark = notices.sparkSession
     asked = notices.select("project").distinct()
     before = files_after(spark, state, batch_id - 1)
     mine = before.join(asked, "project", "left_semi")
-    there = disk.join(asked, "project", "left_semi").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", X.content_hash(F.col("text")))
-    listing = there.select(*KEY, "size", "mtime", "hash")
+    listed = listing.join(asked, "project", "left_semi")
+    found = read(suspects(mine, listed)).select(*KEY, F.coalesce("text", F.lit("")).alias("text"), "error").withColumn("hash", X.content_hash(F.col("text")))
+    found.write.mode("overwrite").parquet(f"{state}/read/batch={batch_id}")  # as they were when they were hashed
+    contents = spark.read.schema("project string, rel_path string, text string, error string, hash string").parquet(f"{state}/read/batch={batch_id}")
+    there = listed.join(contents.select(*KEY, "hash", "error"), KEY, "left")
 
-    actions = X.reconcile(mine, listing, failed).where("action <> 'delete'")
+    actions = X.reconcile(mine, there.select(*KEY, "size", "mtime", "hash"), failed).where("action <> 'delete'")
     known = mine.select(*KEY, F.struct("size", "mtime", "hash", "status", "error").alias("f"))
     seen = there.select(*KEY, F.struct("size", "mtime", "hash", "error").alias("d"))
     current = actions.join(known, KEY, "left").join(seen, KEY, "left")
@@ -101,7 +138,7 @@ def index_pass(state: str, batch_id: int, notices: DataFrame, disk: DataFrame, f
     earlier = _ledger(spark, state, batch_id)
     # one place of each content that is new: no text is read twice, and copies meet as hashes only
     places = readable.groupBy("hash").agg(F.min(F.struct(*KEY)).alias("at")).join(earlier, "hash", "left_anti").select("at.*")
-    embedded_chunks(there.join(places, KEY, "left_semi"), make).write.mode("overwrite").parquet(f"{state}/contents/batch={batch_id}")
+    embedded_chunks(contents.join(places, KEY, "left_semi"), make).write.mode("overwrite").parquet(f"{state}/contents/batch={batch_id}")
     new = spark.read.schema(CONTENTS).parquet(f"{state}/contents/batch={batch_id}")
     new.groupBy("hash").agg(F.count("ord").cast("int").alias("n_chunks"), F.max("error").alias("error")).write.mode("overwrite").parquet(f"{state}/ledger/batch={batch_id}")
 

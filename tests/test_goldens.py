@@ -257,7 +257,8 @@ def test_index_passes(spark, tmp_path):
 
     def run(batch_id, projects, rows, failed=()):
         asked = spark.createDataFrame([(p,) for p in projects], "project string")
-        I.index_pass(state, batch_id, asked, spark.createDataFrame(rows, columns), spark.createDataFrame(list(failed), "project string, place string"), fussy)
+        disk = spark.createDataFrame(rows, columns)
+        I.index_pass(state, batch_id, asked, disk.drop("text", "error"), lambda keys: disk.join(keys, ["project", "rel_path"], "left_semi"), spark.createDataFrame(list(failed), "project string, place string"), fussy)
         return {(r.project, r.rel_path): (r.status, r.error, r.size, r.hash is not None) for r in I.files_after(spark, state, batch_id).collect()}
 
     def embedded(batch_id):
