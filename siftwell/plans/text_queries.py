@@ -267,7 +267,15 @@ def late_events(s: SparkSession, d: str) -> DataFrame:
     return W.late_events(_events(s, d), watches).select("event_id")
 
 
-QUERIES = {f.__name__: f for f in (detect_language, estimate_tokens, numbers, cited_numbers, strip_markers, trigram_overlap, pair_scorer, auto_citation, location_label, location_json, source_payload, garbled_thai, text_units, word_hit, cer, normalise_text, line_recall, ocr_quality, numbered_text, reading_order, ocr_rects, hit_rates, threshold_sweep, attribution_summary, chunk_documents, token_spans, text_windows, known_numbers, attribute, cited_in, citation_segments, take_tokens, locate_passage, find_within, embed, filter_events, watch_debounce, late_events)}
+def watch_notices(s: SparkSession, d: str) -> DataFrame:
+    """Four watches of each project, one after the other over a quarter of its time each; quiet for an hour."""
+    events = _events(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    time = events.groupBy("project").agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b"))
+    watches = time.select("project", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("generation")).selectExpr("project", "generation", "timestamp_micros(a + (b - a) div 4 * generation) ts")
+    return W.watch_notices(events, watches, "1 hour").withColumn("notice", F.col("notice").cast("timestamp_ntz"))
+
+
+QUERIES = {f.__name__: f for f in (watch_notices, detect_language, estimate_tokens, numbers, cited_numbers, strip_markers, trigram_overlap, pair_scorer, auto_citation, location_label, location_json, source_payload, garbled_thai, text_units, word_hit, cer, normalise_text, line_recall, ocr_quality, numbered_text, reading_order, ocr_rects, hit_rates, threshold_sweep, attribution_summary, chunk_documents, token_spans, text_windows, known_numbers, attribute, cited_in, citation_segments, take_tokens, locate_passage, find_within, embed, filter_events, watch_debounce, late_events)}
 
 _MARKED = f"{chat_queries._M}, marked AS (SELECT chat_id, id, content || ' [' || id || '] x [1, 9]  y [' || chat_id % 5 || ']' AS content FROM m)"
 _LABELS = """loc AS (SELECT *, doc_id % 9 + 1 AS a, doc_id % 9 + 1 + (doc_id % 8) // 4 AS b FROM documents), labels_ AS (SELECT doc_id, source, text, CASE doc_id % 4
@@ -363,5 +371,10 @@ ORACLE_SQL = {
         ends AS (SELECT doc_id, k AS last, b FROM w)
         SELECT doc_id, CAST(k // 30 AS INTEGER) AS win, CAST(CASE WHEN k = 0 THEN 0 ELSE a END AS INTEGER) AS start, CAST(CASE WHEN k + 60 >= n THEN length(text) ELSE b END AS INTEGER) AS "end" FROM starts JOIN documents USING (doc_id) LEFT JOIN ends USING (doc_id) WHERE last = least(k + 59, n - 1)
         UNION ALL SELECT doc_id, 0, 0, length(coalesce(text, '')) FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) <= 60""",
+    "watch_notices": """WITH t AS (SELECT user_id AS project, epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events GROUP BY user_id),
+        w AS (SELECT *, lead(began) OVER (PARTITION BY project ORDER BY began, generation) AS ends FROM (SELECT project, g AS generation, a + (b - a) // 4 * g AS began FROM t, (SELECT unnest(range(0, 4)) AS g))),
+        e AS (SELECT event_id, project, generation, ends, epoch_us(ts) AS ts FROM events JOIN w ON project = user_id AND generation = event_id % 4 WHERE epoch_us(ts) >= began AND (ends IS NULL OR epoch_us(ts) < ends)),
+        f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY project, generation ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY project, generation ORDER BY ts, event_id) AS n FROM f)
+        SELECT project, CAST(generation AS INTEGER) AS generation, make_timestamp(notice) AS notice, n_events FROM (SELECT project, generation, ends, max(ts) + 3600000000 AS notice, count(*) AS n_events FROM g GROUP BY project, generation, ends, n) WHERE ends IS NULL OR notice < ends""",
     "late_events": "SELECT event_id FROM events JOIN (SELECT user_id, max(event_id % 4) AS g FROM events GROUP BY user_id) USING (user_id) WHERE event_id % 4 = g",
 }

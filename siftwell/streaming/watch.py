@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 QUIET = "2 seconds"
 
@@ -36,3 +38,93 @@ def late_events(events: DataFrame, watches: DataFrame, late: str = "10 seconds")
 def incremental_index(notices: DataFrame, checkpoint: str, refresh: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs ``refresh(batch, batch_id)`` over what is new and ends. A batch that is repeated after a failure has the same id."""
     return notices.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# ---- notices of watches that may be replaced while they wait
+
+
+def watch_notices(events: DataFrame, watches: DataFrame, quiet: str = QUIET) -> DataFrame:
+    """``project, generation, notice, n_events``: a notice once a watch's events (project, generation, ts) have been quiet for ``quiet``.
+
+    ``watches`` (project, generation, ts) says when each watch of a project began; a later one replaces it. Events of a watch before it began or after it was replaced
+    don't count, and a notice that was still waiting then is never given. Of watches of one time the largest generation is the last.
+    """
+    order = Window.partitionBy("project").orderBy("ts", "generation")  # a row per watch
+    spans = watches.withColumn("ends", F.lead("ts").over(order)).select("project", "generation", F.col("ts").alias("began"), "ends")
+    own = events.join(spans, ["project", "generation"]).where((F.col("ts") >= F.col("began")) & (F.col("ends").isNull() | (F.col("ts") < F.col("ends"))))
+    quiet_ = own.groupBy("project", "generation", "ends", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    return quiet_.where(F.col("ends").isNull() | (F.col("w.end") < F.col("ends"))).select("project", "generation", F.col("w.end").alias("notice"), "n_events")
+
+
+_EVENT = "ts timestamp, generation int, starts boolean"
+NOTICE = "project string, generation int, notice timestamp, n_events long"
+
+
+class WatchState(StatefulProcessor):
+    """Of each project the live watch, when its notice is due and how many events wait for it, and the events that the watermark hasn't passed.
+
+    Events are taken in the order of their times once the watermark has passed them, so that late arrivals change nothing. A timer stands at each event's time and
+    where a notice would be due; when a watch is replaced the due time goes, and a timer that still fires finds nothing to do.
+    """
+
+    def __init__(self, quiet_ms: int):
+        self.quiet = pd.Timedelta(milliseconds=quiet_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ahead = handle.getListState("ahead", _EVENT)
+        self.live = handle.getValueState("live", "generation int, due timestamp, n_events long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            times = pd.to_datetime(frame["ts"])
+            for t, generation, starts in zip(times, frame["generation"], frame["starts"], strict=True):
+                self.ahead.appendValue((t.to_pydatetime(), int(generation), bool(starts)))
+            for at in {_millis(t) for t in times} | {_millis(t + self.quiet) for t in times}:
+                self.handle.registerTimer(at + 1)  # after all that happens in that millisecond
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC")
+        waiting = [(pd.Timestamp(r[0]), r[1], r[2]) for r in self.ahead.get()]
+        waiting = [(t.tz_localize("UTC") if t.tz is None else t.tz_convert("UTC"), g, s) for t, g, s in waiting]
+        now = sorted((e for e in waiting if e[0] < passed), key=lambda e: (e[0], not e[2], e[1]))
+        generation, due, n = self.live.get() if self.live.exists() else (None, None, 0)
+        due = None if due is None else pd.Timestamp(due).tz_localize("UTC") if pd.Timestamp(due).tz is None else pd.Timestamp(due).tz_convert("UTC")
+        out = []
+
+        def fire(until: pd.Timestamp) -> None:
+            nonlocal due, n
+            if due is not None and due < until:
+                out.append((key[0], generation, due.to_pydatetime().replace(tzinfo=None), n))
+                due, n = None, 0
+
+        for t, g, starts in now:
+            fire(t)
+            if starts:
+                generation, due, n = g, None, 0
+            elif g == generation:
+                due, n = t + self.quiet, n + 1
+        fire(passed)
+        if now:
+            rest = [(t.to_pydatetime(), g, s) for t, g, s in waiting if t >= passed]
+            self.ahead.put(rest) if rest else self.ahead.clear()
+        if generation is not None:
+            self.live.update((generation, None if due is None else due.to_pydatetime(), n))
+        if out:
+            yield pd.DataFrame(out, columns=["project", "generation", "notice", "n_events"])
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(t: pd.Timestamp) -> int:
+    return int((t.tz_localize("UTC") if t.tz is None else t).timestamp() * 1000)
+
+
+def stream_notices(events: DataFrame, watches: DataFrame, quiet_ms: int = 2000, late: str = "10 seconds") -> DataFrame:
+    """``watch_notices`` of streams: state per project, with event-time timers. Needs Spark's RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), and a session whose time zone is UTC."""
+    both = events.select("project", "generation", "ts", F.lit(False).alias("starts")).unionByName(watches.select("project", "generation", "ts", F.lit(True).alias("starts")))
+    rows = both.withColumn("project", F.col("project").cast("string")).withWatermark("ts", late)
+    return rows.groupBy("project").transformWithStateInPandas(WatchState(quiet_ms), NOTICE, "Append", "EventTime")
