@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
+from ..sources.shared import shared_folder, written
 from . import passages as P
 
 # Fixed values of the scoring.
@@ -85,11 +86,27 @@ def auto_citation(answers: DataFrame, sources: DataFrame, share: float = AUTO_SH
     return own.select("answer_id").join(best.select("answer_id", (-F.col("best")["col2"]).cast("int").alias("n")), "answer_id", "left")
 
 
-def windows_of(sources: DataFrame, make=None) -> DataFrame:
-    """Windows of sources (message_id, n, text) with vector, trigrams and numbers. Equal texts are embedded once."""
-    cut = written(P.text_windows(sources, ["message_id", "n"]), "windows")
-    vectors = cut.select("text").distinct().withColumn("vector", embed(cut, "text", make))
-    return cut.join(vectors, "text").select("message_id", "n", "win", "start", "end", "text", "vector", T.trigrams(F.col("text")).alias("grams"), T.numbers(F.col("text")).alias("numbers"))
+def stored_vectors(texts: DataFrame, store: str, make: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+    """``h, vector`` of all contents in the folder ``store``, after those of ``texts`` (h, text) that it lacks were embedded and added.
+
+    ``h`` is a hash of the text. A run adds a folder of its own, whole or not at all; a content that two runs added at once counts once. A store holds the vectors of one model.
+    """
+    spark, schema = texts.sparkSession, "h string, vector array<float>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{store}/run=none")  # so that there is one
+    stored = lambda: spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
+    new = texts.join(stored().select("h"), "h", "left_anti").groupBy("h").agg(F.any_value("text").alias("text"))
+    new.select("h", embed(new, "text", make).alias("vector")).write.parquet(f"{store}/run={uuid.uuid4().hex}")
+    return stored().groupBy("h").agg(F.any_value("vector").alias("vector"))
+
+
+def windows_of(sources: DataFrame, make=None, store: str | None = None) -> DataFrame:
+    """Windows of sources (message_id, n, text) with vector, trigrams and numbers.
+
+    Vectors come from the ``store``, by the hash of a window's text: equal texts are embedded once, and with a store that is kept once for all jobs.
+    """
+    cut = written(P.text_windows(sources, ["message_id", "n"]).withColumn("h", F.sha2("text", 256)), "windows")
+    vectors = stored_vectors(cut.select("h", "text"), store or shared_folder(sources.sparkSession, "vectors"), make)
+    return cut.join(vectors, "h").select("message_id", "n", "win", "start", "end", "text", "vector", T.trigrams(F.col("text")).alias("grams"), T.numbers(F.col("text")).alias("numbers"))
 
 
 def known_numbers(selections: DataFrame, windows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,14 +26,39 @@ _MARKERS = rf"(?:[ \t]*{MARKER.pattern})"
 SENTENCE_END = re.compile(rf"(?:[.!?]+(?=[\s\[]|$)|[。！？]+|\n){_MARKERS}*|{_MARKERS}+(?=\s|$)")
 
 
+def context_free(token_spans: Callable[[str], Spans]) -> Callable[[str], Spans]:
+    """Marks a tokenizer whose tokens of a part of a text are those of the text, cut at the part's ends: chunks then take one call for each unit."""
+    token_spans.context_free = True
+    return token_spans
+
+
+@context_free
 def word_spans(text: str) -> Spans:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
+@context_free
 def char_spans(text: str) -> Spans:
     return [m.span() for m in re.finditer(r"\S", text)]
 
 
+class _Tokens:
+    """Tokens of parts of a text: from one tokenisation where the tokenizer allows it, else of each part anew."""
+
+    def __init__(self, text: str, token_spans: Callable[[str], Spans]):
+        self.text, self.token_spans = text, token_spans
+        self.whole = token_spans(text) if getattr(token_spans, "context_free", False) else None
+        self.starts, self.ends = ([x[k] for x in self.whole or ()] for k in (0, 1))
+
+    def within(self, a: int, b: int) -> tuple[int, Callable[[], Spans]]:
+        """How many tokens text[a:b] has, and their places."""
+        if self.whole is None:
+            own = self.token_spans(self.text[a:b])
+            return len(own), lambda: [(a + x, a + y) for x, y in own]
+        low, high = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return max(0, high - low), lambda: [(max(a, x), min(b, y)) for x, y in self.whole[low:high]]
+
+
 def text_units(text: str) -> list[tuple[str, int]]:
     """Paragraphs (runs of non-blank lines) with their first line, from 1."""
     out, lines, first = [], [], 0
@@ -49,20 +75,22 @@ def text_units(text: str) -> list[tuple[str, int]]:
 _BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+|(?<=[。！？])(?![。！？])\s*"), re.compile(r"\n"), re.compile(r"\s+"))
 
 
-def _pieces(text: str, start: int, limit: int, token_spans: Callable[[str], Spans], level: int = 0) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) parts of at most ``limit`` tokens, cut at the widest break that does, else between tokens."""
-    spans = token_spans(text)
-    if len(spans) <= limit:
-        return [(start, start + len(text), len(spans))] if spans else []
+def _pieces(tokens: _Tokens, a: int, b: int, limit: int, level: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) parts of text[a:b] of at most ``limit`` tokens, cut at the widest break that does, else between tokens."""
+    n, spans = tokens.within(a, b)
+    if n <= limit:
+        return [(a, b, n)] if n else []
+    part = tokens.text[a:b]
     for k in range(level, len(_BREAKS)):
-        cuts = [m.span() for m in _BREAKS[k].finditer(text)]
+        cuts = [m.span() for m in _BREAKS[k].finditer(part)]
         if cuts:
-            out, at = [], 0
-            for a, b in [*cuts, (len(text), len(text))]:
-                out += _pieces(text[at:a], start + at, limit, token_spans, k + 1)
-                at = b
+            out, at = [], a
+            for x, y in [*cuts, (b - a, b - a)]:
+                out += _pieces(tokens, at, a + x, limit, k + 1)
+                at = a + y
             return out
-    return [(start + spans[k][0], start + spans[min(k + limit, len(spans)) - 1][1], min(limit, len(spans) - k)) for k in range(0, len(spans), limit)]
+    own = spans()
+    return [(own[k][0], own[min(k + limit, n) - 1][1], min(limit, n - k)) for k in range(0, n, limit)]
 
 
 def chunk_text(text: str, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, token_spans: Callable[[str], Spans] = word_spans) -> list[dict]:
@@ -72,7 +100,7 @@ def chunk_text(text: str, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKE
     """
     units, pieces = text_units(text), []
     for unit, (body, _) in enumerate(units):
-        for a, b, n in _pieces(body, 0, limit, token_spans):
+        for a, b, n in _pieces(_Tokens(body, token_spans), 0, len(body), limit):
             part = body[a:b]
             pieces.append((unit, n, a + len(part) - len(part.lstrip()), a + len(part.rstrip())))
     chunks, current, fresh = [], [], False
@@ -148,7 +176,7 @@ def text_windows(rows: DataFrame, key: list[str], token_spans: Callable[[str], S
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b} for a, b in windows(t or "", token_spans)])
 
-    wide = rows.select(*key, "text", F.posexplode(cut("text")).alias("win", "w"))
+    wide = rows.withColumn("text", F.coalesce("text", F.lit(""))).select(*key, "text", F.posexplode(cut("text")).alias("win", "w"))
     return wide.select(*key, "win", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"))
 
 
