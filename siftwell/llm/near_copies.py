@@ -14,7 +14,8 @@ pair is verified: the Jaccard similarity of the whole sets must be 0.8 or more.
 Equal texts (but for case and white space) take part once.
 
 Defined results: texts without words are copies of one another; fewer words than a shingle form one shingle;
-rows with null ids link nothing and stay; an empty table gives an empty table; extra columns are kept.
+rows with null ids link nothing and stay; an empty table gives an empty table; extra columns are kept. A text of any length
+counts whole: its set takes four bytes for each distinct shingle, in one row.
 """
 
 from __future__ import annotations

@@ -94,12 +94,11 @@ def test_documents_of_mostly_benchmark_words_leave_no_shell(spark, tmp_path):
     item = own(90)
     rows = [(50, own(60) + " " + item), (51, own(40) + " " + item), (52, own(200) + " " + item), (53, own(120)), (54, own(110) + " " + item)]
     stage = dict(corpus_pipeline.STAGES)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == brute(rows, [(1, item)]) and {r[0] for r in got} == {52, 53, 54}
     for several in (rows, [(i, t) for i, t in rows if i != 50], [(None, t) for _, t in rows]):
-        frame(spark, several).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-        spark.createDataFrame([(1, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
-        want = brute(several, [(1, item)]) if several[0][0] else None
-        got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) if want else None
-        assert got == want
         kept = stage["substring"](spark, frame(spark, several), str(tmp_path)).collect()
         assert len(kept) == 3 and all(r["text"].split()[0] in {t.split()[0] for i, t in rows if i in (52, 53, 54)} for r in kept)
 
