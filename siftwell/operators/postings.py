@@ -132,6 +132,30 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def decoded(postings: DataFrame) -> DataFrame:
+    """``term, chunk_id, tf`` of stored ``postings``, shard by shard."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = np.zeros(0, np.int64)
+        for batch in batches:
+            terms, sizes, ids, counts = [], [], [], []
+            for term, places, tf in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                if term == CHUNKS:  # the first of its shard
+                    chunks = _ids(places)
+                    continue
+                ids.append(chunks[unpacked(places)])
+                counts.append(unpacked(tf))
+                sizes.append(len(ids[-1]))
+                terms.append("".join(chr(term >> k & 0x1FFFFF) for k in (42, 21, 0)))
+            if terms:
+                text = pa.array(terms, pa.string()).take(pa.array(np.repeat(np.arange(len(terms)), sizes)))
+                yield pa.record_batch([text, pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], names=["term", "chunk_id", "tf"])
+
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.select("shard", "term", "places", "counts").repartition(n, "shard").sortWithinPartitions("shard", "term")
+    return dealt.mapInArrow(rows, "term string, chunk_id long, tf long")
+
+
 def of_terms(terms: list[int], ranges: int = RANGES) -> Column:
     """A filter on ``term`` that the files' statistics can judge: the terms, or as many ranges that hold them, cut at the widest gaps."""
     terms = sorted(set(terms))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import write_index
 from ..sources.shared import shared_folder
 from .postings import SCORES, Best, keyword_candidates, read_postings, write_postings
 
@@ -82,6 +83,20 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFra
     return keyword_search(queries, read_postings(chunks.sparkSession, path), k)
 
 
+def write_search_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+    """``chunks`` (chunk_id, project, text) and ``vectors`` (chunk_id, embedding) for later searches: chunks by project, postings and vectors, each in a folder of its own."""
+    write_index(chunks, f"{path}/chunks")
+    write_postings(chunks, f"{path}/postings")
+    vectors.write.parquet(f"{path}/vectors")
+
+
+def stored_search(queries: DataFrame, path: str, k: int = TOP) -> DataFrame:
+    """``hybrid_search`` in a stored index."""
+    spark = queries.sparkSession
+    dense = dense_topk(queries.where("query_vector is not null"), spark.read.parquet(f"{path}/vectors"), k)
+    return rrf_fuse(dense, keyword_search(queries, read_postings(spark, f"{path}/postings"), k))
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, similarity, rank``: the exact nearest vectors by cosine, rounded to 6 digits, ties by id.
 

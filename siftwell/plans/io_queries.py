@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import postings, search
 from ..sources import files as S
 from ..sources import versions as V
 from ..sources.shared import shared_folder
@@ -47,10 +48,16 @@ def read_questions(s: SparkSession, d: str) -> DataFrame:
 
 
 def write_index(s: SparkSession, d: str) -> DataFrame:
-    """Chunks written by project and read back by partition."""
+    """Chunks, postings and vectors written and read back: what each project has of them."""
     path = shared_folder(s, "index")
-    S.write_index(inputs.chunks(s, d).select("chunk_id", "project", "text"), path)
-    return s.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    search.write_search_index(inputs.chunks(s, d).select("chunk_id", "project", "text"), inputs.vectors(s, d), path)
+    chunks = s.read.parquet(f"{path}/chunks")
+    own = chunks.select("chunk_id", "project")
+    per = chunks.groupBy("project").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    grams = postings.decoded(postings.read_postings(s, f"{path}/postings")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"))
+    counted = grams.join(own, "chunk_id").groupBy("project").agg(F.sum("n").alias("postings"), F.sum("tf").alias("trigrams"))
+    stored = s.read.parquet(f"{path}/vectors").join(own, "chunk_id").groupBy("project").agg(F.count(F.lit(1)).alias("vectors"))
+    return per.join(counted, "project", "left").join(stored, "project", "left")
 
 
 def replace_file_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -97,7 +104,10 @@ ORACLE_SQL = {
     "scan_corpus": "SELECT source AS project, sum(strlen(text) + 1) AS bytes FROM documents GROUP BY source",
     "read_text_files": "SELECT source AS project, count(*) AS lines FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source",
     "read_questions": "SELECT CAST(doc_id AS VARCHAR) AS id, 'en' AS lang, text AS question, source AS file, CAST(doc_id % 700 AS INTEGER) AS page FROM documents WHERE doc_id % 100 = 0",
-    "write_index": "SELECT source AS project, count(*) AS chunks, sum(length(text)) AS chars FROM documents GROUP BY source",
+    "write_index": """WITH g AS (SELECT source, doc_id, count(*) AS tf, count(DISTINCT term) AS n FROM (SELECT source, doc_id, substr(t, i, 3) AS term FROM (SELECT source, doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) >= 3)) GROUP BY source, doc_id)
+        SELECT source AS project, count(*) AS chunks, sum(length(text)) AS chars, any_value(p.n) AS postings, any_value(p.tf) AS trigrams, any_value(v.n) AS vectors FROM documents
+        LEFT JOIN (SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM g GROUP BY source) p USING (source)
+        LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY source) v USING (source) GROUP BY source""",
     "replace_file_chunks": """SELECT doc_id AS file_id, 0 AS ord, length(text) AS chars FROM documents WHERE doc_id % 4 <> 1 AND NOT (doc_id % 3 = 0 AND doc_id % 10 <> 3)
         UNION ALL SELECT doc_id, ord, length(text) + 1 FROM documents, (SELECT unnest([0, 1]) AS ord) WHERE doc_id % 3 = 0 AND doc_id % 10 <> 3""",
     "incremental_index": """SELECT project, rel_path, size, mtime, CASE WHEN status = 'indexed' THEN sha256(t) END AS hash, status,

@@ -183,7 +183,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Chunks, postings or vectors as Parquet, a folder per project; a large project is spread over files."""
+    """Chunks as Parquet, a folder per project; a large project is spread over files."""
     chunks.repartition(F.col("project"), F.pmod(F.xxhash64("chunk_id"), F.lit(8))).write.partitionBy("project").parquet(path)
 
 

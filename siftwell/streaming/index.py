@@ -75,10 +75,10 @@ def clean(spark: SparkSession, state: str, batch_id: int) -> int:
         rows.join(used, "hash", "left_semi").write.mode("overwrite").parquet(f"{state}/kept-{name}/batch={batch_id}")
     files, _ = V._files(spark, state)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    for name in ("contents", "ledger"):
-        files.delete(path(f"{state}/{name}"), True)
+    for name in ("contents", "ledger"):  # the old ones stay aside until the new ones are there
+        files.rename(path(f"{state}/{name}"), path(f"{state}/old-{name}"))
         files.rename(path(f"{state}/kept-{name}"), path(f"{state}/{name}"))
-    for name in ("read", "decided"):
+    for name in ("old-contents", "old-ledger", "read", "decided"):
         files.delete(path(f"{state}/{name}"), True)
     for old in V._names(spark, f"{state}/files"):
         if old.startswith("version=") and int(old.split("=")[1]) < batch_id:

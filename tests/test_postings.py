@@ -57,6 +57,17 @@ def test_stored_search_equals_brute_force(spark, tmp_path, monkeypatch, chunks,
     assert [s for *_, s, _ in got] == pytest.approx([s for *_, s, _ in want], abs=2e-6)
 
 
+def test_stored_postings_are_those_counted(spark, tmp_path):
+    rows = spark.createDataFrame(corpus(), "chunk_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i, _ in corpus()[:50]], "chunk_id long, embedding array<double>")
+    S.write_search_index(rows.withColumn("project", F.lit("p")), vectors, str(tmp_path / "index"))
+    stored = P.decoded(P.read_postings(spark, str(tmp_path / "index/postings")))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, S.trigram_postings(rows).collect()))
+    asked = spark.createDataFrame([(1, rows.where("chunk_id = 40").first()["text"], [0.5, 2.0])], "query_id long, query_text string, query_vector array<double>")
+    want = S.hybrid_search(asked, rows, vectors, 7)
+    assert sorted(map(str, S.stored_search(asked, str(tmp_path / "index"), 7).collect())) == sorted(map(str, want.collect()))
+
+
 def test_search_of_an_empty_corpus_or_without_terms(spark, tmp_path):
     asked = spark.createDataFrame([(1, "some words"), (2, None), (3, "a b")], "query_id long, query_text string")
     for k, rows in enumerate(([], [(1, None)], [(1, "nothing alike")])):
