@@ -55,6 +55,7 @@ def test_a_replaced_watchs_notice_is_never_given(spark):
 
 
 def test_stream_of_watches_equals_batch(rocks, tmp_path):
+    pytest.importorskip("google.protobuf")  # Spark talks to the state store with it
     spark, rng = rocks, random.Random(3)
     watches = [(p, g, at(t)) for p in "abc" for g, t in enumerate([0, 25, 60], 1)]
     events = [(rng.choice("abcd"), rng.randint(1, 3), at(rng.randint(0, 400) / 4)) for _ in range(250)]
