@@ -52,8 +52,10 @@ def watch_notices(events: DataFrame, watches: DataFrame, quiet: str = QUIET) ->
     order = Window.partitionBy("project").orderBy("ts", "generation")  # a row per watch
     spans = watches.withColumn("ends", F.lead("ts").over(order)).select("project", "generation", F.col("ts").alias("began"), "ends")
     own = events.join(spans, ["project", "generation"]).where((F.col("ts") >= F.col("began")) & (F.col("ends").isNull() | (F.col("ts") < F.col("ends"))))
-    quiet_ = own.groupBy("project", "generation", "ends", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
-    return quiet_.where(F.col("ends").isNull() | (F.col("w.end") < F.col("ends"))).select("project", "generation", F.col("w.end").alias("notice"), "n_events")
+    # The end is an aggregate: a filter on the window's own end would be pushed below the grouping and take single events out of a longer window.
+    end = F.expr(f"max(ts) + interval '{quiet}'")
+    quiet_ = own.groupBy("project", "generation", "ends", F.session_window("ts", quiet).alias("w")).agg(end.alias("notice"), F.count(F.lit(1)).alias("n_events"))
+    return quiet_.where(F.col("ends").isNull() | (F.col("notice") < F.col("ends"))).select("project", "generation", "notice", "n_events")
 
 
 _EVENT = "ts timestamp, generation int, starts boolean"

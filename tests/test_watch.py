@@ -54,6 +54,12 @@ def test_a_replaced_watchs_notice_is_never_given(spark):
     assert got == [("p", 1, at(4), 2), ("p", 2, at(22), 1), ("q", 1, at(12), 1), ("r", 1, at(32), 1)]
 
 
+def test_a_session_that_reaches_its_watchs_end_gives_no_part_of_itself(spark):
+    watches = spark.createDataFrame([("p", 1, at(0)), ("p", 2, at(12))], EVENT)
+    rows = [("p", 1, at(8)), ("p", 1, at(9)), ("p", 1, at(11)), ("p", 2, at(13))]  # 8 and 9 alone would be told at 11
+    assert notices(W.watch_notices(spark.createDataFrame(rows, EVENT), watches)) == [("p", 2, at(15), 1)]
+
+
 def test_stream_of_watches_equals_batch(rocks, tmp_path):
     pytest.importorskip("google.protobuf")  # Spark talks to the state store with it
     spark, rng = rocks, random.Random(3)
