@@ -1,6 +1,7 @@
 """Inline goldens of the text functions, passages, search, chats, files, evaluation and events."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,3 +304,26 @@ def test_pairs_are_scored_in_batches_of_like_length(spark):
     got = {r.id: r.score for r in A.pair_scores(pairs, make, 3).collect()}
     assert got == {k: 1000.0 * (k % 3 + 1) + (0 if k == 5 else k * 7 % 11) for k in range(20)}
     assert A.pair_scores(pairs.limit(0), make).count() == 0
+
+
+def test_line_recall_compares_only_where_part_of_a_head_stands(monkeypatch):
+    rng = random.Random(5)
+
+    def brute(truth, text, head=10, edits=2):
+        heads = [h for line in truth.split("\n") if (h := P.normalise_text(line, "en")[:head])]
+        body, at, found = P.normalise_text(text, "en"), 0, 0
+        for h in heads:
+            hit = next((k for k in range(at, max(at, len(body) - len(h) + edits) + 1) if P.edit_distance(h, body[k : k + len(h)], edits) <= edits), None)
+            if hit is not None:
+                found, at = found + 1, hit + len(h)
+        return found / max(1, len(heads))
+
+    for _ in range(400):
+        letters = rng.choice(["ab", "abc \n", "abcdefgh  \n"])
+        truth, text = ("".join(rng.choice(letters) for _ in range(rng.randint(0, n))) for n in (40, 60))
+        assert P.line_recall(truth, text, "en") == brute(truth, text)
+    calls, own = [], P.edit_distance
+    monkeypatch.setattr(P, "edit_distance", lambda *a: calls.append(1) or own(*a))
+    text = " ".join(str(n) for n in range(3000))
+    assert P.line_recall("qqqxxxwwwv\nwordnowher\n2999", text, "en") == 1 / 3
+    assert len(calls) < 500
