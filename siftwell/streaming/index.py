@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import files as X
 from ..operators.attribution import hash_embed
-from ..operators.passages import CHUNK_TOKENS, OVERLAP_TOKENS, chunk_text, word_spans
+from ..operators.passages import CHUNK_TOKENS, OVERLAP_TOKENS, TEXTS, chunk_text, word_spans
 from ..sources import versions as V
 
 FILES = "project string, rel_path string, size long, mtime double, hash string, status string, error string"
@@ -44,8 +44,9 @@ def embedded_chunks(texts: DataFrame, make: Callable[[], Embedder] | None = None
         model = make() if make else hash_embed
         names = [part.split()[0] for part in CONTENTS.split(", ")]
         for frame in frames:
-            out = [r for digest, text in zip(frame.hash, frame.text, strict=True) for r in rows(digest, text, model)]
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            for at in range(0, len(frame), TEXTS):  # vectors of few texts are held at once
+                out = [r for digest, text in zip(frame.hash[at : at + TEXTS], frame.text[at : at + TEXTS], strict=True) for r in rows(digest, text, model)]
+                yield pd.DataFrame(out, columns=names, dtype=object)
 
     return texts.select("hash", "text").mapInPandas(run, CONTENTS)
 
