@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import text as T
+from .passages import few_rows
 
 # Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -34,6 +35,8 @@ GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 4 << 20, 16 << 10, 100
 RANGES = 200
 #: Most queries whose terms are broadcast at once, and most numbers of a score matrix.
 QUERIES, SCORES = 5_000, 4_000_000
+#: Postings that are decoded at once.
+DECODED = 200_000
 #: The term of the row with a shard's chunks.
 CHUNKS = -1
 
@@ -74,10 +77,12 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def shard() -> Iterator[pa.RecordBatch]:
         nonlocal shards
+        place = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
         term, count = np.concatenate(terms), np.concatenate(counts)
-        place = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+        terms.clear(), counts.clear()
         order = np.argsort(term, kind="stable")  # places stay in order
         term, count, place = term[order], count[order], place[order]
+        del order
         names, starts = np.unique(term, return_index=True)
         ends = np.append(starts, len(term))[1:]
         whole = [packed(np.array(ids, np.int64).view(np.uint64)) if min(ids) >= 0 else b"\x00" + np.array(ids, np.int64).tobytes(), packed(np.array(lengths))]
@@ -97,13 +102,13 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows.slice(at, 20_000)
 
     held = 0
-    for batch in batches:
+    for batch in few_rows(batches, 200):
         for chunk, text, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found, count = counted_terms(text or "")
             ids.append(chunk)
             lengths.append(max(0, (length or 0) - 2))
             terms.append(found)
-            counts.append(count)
+            counts.append(count.astype(np.int32))
             held += len(found)
             if len(ids) >= SHARD_CHUNKS or held >= SHARD_POSTINGS:
                 yield from shard()
@@ -136,9 +141,17 @@ def decoded(postings: DataFrame) -> DataFrame:
     """``term, chunk_id, tf`` of stored ``postings``, shard by shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = np.zeros(0, np.int64)
-        for batch in batches:
+        chunks, held = np.zeros(0, np.int64), 0
+        for batch in few_rows(batches, 1000):
             terms, sizes, ids, counts = [], [], [], []
+
+            def listed() -> pa.RecordBatch:
+                text = pa.array(terms, pa.string()).take(pa.array(np.repeat(np.arange(len(terms), dtype=np.int32), sizes)))
+                out = pa.record_batch([text, pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], names=["term", "chunk_id", "tf"])
+                for kept in (terms, sizes, ids, counts):
+                    kept.clear()
+                return out
+
             for term, places, tf in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 if term == CHUNKS:  # the first of its shard
                     chunks = _ids(places)
@@ -147,9 +160,13 @@ def decoded(postings: DataFrame) -> DataFrame:
                 counts.append(unpacked(tf))
                 sizes.append(len(ids[-1]))
                 terms.append("".join(chr(term >> k & 0x1FFFFF) for k in (42, 21, 0)))
+                held += sizes[-1]
+                if held >= DECODED:
+                    yield listed()
+                    held = 0
             if terms:
-                text = pa.array(terms, pa.string()).take(pa.array(np.repeat(np.arange(len(terms)), sizes)))
-                yield pa.record_batch([text, pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))], names=["term", "chunk_id", "tf"])
+                yield listed()
+                held = 0
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.select("shard", "term", "places", "counts").repartition(n, "shard").sortWithinPartitions("shard", "term")
