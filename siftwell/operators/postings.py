@@ -6,7 +6,7 @@ inside a shard, in small pages with minima and maxima, so that a filter on terms
 its chunks' ids and lengths (term -1). Nothing is shuffled to build it; a term of half the corpus is a row in each shard.
 
 A search reads its terms' rows twice: their sizes for the document frequencies, then the lists, which go to their shards' tasks still
-encoded. A task scores shard after shard and keeps the k best chunks of each question all the while; it emits them once.
+encoded. A task scores shard after shard, looks up frequent terms only for chunks that can still be among the best, and keeps the k best chunks of each question all the while; it emits them once.
 
 Terms are the three code points in one long, so they need no dictionary and never collide.
 """
@@ -213,6 +213,55 @@ class Best:
             yield pa.record_batch([pa.array(np.repeat(names, sizes)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))], names=["query_id", "chunk_id", score])
 
 
+def score_shard(best: Best, chunks: np.ndarray, norm: np.ndarray, held: list[tuple[int, bytes, bytes]], lists: dict[int, list[int]], idf: dict[int, float]) -> None:
+    """Adds a shard's chunks to the ``best`` of each query; ``held`` are its postings (term, places, counts) of the queries' terms.
+
+    A query that has k chunks takes no other below the last of them. Its rarer terms are added up first, then frequent ones, the greatest first, until the
+    others together can't lift a chunk without them that far; these are looked up for the chunks that they still can. Nothing that may be among the best is left out.
+    """
+    postings, mine = [], [[] for _ in best.ids]
+    for n, (term, places, counts) in enumerate(held):
+        places, tf = unpacked(places), unpacked(counts)
+        postings.append((places, idf[term] * tf * (K1 + 1) / (tf + norm[places])))
+        for q in lists[term]:
+            mine[q].append(n)
+    most = np.array([part.max() for _, part in postings])
+    sizes = np.array([len(places) for places, _ in postings])
+    frequent = np.argsort(-sizes, kind="stable")[: SCORES // max(1, len(chunks))]
+    frequent = frequent[sizes[frequent] * 16 >= len(chunks)]
+    row, dense = np.full(len(postings), -1), np.zeros((len(frequent), len(chunks)))
+    for r, n in enumerate(frequent.tolist()):
+        row[n] = r
+        dense[r, postings[n][0]] = postings[n][1]
+    for q, own in enumerate(mine):
+        if not own:
+            continue
+        terms = np.array(own)
+        floor = best.scores[q][-1] - 2e-6 if len(best.scores[q]) == best.k else -1.0  # scores are rounded to 6 digits
+        if most[terms].sum() < floor:
+            continue
+        score = np.zeros(len(chunks))
+        for n in terms[row[terms] < 0].tolist():
+            places, part = postings[n]
+            score[places] += part
+        terms = terms[row[terms] >= 0]
+        terms = terms[np.argsort(-most[terms], kind="stable")]
+        rest = np.append(np.cumsum(most[terms][::-1])[::-1], 0.0)  # what terms from here on can add
+        added = int(np.argmax(rest < floor)) if floor > 0 and (rest < floor).any() else len(terms)
+        for r in row[terms[:added]].tolist():
+            score += dense[r]
+        hit = np.flatnonzero(score >= floor - rest[added]) if added < len(terms) else np.flatnonzero(score)  # any term in common scores above 0
+        found = score[hit]
+        while added < len(terms) and len(hit):
+            found = found + dense[np.ix_(row[terms[added : added + 8]], hit)].sum(axis=0)
+            added = min(len(terms), added + 8)
+            able = found >= floor - rest[added]
+            hit, found = hit[able], found[able]
+        able = found >= floor
+        if able.any():
+            best.add(q, chunks[hit[able]], np.round(found[able], 6))
+
+
 def keyword_candidates(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """``query_id, chunk_id, score``: of each task's shards the k best chunks of each query (query_id, query_text), by BM25 over any of its terms.
 
@@ -241,19 +290,8 @@ def keyword_candidates(queries: DataFrame, postings: DataFrame, k: int) -> DataF
             current, held, chunks, norm = None, [], np.zeros(0, np.int64), np.zeros(0)
 
             def close() -> None:
-                step = max(1, SCORES // max(1, len(chunks)))
-                for at in range(0, len(names) if held else 0, step):
-                    scores = np.zeros((min(step, len(names) - at), len(chunks)))
-                    for term, places, counts in held:
-                        own = [q - at for q in lists[term] if at <= q < at + step]
-                        if own:
-                            places, tf = unpacked(places), unpacked(counts)
-                            part = idf[term] * tf * (K1 + 1) / (tf + norm[places])
-                            for q in own:
-                                scores[q, places] += part
-                    for q in np.flatnonzero(scores.any(axis=1)).tolist():
-                        hit = np.flatnonzero(scores[q])  # any term in common scores above 0
-                        best.add(at + q, chunks[hit], np.round(scores[q, hit], 6))
+                if held:
+                    score_shard(best, chunks, norm, held, lists, idf)
                 held.clear()
 
             for batch in batches:

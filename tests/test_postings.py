@@ -149,3 +149,37 @@ def test_numbers_keep_their_values_in_few_bytes():
         data = P.packed(np.array(values, np.int64))
         assert P.unpacked(data).tolist() == values
     assert len(P.packed(np.array([255] * 10))) == 11
+
+
+@pytest.mark.parametrize("scores", [4_000_000, 800, 0])
+def test_pruned_scores_equal_plain_sums(monkeypatch, scores):
+    monkeypatch.setattr(P, "SCORES", scores)
+    rng, adds = np.random.default_rng(4), []
+
+    class Counted(P.Best):
+        def add(self, query, ids, scores):
+            adds.append(len(ids))
+            super().add(query, ids, scores)
+
+    terms = {t: (float(rng.choice([1e-6, 0.3, 1.0, 4.0])), rng.choice([0.02, 0.3, 0.8])) for t in range(60)}
+    lists = {t: sorted(set(rng.integers(0, 9, 4).tolist())) for t in terms}
+    idf = {t: w for t, (w, _) in terms.items()}
+    best, plain, whole = Counted(10, 5), [{} for _ in range(10)], 0  # the tenth query has no term
+    for shard in range(8):
+        chunks, norm = np.arange(100) * 8 + shard, rng.uniform(0.3, 3, 100)
+        held = []
+        for t, (_, share) in terms.items():
+            places = np.flatnonzero(rng.random(100) < share)
+            if len(places):
+                counts = rng.integers(1, 4, len(places))
+                held.append((t, P.packed(places), P.packed(counts)))
+                for q in lists[t]:
+                    for at, tf in zip(places.tolist(), counts.tolist()):
+                        plain[q][chunks[at]] = plain[q].get(chunks[at], 0.0) + idf[t] * tf * (P.K1 + 1) / (tf + norm[at])
+        P.score_shard(best, chunks, norm, held, lists, idf)
+    for q, own in enumerate(plain):
+        whole += len(own)
+        want = sorted(own.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5]
+        assert best.ids[q].tolist() == [i for i, _ in want]
+        assert best.scores[q] == pytest.approx([s for _, s in want], abs=2e-6)
+    assert sum(adds) < whole / 3  # all of them before
