@@ -83,10 +83,13 @@ def reading_order(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
 
 def ocr_rects(pages: DataFrame, start: int = 0, end: int = 1 << 30) -> DataFrame:
     """Boxes of characters [start, end), all by default, of pages (page_id, text, boxes), merged per line; newlines break lines, empty boxes don't count."""
-    chars = pages.select("page_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"), F.col("boxes").alias("b"))).alias("at", "x"))
-    line = F.sum((F.col("x.c") == "\n").cast("int")).over(Window.partitionBy("page_id").orderBy("at"))
-    lined = chars.withColumn("line", line).where(F.col("at").between(start, end - 1) & (F.col("x.b.x1") > F.col("x.b.x0")))
-    return lined.groupBy("page_id", "line").agg(F.min("x.b.x0").alias("x0"), F.min("x.b.y0").alias("y0"), F.max("x.b.x1").alias("x1"), F.max("x.b.y1").alias("y1"))
+    # A page is one row, so the line of each character is known in the row (a newline is of the line that it starts); characters are merged before
+    # anything is shuffled, and a row per line and task is.
+    own = "transform(split(text, '\\n'), (l, i) -> array_repeat(i, length(l) + if(i > 0, 1, 0)))"
+    beyond = "array_repeat(if(length(text) > 0, length(text) - length(replace(text, '\\n', '')), null), greatest(size(boxes) - length(text), 0))"  # boxes without a character
+    chars = pages.select("page_id", F.posexplode(F.arrays_zip(F.expr(f"concat(flatten({own}), {beyond})").alias("line"), F.col("boxes").alias("b"))).alias("at", "x"))
+    lined = chars.where(F.col("at").between(start, end - 1) & (F.col("x.b.x1") > F.col("x.b.x0"))).select("page_id", F.col("x.line").cast("long").alias("line"), "x.b")
+    return lined.groupBy("page_id", "line").agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
 
 
 def numbered_text(lines: DataFrame, max_lines: int = 100_000, max_chars: int = 5_000_000) -> DataFrame:

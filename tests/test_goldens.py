@@ -327,3 +327,14 @@ def test_line_recall_compares_only_where_part_of_a_head_stands(monkeypatch):
     text = " ".join(str(n) for n in range(3000))
     assert P.line_recall("qqqxxxwwwv\nwordnowher\n2999", text, "en") == 1 / 3
     assert len(calls) < 500
+
+
+def test_boxes_are_merged_inside_their_page(spark):
+    box = lambda k, y=0.0: (float(k), y, k + 1.0, y + 2)
+    rows = [(1, "ab\nc𝒙\n", [box(0), box(1, 5.0), box(9), box(3), (4.0, 0.0, 4.0, 9.0), None]), (2, "\n\n", [None, box(7)]), (3, "a", [box(0), box(1)]), (4, None, [box(0)]), (5, "a", None), (6, "", []), (7, "", [box(2)])]
+    pages = spark.createDataFrame(rows, "page_id long, text string, boxes array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    out = E.ocr_rects(pages)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0.0, 0.0, 2.0, 7.0), (1, 1, 3.0, 0.0, 10.0, 2.0), (2, 2, 7.0, 0.0, 8.0, 2.0), (3, 0, 0.0, 0.0, 2.0, 2.0), (7, None, 2.0, 0.0, 3.0, 2.0)]
+    assert sorted(map(tuple, E.ocr_rects(pages, 1, 3).collect()))[:2] == [(1, 0, 1.0, 5.0, 2.0, 7.0), (1, 1, 9.0, 0.0, 10.0, 2.0)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()  # before exchanges are put in
+    assert "Window" not in plan and plan.index("partial_min") > 0
