@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import passages as P
@@ -51,21 +54,50 @@ def attribution_summary(cases: DataFrame) -> DataFrame:
     )
 
 
-def word_hit(pairs: DataFrame) -> DataFrame:
-    """``pair_id, word_hit``: multiset share of the truth's words (by white space) that the text has."""
+def _words_hit(truth: str | None, text: str | None) -> float:
+    wanted, given = (Counter(re.findall(r"\S+", t or "", re.ASCII)) for t in (truth, text))
+    return sum((wanted & given).values()) / max(1, sum(wanted.values()))
+
+
+def _with_words(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("truth").rlike(r"\S"))
+
+
+def _word_hit() -> Column:
+    return P.per_row(_words_hit, "double", F.lower("truth"), F.lower("text"))
+
+
+def _error_rate(truth: str | None, text: str | None, lang: str) -> float:
+    plain, read = (P.normalise_text(t or "", lang) for t in (truth, text))
+    return P.edit_distance(plain, read) / max(1, len(plain))
+
 
-    def counted(column: str, name: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")
-        return pairs.select("pair_id", F.explode(words).alias("word")).groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias(name))
+def _cer() -> Column:
+    return P.per_row(_error_rate, "double", F.col("truth"), F.col("text"), F.col("lang"))
 
-    both = counted("truth", "t").join(counted("text", "x"), ["pair_id", "word"], "left")
-    return both.groupBy("pair_id").agg((F.sum(F.least("t", F.coalesce("x", F.lit(0)))) / F.sum("t")).alias("word_hit"))
+
+def _line_recall() -> Column:
+    return P.per_row(lambda a, b, g: P.line_recall(a or "", b or "", g), "double", F.col("truth"), F.col("text"), F.col("lang"))
+
+
+def word_hit(pairs: DataFrame) -> DataFrame:
+    """``pair_id, word_hit``: multiset share of the truth's words (by white space) that the text has; pairs whose truth has none get no row."""
+    return _with_words(pairs).select("pair_id", _word_hit().alias("word_hit"))
 
 
 def cer(pairs: DataFrame) -> DataFrame:
     """``pair_id, cer``: edit distance over the truth's length; both texts (truth, text, lang) are normalised first."""
-    plain = [P.per_row(lambda t, g: P.normalise_text(t or "", g), "string", F.col(c), F.col("lang")).alias(c) for c in ("truth", "text")]
-    return pairs.select("pair_id", *plain).select("pair_id", (F.levenshtein("truth", "text") / F.greatest(F.length("truth"), F.lit(1))).alias("cer"))
+    return pairs.select("pair_id", _cer().alias("cer"))
+
+
+def line_recall(pairs: DataFrame) -> DataFrame:
+    """``pair_id, lang, line_recall`` of pairs (truth, text, lang)."""
+    return pairs.select("pair_id", "lang", _line_recall().alias("line_recall"))
+
+
+def text_scores(pairs: DataFrame) -> DataFrame:
+    """``pair_id, lang, cer, line_recall, word_hit`` of the pairs whose truth has a word. All come from the pair's own row, so that pairs are made once and nothing is joined."""
+    return _with_words(pairs).select("pair_id", "lang", _cer().alias("cer"), _line_recall().alias("line_recall"), _word_hit().alias("word_hit"))
 
 
 def ocr_quality(scores: DataFrame) -> DataFrame:

@@ -138,12 +138,11 @@ def normalise_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def line_recall(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d).select("pair_id", "lang", P.per_row(lambda a, b, g: P.line_recall(a or "", b or "", g), "double", F.col("truth"), F.col("text"), F.col("lang")).alias("line_recall"))
+    return E.line_recall(_pairs(s, d))
 
 
 def ocr_quality(s: SparkSession, d: str) -> DataFrame:
-    p = _pairs(s, d)
-    return E.ocr_quality(line_recall(s, d).join(E.cer(p), "pair_id").join(E.word_hit(p), "pair_id"))
+    return E.ocr_quality(E.text_scores(_pairs(s, d)))
 
 
 def numbered_text(s: SparkSession, d: str) -> DataFrame:

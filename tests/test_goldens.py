@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,39 @@ def test_boxes_are_merged_inside_their_page(spark):
     assert sorted(map(tuple, E.ocr_rects(pages, 1, 3).collect()))[:2] == [(1, 0, 1.0, 5.0, 2.0, 7.0), (1, 1, 9.0, 0.0, 10.0, 2.0)]
     plan = out._jdf.queryExecution().sparkPlan().toString()  # before exchanges are put in
     assert "Window" not in plan and plan.index("partial_min") > 0
+
+
+def test_text_scores_are_made_in_one_pass(spark, tmp_path):
+    """The scores of each on its own, from one reading of the pairs; a truth without words counts nowhere."""
+    rows = [("a", "The fee is 40\nThe fee", "the  fee is 4O", "en"), ("b", " \t\n", "x", "en"), ("c", None, "x", "th"), ("d", "ก ข ข", None, "th"), ("e", "One\u00a0two three one", "ONE one\u00a0two", "en")]
+    spark.createDataFrame(rows, "pair_id string, truth string, text string, lang string").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    scores = E.text_scores(pairs)
+    hit = {r["pair_id"]: r["word_hit"] for r in E.word_hit(pairs).collect()}
+    assert hit == {"a": 3 / 6, "d": 0.0, "e": 2 / 3}  # as in SQL, U+00A0 is in a word
+    cer, recall = ({r["pair_id"]: r[c] for r in getattr(E, c)(pairs).collect()} for c in ("cer", "line_recall"))
+    assert {r["pair_id"]: (r["lang"], r["cer"], r["line_recall"], r["word_hit"]) for r in scores.collect()} == {k: ({"d": "th"}.get(k, "en"), cer[k], recall[k], hit[k]) for k in hit}
+
+    from siftwell.plans import QUERIES
+
+    plan = QUERIES["ocr_quality"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_edit_distance_takes_a_step_per_character_of_the_shorter_text():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    for n in range(300):
+        a, b = ("".join(rng.choice("ab ก𝄞é"[: rng.randint(1, 6)]) for _ in range(rng.randint(0, (8, 90)[n % 2]))) for _ in "ab")
+        assert P.edit_distance(a, b) == P.edit_distance(b, a) == table(a, b)
+    long = "".join(rng.choice("abcd") for _ in range(20_000))
+    began = time.process_time()
+    assert P.edit_distance(long, long[:7_000] + "x" + long[7_001:] + "y") == 2
+    assert time.process_time() - began < 20  # 400 million cells
