@@ -26,14 +26,12 @@ def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     import re
     import zlib
 
-    out = np.zeros((len(texts), dim), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        for w in set(re.findall(r"\w+", text.lower())):
-            row[zlib.crc32(w.encode()) % dim] += 1
-        if not row.any():
-            row[0] = 1
-        row /= np.linalg.norm(row)
-    return out
+    own = [[zlib.crc32(w.encode()) % dim for w in set(re.findall(r"\w+", text.lower()))] for text in texts]
+    rows = np.repeat(np.arange(len(texts)), np.array([len(x) for x in own], np.int64))
+    places = rows * dim + np.fromiter((x for row in own for x in row), np.int64)
+    out = np.bincount(places, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float32)
+    out[~out.any(1), 0] = 1
+    return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
 def embed(rows: DataFrame, column: str = "text", make: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> Column:
@@ -100,13 +98,15 @@ def stored_vectors(texts: DataFrame, store: str, make: Callable[[], Callable[[li
 
 
 def windows_of(sources: DataFrame, make=None, store: str | None = None) -> DataFrame:
-    """Windows of sources (message_id, n, text) with vector, trigrams and numbers.
+    """Windows of sources (message_id, n, text) with vector and numbers.
 
-    Vectors come from the ``store``, by the hash of a window's text: equal texts are embedded once, and with a store that is kept once for all jobs.
+    Vectors come from the ``store``, by the hash of a window's text: equal texts are embedded once, and with a store that is kept once for all jobs. Every
+    window has one; the join is an outer one, as Spark leaves that out where no vector is asked for.
     """
-    cut = written(P.text_windows(sources, ["message_id", "n"]).withColumn("h", F.sha2("text", 256)), "windows")
+    cut = P.text_windows(sources, ["message_id", "n"])
+    cut = written(cut.withColumn("h", F.sha2("text", 256)).withColumn("numbers", T.numbers(F.col("text"))), "windows")
     vectors = stored_vectors(cut.select("h", "text"), store or shared_folder(sources.sparkSession, "vectors"), make)
-    return cut.join(vectors, "h").select("message_id", "n", "win", "start", "end", "text", "vector", T.trigrams(F.col("text")).alias("grams"), T.numbers(F.col("text")).alias("numbers"))
+    return cut.join(vectors, "h", "left").select("message_id", "n", "win", "start", "end", "text", "vector", "numbers")
 
 
 def known_numbers(selections: DataFrame, windows: DataFrame) -> DataFrame:
@@ -119,6 +119,7 @@ def known_numbers(selections: DataFrame, windows: DataFrame) -> DataFrame:
 def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame:
     """``selection_id, n, start, end, label, score``: up to three matches of each selection (selection_id, message_id, content, selection, only).
 
+    Windows are (message_id, n, win, start, end, text, vector, numbers), with trigrams of their own as ``grams`` if there are any.
     Score: cosine + 0.2 x shared trigrams - 0.15 x numbers (2 at most) that some window has but this one lacks. Windows of cited sources
     come first, then by score, source and place; below 0.57 none counts. Strong is a score of 0.83 with every number known to some window. With several sources one window of each is taken,
     with one source windows that don't overlap.
@@ -129,11 +130,14 @@ def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame
     asked = asked.withColumn("s_vector", embed(asked, "clean", make)).withColumn("s_grams", T.trigrams(F.col("clean"))).withColumn("s_numbers", T.numbers(F.col("clean")))
     known = known_numbers(asked, windows)
     pairs = asked.join(known, "selection_id").join(windows, "message_id").where(F.col("only").isNull() | (F.col("only") == F.col("n")))
+    cosine = dot(F.col("vector"), F.col("s_vector"))
+    near = pairs.where(F.round(cosine + OVERLAP_WEIGHT, 6) >= FLOOR)  # what all trigrams could still bring to the floor
+    grams = F.col("grams") if "grams" in windows.columns else T.trigrams(F.col("text"))
     wanted = F.array_intersect("s_numbers", "known")
     missing = F.size(F.array_except(wanted, F.col("numbers")))
-    score = F.round(dot(F.col("vector"), F.col("s_vector")) + OVERLAP_WEIGHT * T.trigram_overlap(F.col("s_grams"), F.col("grams")) - NUMBER_PENALTY * F.least(missing, F.lit(MAX_PENALTY)), 6)
+    score = F.round(cosine + OVERLAP_WEIGHT * T.trigram_overlap(F.col("s_grams"), grams) - NUMBER_PENALTY * F.least(missing, F.lit(MAX_PENALTY)), 6)
     strong = F.size(F.array_except("s_numbers", "known")) == 0
-    scored = pairs.withColumn("score", score).where(F.col("score") >= FLOOR).select(
+    scored = near.withColumn("score", score).where(F.col("score") >= FLOOR).select(
         "selection_id", "n", "win", "start", "end", "n_sources", "score", (~F.array_contains("cited", F.col("n"))).alias("uncited"),
         F.when((F.col("score") >= STRONG) & strong, "strong").otherwise("partial").alias("label"),
     )
@@ -142,16 +146,11 @@ def attribute(selections: DataFrame, windows: DataFrame, make=None) -> DataFrame
     several = scored.where("n_sources > 1").withColumn("r", F.row_number().over(Window.partitionBy("selection_id", "n").orderBy(*order))).where("r = 1")
     several = several.withColumn("r", F.row_number().over(Window.partitionBy("selection_id").orderBy(*order))).where(F.col("r") <= MOST)
 
-    def apart(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        f = f.sort_values(["uncited", "score", "n", "win"], ascending=[True, False, True, True]).reset_index(drop=True)
-        for k in range(len(f)):
-            if len(kept) < MOST and all(f.end[k] <= f.start[j] or f.start[k] >= f.end[j] for j in kept):
-                kept.append(k)
-        out = f.loc[kept].copy()
-        out["r"] = range(1, len(kept) + 1)
-        return out[["selection_id", "n", "start", "end", "label", "score", "r"]]
-
-    single = scored.where("n_sources = 1").groupBy("selection_id").applyInPandas(apart, "selection_id string, n int, start int, end int, label string, score double, r int")
+    # From the best on, a window that overlaps none of those taken, three at most.
+    best = F.array_sort(F.collect_list(F.struct("uncited", (-F.col("score")).alias("below"), "n", "win", "start", "end", "label", "score")))
+    free = lambda kept, w: (F.size(kept) < MOST) & ~F.exists(kept, lambda k: (w["start"] < k["end"]) & (w["end"] > k["start"]))
+    apart = F.aggregate("best", F.slice("best", 1, 0), lambda kept, w: F.when(free(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+    listed = scored.where("n_sources = 1").groupBy("selection_id").agg(best.alias("best"))
+    single = listed.select("selection_id", F.posexplode(apart).alias("r", "w")).select("selection_id", "w.*", (F.col("r") + 1).alias("r"))
     columns = ["selection_id", "n", "start", "end", "label", "score", "r"]
     return several.select(*columns).unionByName(single.select(*columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -73,9 +73,9 @@ def pair_scorer(s: SparkSession, d: str) -> DataFrame:
     return A.pair_scores(both, _shared_words).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _cited_docs(s: SparkSession, d: str) -> DataFrame:
-    """Answers with two source documents each."""
-    docs = _docs(s, d).select("doc_id", "text")
+def _cited_docs(s: SparkSession, d: str, text: Column | str = "text") -> DataFrame:
+    """Answers with two source documents each, or with a part of their texts."""
+    docs = _docs(s, d).select("doc_id", (F.col(text) if isinstance(text, str) else text).alias("text"))
     return chat_queries._sources(s, d).join(docs, "doc_id").select(F.concat_ws("-", "chat_id", "id").alias("answer_id"), F.col("n"), "text", "chat_id", "id")
 
 
@@ -202,7 +202,8 @@ def known_numbers(s: SparkSession, d: str) -> DataFrame:
 
 def _selections(s: SparkSession, d: str) -> DataFrame:
     """A sentence of each answer's second source, asked for in the answer."""
-    picked = _cited_docs(s, d).where("n = 2").select("answer_id", "chat_id", "id", F.element_at(F.split("text", r"(?<=[.])\s"), 1).alias("selection"))
+    sentence = F.split("text", r"(?<=[.])\s", 2)[0]  # taken from a document before it is joined, so that whole texts stay where they are
+    picked = _cited_docs(s, d, sentence).where("n = 2").select("answer_id", "chat_id", "id", F.col("text").alias("selection"))
     content = F.concat("selection", F.lit(" [2]."))
     return picked.select(F.col("answer_id").alias("selection_id"), F.col("answer_id").alias("message_id"), content.alias("content"), "selection", F.when((F.col("chat_id") + F.col("id")) % 4 == 0, F.lit(2)).alias("only"))
 

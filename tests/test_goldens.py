@@ -375,3 +375,53 @@ def test_edit_distance_takes_a_step_per_character_of_the_shorter_text():
     began = time.process_time()
     assert P.edit_distance(long, long[:7_000] + "x" + long[7_001:] + "y") == 2
     assert time.process_time() - began < 20  # 400 million cells
+
+
+def test_a_job_makes_of_windows_only_what_it_asks_for(spark):
+    """Windows are cut where they are found; numbers are found once, trigrams only where they can matter, vectors only where they are asked for."""
+    texts = ["ก𝄞é " * 400 + "end.", "", None, "Rent is 18,500 baht. " * 40]
+    rows = spark.createDataFrame([("m", n, t) for n, t in enumerate(texts, 1)], "message_id string, n int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cut = P.text_windows(rows, ["message_id", "n"])
+    assert "substring" not in plan(cut)
+    assert sorted((r["n"], r["win"], r["start"], r["end"], r["text"]) for r in cut.collect()) == [(n, k, a, b, (t or "")[a:b]) for n, t in enumerate(texts, 1) for k, (a, b) in enumerate(P.windows(t or ""))]
+    windows = A.windows_of(rows)
+    assert "grams" not in windows.columns
+    asked = spark.createDataFrame([("s", "m", None)], "selection_id string, message_id string, only int")
+    assert A.known_numbers(asked, windows).first()["known"] == ["18500"] and "vector" not in plan(A.known_numbers(asked, windows))
+    one = A.hash_embed(["a b a", "", "Rent"])
+    assert one.shape == (3, 64) and one[1, 0] == 1 and A.hash_embed([]).shape == (0, 64) and [round(float((v * v).sum()), 5) for v in one] == [1, 1, 1]
+
+
+def test_matches_of_one_source_lie_apart(spark):
+    """By brute force: of the windows of one source, best first, up to three that don't overlap, without Python for each selection."""
+    rng, rows, asked = random.Random(3), [], []
+    said = "rent of the garden house is 18,500 baht and 40 cats"
+    for m in range(40):
+        asked.append((f"s{m}", f"m{m}", said + rng.choice(["", " [1]."]), said, None))
+        words = [rng.choice(said.split() + ["other", "things", "7"]) for _ in range(rng.randint(20, 900))]
+        rows.append((f"m{m}", 1, " ".join(words)))
+    windows = A.windows_of(spark.createDataFrame(rows, "message_id string, n int, text string"))
+    got = A.attribute(spark.createDataFrame(asked, "selection_id string, message_id string, content string, selection string, only int"), windows)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in got.orderBy("selection_id", "r").collect():
+        found.setdefault(r["selection_id"], []).append((r["start"], r["end"], r["label"], r["score"], r["r"]))
+
+    grams = lambda t: {w[k : k + 3] for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() for k in range(len(w) - 2)}
+    numbers = {"18,500": "18500", "40": "40", "7": "7"}
+    (vector,), want = A.hash_embed([said]).astype(float), grams(said)
+    for m, (_, _, text) in enumerate(rows):
+        scored, known = [], {numbers[w] for w in text.split() if w in numbers}
+        for a, b in P.windows(text):
+            own = {numbers[w] for w in text[a:b].split() if w in numbers}
+            score = float(A.hash_embed([text[a:b]])[0].astype(float) @ vector) + 0.2 * len(want & grams(text[a:b])) / len(want) - 0.15 * min(2, len(({"18500", "40"} & known) - own))
+            if round(score, 6) >= 0.57:
+                scored.append((-round(score, 6), a, b))
+        kept = []
+        for below, a, b in sorted(scored):
+            if len(kept) < 3 and all(b <= x or a >= y for _, x, y in kept):
+                kept.append((below, a, b))
+        assert [x[:2] for x in found.get(f"s{m}", [])] == [(a, b) for _, a, b in kept]
+        assert [x[3] for x in found.get(f"s{m}", [])] == [pytest.approx(-s, abs=2e-6) for s, _, _ in kept] and [x[4] for x in found.get(f"s{m}", [])] == [*range(1, len(kept) + 1)]
+        assert all(x[2] == ("strong" if x[3] >= 0.83 and known >= {"18500", "40"} else "partial") for x in found.get(f"s{m}", []))
